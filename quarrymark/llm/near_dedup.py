@@ -37,7 +37,7 @@ BLOCK = 512
 _rng = np.random.Generator(np.random.PCG64(77001))
 _XOR = _rng.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 31, (HASHES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, labels binary, sketch binary"
+_SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, labels binary, sketch binary, leads binary"
 
 
 def _least_agree(similarity: float) -> int:
@@ -58,8 +58,14 @@ def _sketch(signature: np.ndarray) -> bytes:
     return (two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6).tobytes()
 
 
+def _leads(signature: np.ndarray) -> bytes:
+    """A hash of the ``LEAST`` leading values of each tree: equal where two sets share a region."""
+    lead = np.ascontiguousarray(signature.reshape(TREES, DEPTH)[:, :LEAST]).view(np.uint64)
+    return mix(lead[:, 0] * np.uint64(0x9E3779B97F4A7C15) + mix(lead[:, 1])).tobytes()
+
+
 def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
-    """Per row: doc_id, set size, 128-bit set hash, tree labels and sketch (null for the empty set)."""
+    """Per row: doc_id, set size, 128-bit set hash, tree labels, sketch and region hashes (null for the empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,17 +74,17 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
             for part in chunks(texts):
                 for s in shingle_sets(part, width):
                     if not len(s):
-                        rows.append((0, None, None, None, None))
+                        rows.append((0, None, None, None, None, None))
                         continue
                     sig = _minhash(s)
                     with np.errstate(over="ignore"):
                         h1 = int(mix(s).sum().astype(np.int64))
                         h2 = int(mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum().astype(np.int64))
-                    rows.append((len(s), h1, h2, sig.astype(">u4").tobytes(), _sketch(sig)))
-            n, h1, h2, labels, sketch = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+                    rows.append((len(s), h1, h2, sig.astype(">u4").tobytes(), _sketch(sig), _leads(sig)))
+            n, h1, h2, labels, sketch, leads = zip(*rows, strict=True) if rows else ((),) * 6
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(labels, pa.binary()), pa.array(sketch, pa.binary())],
-                names=["doc_id", "n_shingles", "h1", "h2", "labels", "sketch"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(labels, pa.binary()), pa.array(sketch, pa.binary()), pa.array(leads, pa.binary())],
+                names=["doc_id", "n_shingles", "h1", "h2", "labels", "sketch", "leads"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SIGNATURE)
@@ -218,29 +224,62 @@ def _with_components(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def _rest(reps: DataFrame, regions: DataFrame, comps: DataFrame, least: int) -> DataFrame:
-    """Candidates between different components in the regions that the windows didn't cover, block against block."""
-    rows = forest(reps).select("tree", F.substring("label", 1, LEAST * 4).alias("prefix"), "id", "sketch")
+def _mixed(reps: DataFrame, regions: DataFrame, comps: DataFrame) -> DataFrame:
+    """tree, prefix, id, comp, blocks: the rows of noted regions that hold more than one component."""
+    rows = forest(reps).select("tree", F.substring("label", 1, LEAST * 4).alias("prefix"), "id")
     rows = rows.join(regions, ["tree", "prefix"]).join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = rows.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("tree", "prefix", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    several = rows.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    return rows.join(several.select("tree", "prefix", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), ["tree", "prefix"])
+
+
+def _rest(mixed: DataFrame, details: DataFrame, least: int, percent: int) -> DataFrame:
+    """Links between different components of a region, block against block.
+
+    details: id, sketch, leads, shingles. A pair is compared in the first tree whose region it
+    shares, first by sketch, then on full sets; of the links in a block only those that join what
+    earlier ones have not joined are returned, so a block returns fewer links than it has rows.
+    """
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = rows.join(mixed, ["tree", "prefix"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("tree", "prefix", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "comp", "sketch")
+    dealt = mixed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("tree", "prefix", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "comp").join(details, "id")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, comp, part = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["own"].to_numpy()
+        tree = int(pdf["tree"].iloc[0])
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(ids), -1)
+        earlier = np.frombuffer(b"".join(pdf["leads"]), np.uint64).reshape(len(ids), TREES)[:, :tree]
+        sets = list(pdf["shingles"])
+        sizes = np.array([len(s) for s in sets])
+        joined = {c: c for c in comp.tolist()}
+
+        def root(c: int) -> int:
+            while joined[c] != c:
+                joined[c] = joined[joined[c]]
+                c = joined[c]
+            return c
+
+        links = []
         a_rows, b_rows = np.flatnonzero(part == pdf["lo"].iloc[0]), np.flatnonzero(part == pdf["hi"].iloc[0])
-        found = [(np.empty(0, np.int64),) * 2 + (np.empty(0, np.int32),)]
         for i in a_rows:
             others = b_rows[comp[b_rows] != comp[i]]
-            agree = _agreement(sketch[others], sketch[i])
-            ok = agree >= least
-            found.append((np.minimum(ids[i], ids[others[ok]]), np.maximum(ids[i], ids[others[ok]]), agree[ok]))
-        a, b, n = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pd.DataFrame({"a": a, "b": b, "agree": n}).drop_duplicates(["a", "b"])
+            others = others[_agreement(sketch[others], sketch[i]) >= least]
+            # sizes alone bound the similarity
+            low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+            others = others[100 * low >= percent * high]
+            others = others[~(earlier[others] == earlier[i]).any(axis=1)]
+            for j in others.tolist():
+                a, b = root(int(comp[i])), root(int(comp[j]))
+                if a == b:
+                    continue
+                both = np.concatenate((sets[i], sets[j]))
+                both.sort()
+                n = int((both[1:] == both[:-1]).sum())
+                if 100 * n >= percent * (len(both) - n):
+                    joined[max(a, b)] = min(a, b)
+                    links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("tree", "prefix", "lo", "hi").applyInPandas(compare, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    return dealt.groupBy("tree", "prefix", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, small_rows: int = 1_000_000) -> DataFrame:
@@ -249,21 +288,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, small_ro
     scratch = Scratch(spark, "near-dedup")
     least = _least_agree(percent / 100)
     signed = scratch.write(signatures(docs, width), "signed")
-    classes = signed.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min("labels").alias("labels"), F.min("sketch").alias("sketch"))
+    classes = signed.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min("labels").alias("labels"), F.min("sketch").alias("sketch"), F.min("leads").alias("leads"))
     reps = scratch.write(classes, "reps")
     order = forest(reps).repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id")
     near = scratch.write(order.mapInArrow(_neighbours(least), "a long, b long, agree int, tree int, prefix binary"), "near")
     pairs = scratch.write(near.where("a is not null and a <> b").groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
     regions = near.where("prefix is not null").select("tree", "prefix").distinct()
 
-    def need(candidates: DataFrame, name: str) -> DataFrame:
-        ids = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        ids = scratch.write(ids, f"{name}-ids")
+    def need(ids: DataFrame, name: str) -> DataFrame:
+        ids = scratch.write(ids.distinct(), f"{name}-ids")
         return scratch.write(sets_of(docs.select(F.col("doc_id").cast("long"), "text").join(broadcast_if_small(ids, small_rows), "doc_id", "left_semi"), width), name)
 
-    sets = need(pairs, "sets")
+    either = F.array("a", "b")
+    sets = need(pairs.select(F.explode(either).alias("doc_id")), "sets")
     # the likeliest partner of each document first: most groups merge on these alone
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.struct("agree", "a", "b").alias("pair"))
+    nodes = pairs.select(F.explode(either).alias("node"), F.struct("agree", "a", "b").alias("pair"))
     first = scratch.write(nodes.groupBy("node").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct(), "first")
     links = scratch.write(confirm(first, sets, percent), "links-1")
     comps = components(links, scratch, "comp1")
@@ -271,11 +310,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, small_ro
     if not second.isEmpty():
         links = links.unionByName(scratch.write(confirm(second, sets, percent), "links-2"))
         comps = components(links, scratch, "comp2")
-    third = scratch.write(_rest(reps, regions, comps, least).join(pairs, ["a", "b"], "left_anti"), "third")
-    if not third.isEmpty():
-        links = links.unionByName(scratch.write(confirm(third, need(third, "sets-3"), percent), "links-3"))
+    mixed = scratch.write(_mixed(reps, regions, comps), "mixed")
+    if not mixed.isEmpty():
+        details = reps.select("id", "sketch", "leads").join(need(mixed.select(F.col("id").alias("doc_id")), "sets-3"), "id")
+        links = links.unionByName(scratch.write(_rest(mixed, details, least, percent), "links-3"))
         comps = components(links, scratch, "comp3")
-    scratch.drop("sets", "near", "first", "second", "third", "sets-3")
+    scratch.drop("sets", "near", "first", "second", "mixed", "sets-3")
     labelled = reps.select("h1", "h2", "id").join(comps, "id", "left").select("h1", "h2", F.coalesce("comp", "id").alias("comp"))
     joined = signed.select("doc_id", "n_shingles", "h1", "h2").join(labelled, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import media, near_dedup, token_counts, token_files
+from . import decontaminate, media, mixing, near_dedup, pii, token_counts, token_files
 
 WORD_TOKENIZER, PIECE_TOKENIZER = "word_bpe_49k.json", "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -37,6 +37,23 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER))
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.col("item_shingles").cast("long").alias("item_shingles"), F.col("shared_shingles").cast("long").alias("shared_shingles"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("pii", lambda s: s["kind"] != "iban")
+    return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(pii.render(base), 256).alias("base_sha256"), pii.render(F.col("pii")).alias("spans"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.token_counts(docs, tokenizer_path(PIECE_TOKENIZER), TOKEN_LIMIT)
@@ -47,6 +64,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_media_columns": op2_media_columns,
     "op4_token_files": op4_token_files,
+    "op5_mix_sources": op5_mix_sources,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_pii": op7_pii,
     "op9_token_counts": op9_token_counts,
 }
 
