@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, media, mixing, near_dedup, pii, token_counts, token_files
+from . import chat, decontaminate, media, mixing, near_dedup, pii, quality, token_counts, token_files, toxicity
+from .common import Scratch
 
 WORD_TOKENIZER, PIECE_TOKENIZER = "word_bpe_49k.json", "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -33,6 +34,13 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.fingerprints(media.encode_wav(_table(spark, sf_dir, "documents"))))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    graded = quality.grade(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    tail = F.get(F.col("quality_grade.tails"), F.lit(0))
+    return graded.select("doc_id", F.round("quality_grade.expected", 6).alias("expected_grade"), F.round(tail, 6).alias("tail_probability"), quality.selected().alias("selected"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER))
 
@@ -54,20 +62,36 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(pii.render(base), 256).alias("base_sha256"), pii.render(F.col("pii")).alias("spans"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = lambda: F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), usable=~held_out())
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.token_counts(docs, tokenizer_path(PIECE_TOKENIZER), TOKEN_LIMIT)
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "tokens.n_tokens", (F.col("tokens.n_tokens") > TOKEN_LIMIT).alias("over_limit"), F.col("tokens.fits").alias("fits_chars"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = Scratch(spark, "chat").write(chat.parts(_table(spark, sf_dir, "conversations")), "parts")
+    return chat.format_transcripts(chat.as_transcripts(grouped), chat.fit(grouped))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_media_columns": op2_media_columns,
+    "op3_quality": op3_quality,
     "op4_token_files": op4_token_files,
     "op5_mix_sources": op5_mix_sources,
     "op6_decontaminate": op6_decontaminate,
     "op7_pii": op7_pii,
+    "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLES: dict[str, str] = {}
