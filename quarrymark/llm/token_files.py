@@ -39,7 +39,7 @@ class WordEncoder:
     """
 
     #: Runs remembered in each of two generations; older ones that are met again move up.
-    MOST_KNOWN = 250_000
+    MOST_KNOWN = 400_000
 
     def __init__(self, path: str, divider: str = "<|startoftext|>"):
         from tokenizers import Tokenizer
@@ -49,28 +49,46 @@ class WordEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.marks = {m.encode(): ids.tobytes() for m, ids in zip(("", ".", ",", "!"), self._encode(["", ".", ",", "!"]), strict=True)}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, runs: set[bytes]) -> None:
-        plain, marked, older = [], [], self.older
+        """Ids of new runs. The tokenizer lower-cases, and cuts marks from a letter or digit, so a run's
+        ids are those of its lower-case core and of one closing mark; only unknown cores are encoded."""
+        known, older = self.known, self.older
+        marked: list[bytes] = []
+        plain: dict[bytes, bytes] = {}
+        derived: list[tuple[bytes, bytes, bytes]] = []
         for r in runs:
             found = older.get(r)
             if found is not None:
-                self.known[r] = found
-            else:
-                (marked if b"<|" in r else plain).append(r)
+                known[r] = found
+                continue
+            if b"<|" in r:
+                marked.append(r)
+                continue
+            core = r.lower()
+            mark = core[-1:] if core[-1:] in self.marks and core[-2:-1].isalnum() else b""
+            core = core[: len(core) - len(mark)]
+            derived.append((r, core, mark))
+            if core not in known:
+                plain[core] = older.get(core, b"")
         for r, ids in zip(marked, self._encode([r.decode() for r in marked]), strict=True):
-            self.known[r] = ids.tobytes()
-        for at in range(0, len(plain), 1024):
-            part = plain[at : at + 1024]
+            known[r] = ids.tobytes()
+        known.update((core, ids) for core, ids in plain.items() if ids)
+        new = [core for core, ids in plain.items() if not ids]
+        for at in range(0, len(new), 1024):
+            part = new[at : at + 1024]
             ids = self._encode([self.divider.join(r.decode() for r in part)])[0]
             cuts = np.flatnonzero(ids == self.divider_id)
             data, begin = ids.tobytes(), 0
             for r, cut in zip(part, [*cuts.tolist(), len(ids)], strict=True):
-                self.known[r] = data[4 * begin : 4 * cut]
+                known[r] = data[4 * begin : 4 * cut]
                 begin = cut + 1
+        for r, core, mark in derived:
+            known[r] = known[core] + self.marks[mark]
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         for part in chunks(texts):
