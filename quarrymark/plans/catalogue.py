@@ -1,10 +1,376 @@
-"""The registered queries and their SQL equivalents."""
+"""The registered queries over the driver tables, and their SQL equivalents.
+
+Every query applies library operators to whole tables; each SQL text states the same result in
+DuckDB's dialect, independently of the operators. Queries without SQL are tested against plain Python.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import entities, extraction, history, pages, results, scoring
+from ..session import ship
+from ..sources import contracts, web
+from ..streaming import pages as streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- pages: URLs, hits, caps, links, text -----------------------------------------------------
+
+_URLS = r"""
+u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS r FROM pages),
+p AS (SELECT page_id, lower(regexp_extract(r, '^([A-Za-z]+)://', 1)) AS scheme, regexp_replace(lower(regexp_extract(r, '^[A-Za-z]+://([^/?]*)', 1)), '^www\.', '') AS host,
+  regexp_replace(regexp_extract(r, '^[A-Za-z]+://[^/?]*([^?]*)', 1), '/+$', '') AS path,
+  array_to_string(list_filter(string_split(regexp_extract(r, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_|yclid|gclid|fbclid|_openstat)')), '&') AS q FROM u),
+n AS (SELECT page_id, scheme || '://' || host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url, split_part(host, ':', 1) AS domain FROM p)"""
+
+
+@query(f"WITH {_URLS} SELECT page_id, url AS normalized, domain FROM n")
+def normalize_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", C.normalize_url("url").alias("normalized"), C.normalize_domain("url").alias("domain"))
+
+
+@query(f"""WITH {_URLS}, k AS (SELECT page_id, url, domain FROM n WHERE NOT (domain = 'example.org' OR domain LIKE '%.example.org')),
+ f AS (SELECT url, domain, min(page_id) AS page_id FROM k GROUP BY url, domain)
+ SELECT page_id, url, domain, n_domain FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS n_domain FROM f) WHERE n_domain <= 3""")
+def page_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", C.normalize_url("url").alias("url")).withColumn("domain", C.normalize_domain("url"))
+    kept = rows.where(~C.domain_in("domain", ("example.org",)))
+    first = kept.groupBy("url", "domain").agg(F.min("page_id").alias("page_id"))
+    ranked = first.withColumn("n_domain", F.row_number().over(Window.partitionBy("domain").orderBy("page_id")).cast("long"))
+    return ranked.where("n_domain <= 3").select("page_id", "url", "domain", "n_domain")
+
+
+@query(f"""WITH {_URLS}, h AS (SELECT n.page_id, n.url, n.domain, CASE WHEN n.page_id % 3 = 0 THEN 's' || (n.page_id % 7) END AS supplier_id FROM n
+  UNION ALL SELECT page_id + 1000000, url, domain, 's' || (page_id % 5) FROM n WHERE page_id % 2 = 0)
+ SELECT url, arg_min(supplier_id, (CASE WHEN supplier_id IS NULL THEN 1 ELSE 0 END) * 10000000000 + page_id) AS supplier_id, min(page_id) AS place FROM h GROUP BY url""")
+def hit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    src = table(spark, sf_dir, "pages")
+    hits = src.select("url", F.col("page_id").alias("ord"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("s"), (F.col("page_id") % 7).cast("string"))).alias("supplier_id"))
+    more = src.where("page_id % 2 = 0").select("url", (F.col("page_id") + 1000000).alias("ord"), F.concat(F.lit("s"), (F.col("page_id") % 5).cast("string")).alias("supplier_id"))
+    both = hits.unionByName(more).withColumn("related_urls", F.array().cast("array<string>"))
+    return pages.deduplicate_hits(both).select("url", "supplier_id", F.col("ord").alias("place"))
+
+
+@query(f"""WITH {_URLS}, d AS (SELECT domain, min(page_id) AS seen FROM n GROUP BY domain ORDER BY seen LIMIT 12),
+ r AS (SELECT n.*, row_number() OVER (PARTITION BY domain ORDER BY page_id, url) AS k FROM n JOIN d USING (domain))
+ SELECT url, domain, min(page_id) AS ord FROM r WHERE k <= 3 GROUP BY url, domain""")
+def crawl_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.select_initial_urls(table(spark, sf_dir, "pages").select("url", F.col("page_id").alias("ord")))
+
+
+@query()
+def link_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.useful_links(table(spark, sf_dir, "pages"))
+    return found.select("url", "target", F.col("score").cast("long").alias("score"), F.col("place").cast("long").alias("place"))
+
+
+@query(r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<svg\b.*?</svg\s*>|<template\b.*?</template\s*>', chr(10), 'g'), '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', chr(10), 'g') AS t FROM pages),
+ e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t FROM b),
+ l AS (SELECT page_id, list_filter(list_transform(string_split_regex(t, '\r\n|[\n\r]'), lambda s: regexp_replace(s, '^[\s\x{0B}\x{85}\x{A0}]+|[\s\x{0B}\x{85}\x{A0}]+$', '', 'g')), lambda s: s <> '') AS lines FROM e)
+ SELECT page_id, CAST(len(lines) AS BIGINT) AS n_lines, md5(array_to_string(lines, chr(10))) AS text_md5 FROM l""")
+def clean_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = table(spark, sf_dir, "pages").select("page_id", C.html_text("html").alias("text"))
+    return text.select("page_id", F.when(F.col("text") == "", F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), F.md5("text").alias("text_md5"))
+
+
+@query()
+def visible_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(web.visible_text("html")).alias("text_md5"))
+
+
+@query()
+def page_structured_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.page_structures(table(spark, sf_dir, "pages").select("url", "html"))
+    return found.select("url", F.array_join(F.sort_array("product_names"), "|").alias("product_names"), "organisation", "street")
+
+
+@query("""WITH r AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 200 WHEN 1 THEN 403 WHEN 2 THEN 500 ELSE 200 END AS code, CASE WHEN page_id % 7 = 0 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS mime, octet_length(encode(html)) AS size FROM pages)
+ SELECT page_id, CASE WHEN code IN (401, 403) THEN 'skipped' WHEN code >= 400 THEN 'failed' WHEN mime NOT LIKE 'text/html%' THEN 'skipped' WHEN size > 2000 THEN 'skipped' ELSE 'ok' END AS status,
+ CASE WHEN code IN (401, 403) THEN 'authorisation or robot block' WHEN code >= 400 THEN 'HTTP ' || code WHEN mime NOT LIKE 'text/html%' THEN 'mime: ' || mime WHEN size > 2000 THEN 'page too large' END AS note FROM r""")
+def fetch_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("page_id") % 5
+    rows = table(spark, sf_dir, "pages").select("page_id", "html", F.lit("").alias("text"), F.when(m == 1, 403).when(m == 2, 500).otherwise(200).alias("http_status"), F.when(F.col("page_id") % 7 == 0, "application/pdf").otherwise("text/html; charset=utf-8").alias("mime_type"))
+    return pages.fetch_gates(rows, max_bytes=2000).select("page_id", "status", "note")
+
+
+@query("""WITH h AS (SELECT page_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) AS h FROM pages) SELECT page_id, 'web-' || h[1:12] || '5' || h[14:16] AS id FROM h""")
+def url_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", C.url_id("web-", "url").alias("id"))
+
+
+# ---- documents: facts from text -----------------------------------------------------------------
+
+_EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-zА-Яа-я]{2,}"
+
+
+@query(rf"""SELECT doc_id, lower(regexp_extract(text, '{_EMAIL}')) AS email, regexp_extract(lower(regexp_extract(text, '{_EMAIL}')), '@(.+)$', 1) AS mail_domain
+ FROM documents WHERE regexp_matches(text, '{_EMAIL}')""")
+def contact_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    email = F.lower(F.regexp_extract("text", rf"{_EMAIL}", 0))
+    return table(spark, sf_dir, "documents").select("doc_id", email.alias("email")).where("email <> ''").select("doc_id", "email", F.regexp_extract("email", "@(.+)$", 1).alias("mail_domain"))
+
+
+@query(r"""WITH f AS (SELECT doc_id, unnest([{'field_name': 'source', 'value': source}, {'field_name': 'lang', 'value': lang}, {'field_name': 'n_chars', 'value': CAST(n_chars AS VARCHAR)}]) AS x FROM documents)
+ SELECT doc_id, x.field_name AS field_name, x.value AS value FROM f WHERE x.value IS NOT NULL AND x.value <> ''""")
+def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ("source", "lang", "n_chars")
+    entries = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields])
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(entries)).where("value is not null and value <> ''")
+
+
+_LINES = r"list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r]'), lambda s: trim(regexp_replace(s, '[\s\x{0B}\x{85}\x{A0}]+', ' ', 'g'))), lambda s: s <> '')"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, {_LINES} AS lines FROM documents)
+ SELECT doc_id, list_filter(lines, lambda s: contains(lower(s), 'license') OR contains(lower(s), 'rights reserved'))[1][1:240] AS line FROM l
+ WHERE len(list_filter(lines, lambda s: contains(lower(s), 'license') OR contains(lower(s), 'rights reserved'))) > 0""")
+def first_keyword_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", C.text_lines("text").alias("lines"))
+    return rows.select("doc_id", C.keyword_line(F.col("lines"), ("license", "rights reserved")).alias("line")).where(F.coalesce("line", F.lit("")) != "")
+
+
+_STEM = "(w = t OR (least(5, length(w), length(t)) >= 4 AND w[1:least(5, length(w), length(t))] = t[1:least(5, length(w), length(t))]))"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest({_LINES}) AS s, generate_subscripts({_LINES}, 1) AS i FROM documents),
+ m AS (SELECT doc_id, s, i FROM l WHERE len(list_filter(['rights', 'reserved'], lambda w: len(list_filter(regexp_extract_all(lower(s), '[а-яёa-z0-9-]{{3,}}'), lambda t: {_STEM})) > 0)) = 2)
+ SELECT doc_id, arg_min(s, length(s) * 1000000 + i)[1:240] AS quote FROM m GROUP BY doc_id""")
+def shortest_matching_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", C.text_lines("text").alias("lines"))
+    return rows.select("doc_id", C.product_quote(F.col("lines"), F.lit("Rights reserved")).alias("quote")).where("quote is not null")
+
+
+@query("""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN reverse(substr(text, 11, 40)) ELSE substr(text, 11, 40) END AS quote FROM documents WHERE length(trim(substr(text, 11, 40))) > 0)
+ SELECT f.doc_id, f.quote, contains(d.text, f.quote) AS accepted FROM f JOIN documents d USING (doc_id)""")
+def quote_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    piece = F.substring("text", 11, 40)
+    address = F.concat(F.lit("https://docs.example/"), F.col("doc_id").cast("string"))
+    facts = docs.where(F.length(F.trim(piece)) > 0).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.reverse(piece)).otherwise(piece).alias("quote"), address.alias("source_url"))
+    accepted, rejected = extraction.verify_facts(facts, docs.select(address.alias("final_url"), "text"))
+    return accepted.withColumn("accepted", F.lit(True)).unionByName(rejected.withColumn("accepted", F.lit(False))).select("doc_id", "quote", "accepted")
+
+
+@query("""WITH RECURSIVE k AS (SELECT doc_id, md5(text) AS key FROM documents UNION SELECT doc_id, 'h:' || substr(text, 1, 24) FROM documents WHERE length(text) >= 24),
+ f AS (SELECT key, min(doc_id) AS root FROM k GROUP BY key), e AS (SELECT DISTINCT doc_id AS a, root AS b FROM k JOIN f USING (key) WHERE doc_id <> root),
+ g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+ r(a, b) AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a)
+ SELECT d.doc_id, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component FROM documents d LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id""")
+def strong_key_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").alias("ord"), F.md5("text").alias("id"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("website"), F.lit(None).cast("string").alias("inn"), F.when(F.length("text") >= 24, F.concat(F.lit("h:"), F.substring("text", 1, 24))).alias("phone"))
+    found = entities.connected_components(rows.select("ord"), entities.strong_edges(rows))
+    return found.select(F.col("ord").alias("doc_id"), "component")
+
+
+@query("""SELECT md5(text) AS key, count(*) AS records, arg_max(lang, n_chars * 10000000 - doc_id) AS lang, min(doc_id) AS first_id,
+ array_to_string(list_distinct(list(source ORDER BY doc_id)), '|') <> '' AS has_source, count(DISTINCT source) AS sources FROM documents GROUP BY md5(text)""")
+def group_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("key"))
+    return rows.agg(F.count("*").alias("records"), F.max_by("lang", F.struct("n_chars", -F.col("doc_id"))).alias("lang"), F.min("doc_id").alias("first_id"), (F.count("source") > 0).alias("has_source"), F.countDistinct("source").alias("sources"))
+
+
+# ---- parts, suppliers, regions, scores ------------------------------------------------------------
+
+
+@query(rf"""WITH p AS (SELECT p_partkey, p_name, regexp_extract_all(lower(p_name), '[а-яёa-z0-9-]{{3,}}') AS toks FROM part)
+ SELECT p_partkey, p_name FROM p WHERE len(list_filter(['small', 'widgets'], lambda w: len(list_filter(toks, lambda t: {_STEM})) > 0)) = 2 AND NOT contains(lower(p_name), 'hot')""")
+def product_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = F.lit("small widgets")
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return rows.where(C.all_stems_found(C.plain_tokens(wanted), C.plain_tokens("p_name")) & ~C.conflicts("p_name", wanted, ("hot",)))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN round(p_size / 1000.0, 6) WHEN p_partkey % 3 = 1 THEN CAST(p_size AS DOUBLE) ELSE p_size * 1000.0 END AS kg FROM part""")
+def parse_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("p_partkey") % 3
+    text = F.concat(F.lit("от "), F.col("p_size").cast("string"), F.when(m == 0, " г").when(m == 1, "кг").otherwise(" тонн"))
+    return table(spark, sf_dir, "part").select("p_partkey", C.parse_weight_kg(text).alias("kg"))
+
+
+@query("""WITH c AS (SELECT n_nationkey, n_name AS child, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey)
+ SELECT s_suppkey, child AS nation, parent AS region, parent = 'ASIA' OR child = 'CHINA' AS covers FROM supplier JOIN c ON s_nationkey = n_nationkey""")
+def region_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    closure = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("nation"), F.col("r_name").alias("region"))  # 25 nations
+    rows = table(spark, sf_dir, "supplier").join(F.broadcast(closure), F.col("s_nationkey") == F.col("n_nationkey"))
+    return rows.select("s_suppkey", "nation", "region", ((F.col("region") == "ASIA") | (F.col("nation") == "CHINA")).alias("covers"))
+
+
+REQUEST = scoring.Request("замороженные сырники", "Екатеринбург", 50.0)
+
+
+def scored_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of the TPC-H tables in the record's form, with facts from their line items, scored."""
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.min("l_quantity").alias("least"), F.count("*").alias("lines"))
+    rows = table(spark, sf_dir, "supplier").join(items, F.col("s_suppkey") == F.col("k"), "left")
+    none = F.array().cast("array<string>")
+    s = F.col("s_suppkey")
+    when = lambda cond, value: F.when(cond, value)
+    product = F.when(s % 4 == 0, F.array(F.lit("Сырники замороженные"))).when(s % 4 == 1, F.array(F.lit("замороженные овощи"))).when(s % 4 == 2, F.array(F.lit("пельмени"))).otherwise(F.array(F.lit("сырники весовые")))
+    entry = F.struct(F.lit("matched_products").alias("field_name"), product[0].alias("value"), F.lit("https://s.example").alias("source_url"), product[0].alias("quote"), F.lit(0.9).alias("confidence"))
+    return scoring.score(
+        rows.select(
+            s.alias("s_suppkey"), F.concat(F.lit("s"), s.cast("string")).alias("id"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("legal_name"), when(s % 5 == 0, F.lit("7700000000")).alias("inn"),
+            F.when(s % 11 == 0, "retailer").otherwise("wholesaler").alias("company_type"), product.alias("product_categories"), product.alias("matched_products"), none.alias("contract_products"), when(s % 3 == 0, F.lit("ул. Ленина, 1")).alias("address"),
+            F.when(s % 3 == 0, F.array(F.lit("Урал"))).when(s % 3 == 1, F.array(F.lit("Москва"))).otherwise(none).alias("regions"), when(F.col("least").isNotNull(), F.concat(F.lit("от "), F.col("least").cast("int").cast("string"), F.lit(" кг"))).alias("minimum_order"), F.lit(None).cast("double").alias("minimum_order_kg"),
+            when(F.col("s_acctbal") > 0, F.lit("100 руб.")).alias("price"), F.lit(None).cast("string").alias("price_access_note"), when(s % 2 == 0, F.lit("доставка")).alias("delivery"), F.when(F.col("lines") > 600, F.array(F.lit("сертификат"))).otherwise(none).alias("certificates"),
+            when(s % 7 == 0, F.lit("+73431234567")).alias("phone"), F.lit(None).cast("string").alias("phone_raw"), F.lit(None).cast("string").alias("email"), when(s % 2 == 1, F.lit("https://s.example")).alias("website"), when(s % 2 == 1, F.lit("s.example")).alias("domain"),
+            F.array(F.lit("https://s.example")).alias("source_urls"), F.array(F.lit("q")).alias("discovery_queries"), F.when(s % 6 == 1, F.expr("cast(array() as array<struct<field_name:string,value:string,source_url:string,quote:string,confidence:double>>)")).otherwise(F.array(entry)).alias("evidence"),
+            F.lit("2026-09-10 12:00:00").cast("timestamp").alias("checked_at"), (s % 13 == 0).alias("page_unavailable"),
+        ),
+        REQUEST,
+    )
+
+
+_SCORED = """i AS (SELECT l_suppkey AS k, min(l_quantity) AS least, count(*) AS lines FROM lineitem GROUP BY 1),
+ s AS (SELECT s_suppkey AS s, s_name AS name, s_acctbal > 0 AS priced, least, lines FROM supplier LEFT JOIN i ON s_suppkey = k),
+ g AS (SELECT *, CASE WHEN s % 11 = 0 THEN 'excluded' WHEN s % 6 = 1 THEN 'candidate' WHEN s % 4 = 2 THEN 'excluded' ELSE 'verified' END AS grp FROM s),
+ t AS (SELECT *, CASE WHEN grp = 'verified' AND s % 4 IN (0, 3) THEN 30 ELSE 0 END + CASE WHEN s % 3 = 0 THEN 20 ELSE -10 END + CASE WHEN s % 2 = 0 THEN 15 ELSE 0 END + CASE WHEN least IS NOT NULL THEN 10 ELSE 0 END
+  + CASE WHEN floor(least) <= 50 THEN 5 ELSE 0 END + CASE WHEN lines > 600 THEN 10 ELSE 0 END + CASE WHEN s % 7 = 0 THEN 5 ELSE 0 END + CASE WHEN priced THEN 5 ELSE 0 END + CASE WHEN s % 2 = 0 THEN -5 ELSE 0 END + CASE WHEN s % 13 = 0 THEN -20 ELSE 0 END AS pts FROM g),
+ z AS (SELECT *, CASE WHEN grp = 'excluded' THEN 0.0 ELSE CAST(greatest(0, least(100, pts)) AS DOUBLE) END AS score FROM t)"""
+_SCORED = _SCORED.replace("least(100, pts)", "CASE WHEN pts > 100 THEN 100 ELSE pts END")
+
+
+@query(f"WITH {_SCORED} SELECT s AS s_suppkey, grp AS result_group, score FROM z")
+def score_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_suppliers(spark, sf_dir).select("s_suppkey", "result_group", "score")
+
+
+@query(f"WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, name) AS place FROM z) SELECT s AS s_suppkey, grp AS result_group, score, place FROM r WHERE grp = 'excluded' OR place <= 10")
+def rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.rank(scored_suppliers(spark, sf_dir), 10).select("s_suppkey", "result_group", "score", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH {_SCORED} SELECT s AS s_suppkey, array_to_string(list_filter([CASE WHEN s % 3 = 2 THEN 'regions' END, CASE WHEN least IS NULL THEN 'minimum_order' END, CASE WHEN NOT priced THEN 'price' END, CASE WHEN s % 2 = 1 THEN 'delivery' END,
+ CASE WHEN coalesce(lines, 0) <= 600 THEN 'certificates' END, CASE WHEN s % 7 <> 0 THEN 'phone' END, 'email', CASE WHEN s % 3 <> 0 THEN 'address' END, CASE WHEN s % 5 <> 0 THEN 'inn' END], lambda x: x IS NOT NULL), ',') AS missing FROM z""")
+def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_suppliers(spark, sf_dir).select("s_suppkey", F.array_join("missing_fields", ",").alias("missing"))
+
+
+@query()
+def score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_suppliers(spark, sf_dir).select("s_suppkey", scoring.format_breakdown().alias("breakdown"), "verification_reason")
+
+
+@query()
+def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.export_frame(scored_suppliers(spark, sf_dir).where("result_group <> 'excluded'"))
+
+
+@query("""WITH {s}, c AS (SELECT unnest([{{'n': 's1', 'k': 1}}, {{'n': 's2', 'k': 2}}, {{'n': 's3', 'k': 3}}]) AS x), v AS (SELECT x.n AS n, z.* FROM z JOIN c ON z.s = x.k)
+ SELECT criterion, max(CASE WHEN n = 's1' THEN value END) AS s1, max(CASE WHEN n = 's2' THEN value END) AS s2, max(CASE WHEN n = 's3' THEN value END) AS s3 FROM (
+ SELECT n, 'Доставка' AS criterion, CASE WHEN s % 2 = 0 THEN 'доставка' ELSE 'не найдено' END AS value FROM v UNION ALL
+ SELECT n, 'Цена', CASE WHEN priced THEN '100 руб.' ELSE 'не найдено' END FROM v UNION ALL
+ SELECT n, 'Сайт', CASE WHEN s % 2 = 1 THEN 's.example' ELSE 'не найдено' END FROM v) GROUP BY criterion""".format(s=_SCORED))
+def comparison_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = results.comparison(scored_suppliers(spark, sf_dir), ["s1", "s2", "s3"])
+    return wide.where(F.col("Критерий").isin("Доставка", "Цена", "Сайт")).withColumnRenamed("Критерий", "criterion")
+
+
+@query()
+def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("ord"))
+    rows = rows.withColumns({"address": F.lit(None).cast("string"), "email": F.concat(F.lit("x@"), F.split_part("name", F.lit(" "), F.lit(2)), F.lit(".example"))})
+    return entities.fuzzy_edges(rows).select("a", "b")
+
+
+@query()
+def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scored_suppliers(spark, sf_dir).withColumn("ord", F.col("s_suppkey"))
+    merged = entities.deduplicate(scored.drop("s_suppkey"))
+    return merged.select("component", "name", "inn", "phone", F.col("records").cast("long").alias("records"))
+
+
+# ---- history, cache, counters, JSON, streams ---------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
+def history_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events), c AS (SELECT user_id, event_id, ts + CASE WHEN event_type = 'error' THEN INTERVAL 1 HOUR ELSE INTERVAL 168 HOUR END AS expires_at FROM r WHERE k = 1)
+ SELECT user_id, event_id FROM c WHERE expires_at > (SELECT max(ts) FROM events)""")
+def cache_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    landed = e.select(F.col("user_id").cast("string").alias("url"), F.col("event_id").cast("string").alias("final_url"), F.lit(200).alias("http_status"), F.lit("text/html").alias("mime_type"), F.col("ts").alias("fetched_at"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"), "props", F.lit(None).cast("string").alias("error"))
+    entries = history.cache_entries(landed.withColumns({"html": F.col("props"), "text": F.col("props")}))
+    latest = pages.first_wins(entries, ["url"], [F.desc("fetched_at"), F.desc(F.col("final_url").cast("long"))])
+    now = e.agg(F.max("ts").alias("now"))
+    return latest.crossJoin(F.broadcast(now)).where("expires_at > now").select(F.col("url").cast("long").alias("user_id"), F.col("final_url").cast("long").alias("event_id"))  # one row
+
+
+@query("""SELECT event_type AS provider, count(*) AS calls, count(*) FILTER (code >= 400) AS failures, bool_or(code IN (401, 403)) AS refused, bool_or(code = 429) AS throttled
+ FROM (SELECT event_type, CASE WHEN event_type = 'error' THEN 500 WHEN event_id % 50 = 7 THEN 429 WHEN event_id % 90 = 11 THEN 403 ELSE 200 END AS code FROM events) GROUP BY 1""")
+def provider_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.when(F.col("event_type") == "error", 500).when(F.col("event_id") % 50 == 7, 429).when(F.col("event_id") % 90 == 11, 403).otherwise(200)
+    return web.provider_failures(table(spark, sf_dir, "events").select(F.col("event_type").alias("provider"), code.alias("http_status")))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.window_counts(table(spark, sf_dir, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+ SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = streams.sessions(table(spark, sf_dir, "events"))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
+@query("""WITH w AS (SELECT conv_id, turn, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM conversations)
+ SELECT conv_id, turn, text[1:CAST(1000 - used AS INT)] AS text FROM w WHERE used < 1000""")
+def text_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), "text")
+    return pages.text_budget(rows, "conv_id", 1000).select("conv_id", F.col("ord").alias("turn"), "text")
+
+
+@query("""SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)""")
+def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").rollup(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    return rows.agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("""SELECT o_custkey AS custkey, o_orderkey AS number, o_orderdate < TIMESTAMP '1996-01-01' AS early FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) WHERE k = 1""")
+def first_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = pages.first_wins(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    return first.select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("number"), (F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")).alias("early"))
+
+
+@query("""WITH p AS (SELECT o_orderkey AS k, o_custkey AS c, list(DISTINCT p_name ORDER BY p_name) AS names FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)
+ SELECT k AS o_orderkey, array_to_string(list_filter(names, lambda x: contains(x, 'widget')), '|') AS products FROM p WHERE len(list_filter(names, lambda x: contains(x, 'widget'))) > 0""")
+def contract_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    packed = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_set("p_name")).alias("names"))
+    named = packed.select(F.col("l_orderkey").alias("o_orderkey"), F.transform("names", lambda n: F.struct(n.alias("name"))).alias("products"))
+    return named.select("o_orderkey", F.array_join(contracts.matching_products(F.col("products"), "widget"), "|").alias("products")).where("products <> ''")
