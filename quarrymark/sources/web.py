@@ -11,12 +11,13 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions import constants as K
 from ..functions.schemas import HIT, SUPPLIER, WEB_RESULTS
-from ..operators.pages import deduplicate_hits
 from ..operators.entities import normalize_suppliers
+from ..operators.pages import deduplicate_hits
 from .provider import conform
 
 
@@ -83,7 +84,7 @@ def _inside(nodes: list[dict], at: int) -> Iterator[dict]:
             return
 
 
-_ROWS = "array<struct<url:string,title:string,snippet:string,related:string>>"
+_ROWS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("url", "title", "snippet", "related")]))
 
 
 @F.pandas_udf(_ROWS)
@@ -134,7 +135,7 @@ def product_cards(pages: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def visible_text(pages: pd.Series) -> pd.Series:
     """The visible lines of a page, by a parser: text outside of scripts, styles and the like."""
     hidden = {"script", "style", "noscript", "svg", "template"}
@@ -165,7 +166,7 @@ def visible_text(pages: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     """All HTML entities resolved."""
     return texts.map(lambda t: None if t is None else html_lib.unescape(t))
