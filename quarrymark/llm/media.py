@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 RATE, UNIT = 8000, 64
 FRAME, HOP, PEAKS, FAN_OUT, ZONE = 256, 256, 3, 3, 8
 _WINDOW = np.hanning(FRAME).astype(np.float32)
@@ -92,7 +94,7 @@ def encode_wav(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """key, n_bytes (unpadded) and media (the WAV file) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             data = [(t or "").encode() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(d) for d in data], pa.int64()), pa.array([to_wav(d) for d in data], pa.binary())], names=["doc_id", "n_bytes", "media"])
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, chunks, mix, shingle_sets
+from .common import Scratch, broadcast_if_small, chunks, mix, shingle_sets, slices
 
 TREES, DEPTH, LEAST, WINDOW = 16, 8, 4, 8
 HASHES = TREES * DEPTH
@@ -68,7 +68,7 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
     """Per row: doc_id, set size, 128-bit set hash, tree labels, sketch and region hashes (null for the empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             rows: list[tuple] = []
             for part in chunks(texts):
@@ -94,10 +94,10 @@ def sets_of(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id and the sorted distinct shingle hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             at = 0
-            for part in chunks(texts, 4 << 20):
+            for part in chunks(texts):
                 found = list(shingle_sets(part, width))
                 offsets = np.zeros(len(found) + 1, np.int32)
                 np.cumsum([len(s) for s in found], out=offsets[1:])

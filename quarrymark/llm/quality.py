@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 SLOTS = 1 << 16
 SMOOTH, SCALE = 4.0, 20.0
 STEPS, RATE, DECAY = 160, 0.05, 1e-5
@@ -49,7 +51,7 @@ def measures(words: list[bytes], size: int) -> list[float]:
 class Remembered(dict):
     """A bounded table of a word's value, filled on first sight."""
 
-    def __init__(self, compute, most: int = 300_000):
+    def __init__(self, compute, most: int = 200_000):
         self.compute, self.most = compute, most
 
     def __missing__(self, word: bytes):
@@ -78,7 +80,7 @@ class OrdinalModel:
 def _features(rated: DataFrame):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = Remembered(word_slots, 100_000)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for t in batch.column(0).to_pylist():
                 data = (t or "").encode()

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks
+from .common import Scratch, chunks, slices
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 16
@@ -39,7 +39,7 @@ class WordEncoder:
     """
 
     #: Runs remembered in each of two generations; older ones that are met again move up.
-    MOST_KNOWN = 400_000
+    MOST_KNOWN = 250_000
 
     def __init__(self, path: str, divider: str = "<|startoftext|>"):
         from tokenizers import Tokenizer
@@ -149,7 +149,7 @@ def write_blocks(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int
             return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
         pending = 0
-        for batch in batches:
+        for batch in slices(batches):
             keys = batch.column(0).to_pylist()
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             for key, found in zip(keys, own.encode(texts), strict=True):
