@@ -6,6 +6,7 @@ Everything stays in the JVM. An empty string counts as missing and becomes null.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -46,9 +47,19 @@ def first_match(x: Text, pattern: str, group: int = 0) -> Column:
     return blank_to_null(F.regexp_extract(col(x), pattern, group))
 
 
+def bind(x: Text, body) -> Column:
+    """``body(x)`` with ``x`` computed once: a lambda variable, so that nesting doesn't multiply the expression."""
+    return F.get(F.transform(F.array(col(x)), body), F.lit(0))
+
+
+def any_of(values: Sequence[str]) -> str:
+    """A regular expression that matches any of the literal values."""
+    return "|".join(re.sub(r"([^\w\s])", r"\\\1", v) for v in values)
+
+
 def contains_any(x: Text, markers: Sequence[str]) -> Column:
     """Whether the lower-cased text holds any of the markers."""
-    return F.exists(strings(markers), lambda m: F.contains(F.lower(col(x)), m))
+    return F.lower(col(x)).rlike(any_of(markers))
 
 
 def distinct_non_null(x: Text) -> Column:
@@ -70,7 +81,10 @@ def is_http_url(x: Text) -> Column:
 
 def normalize_url(x: Text) -> Column:
     """Scheme and host in lower case, no leading www., fragment, tracking parameters or closing slashes; null without a host."""
-    url = F.regexp_replace(strip(x), "#.*$", "")
+    return bind(F.regexp_replace(strip(x), "#.*$", ""), _normalized)
+
+
+def _normalized(url: Column) -> Column:
     part = lambda n: F.regexp_extract(url, r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//([^/?]*)([^?]*)(?:\?(.*))?$", n)
     host = F.regexp_replace(F.lower(part(2)), r"^www\.", "")
     path = F.regexp_replace(F.regexp_replace(part(3), r";[^/]*$", ""), "/+$", "")
@@ -95,8 +109,7 @@ def normalize_domain(x: Text) -> Column:
 
 def domain_in(domain: Text, domains: Sequence[str]) -> Column:
     """Whether a domain is one of the list or below one; false for null."""
-    d = col(domain)
-    return F.coalesce(F.exists(strings(domains), lambda x: (d == x) | F.endswith(d, F.concat(F.lit("."), x))), F.lit(False))
+    return F.coalesce(col(domain).rlike(rf"(?:^|\.)(?:{any_of(domains)})$"), F.lit(False))
 
 
 def is_blocked(url: Text) -> Column:

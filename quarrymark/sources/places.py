@@ -53,7 +53,8 @@ def unpivot_evidence(url: Column, single: dict[str, Column], lists: dict[str, Co
     """Evidence of literal values: (field, value) pairs of singles and lists."""
     entry = lambda f, v: F.struct(F.lit(f).alias("field_name"), v.alias("value"), url.alias("source_url"), v.alias("quote"), F.lit(0.9).alias("confidence"))
     ones = [F.array_compact(F.array(F.when(v.isNotNull(), entry(f, v)))) for f, v in single.items()]
-    many = [F.transform(v, lambda x, f=f: entry(f, x)) for f, v in lists.items()]
+    of_field = lambda f: lambda x: entry(f, x)
+    many = [F.transform(v, of_field(f)) for f, v in lists.items()]
     return F.concat(ones[0], *many, *ones[1:])
 
 
