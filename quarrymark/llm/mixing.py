@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import SEPARATORS, Scratch, native_words
 
-SLICE = 50_000
+SLICE = 1024
 STEPS, TOLERANCE = 60, 1e-6
 
 
