@@ -259,25 +259,29 @@ def same_stem(a: Column, b: Column) -> Column:
 
 def common_subsequence(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence, one row of the table per character of ``a``."""
-    chars = F.split(b, "")
-    empty = F.transform(F.sequence(F.lit(0), F.length(b)), lambda _: F.lit(0))
 
-    def row(before: Column, c: Column) -> Column:
-        first = F.array(F.lit(0))
-        return F.aggregate(
-            F.sequence(F.lit(1), F.length(b)),
-            first,
-            lambda acc, j: F.concat(acc, F.array(F.when(F.get(chars, j - 1) == c, F.get(before, j - 1) + 1).otherwise(F.greatest(F.get(before, j), F.element_at(acc, -1))))),
-        )
+    def table(v: Column) -> Column:
+        def row(before: Column, c: Column) -> Column:
+            def cell(acc: Column, j: Column) -> Column:
+                more = F.when(F.get(v["b"], j - 1) == c, F.get(before, j - 1) + 1).otherwise(F.greatest(F.get(before, j), F.element_at(acc, -1)))
+                return F.concat(acc, F.array(more))
 
-    table = F.aggregate(F.split(a, ""), empty, row)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(F.element_at(table, -1))
+            return F.aggregate(F.sequence(F.lit(1), F.size(v["b"])), F.array(F.lit(0)), cell)
+
+        return F.element_at(F.aggregate(v["a"], F.transform(F.sequence(F.lit(0), F.size(v["b"])), lambda _: F.lit(0)), row), -1)
+
+    both = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"))
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(bind(both, table))
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
     """200 * common subsequence / summed lengths; 100 for two empty strings."""
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * common_subsequence(a, b) / total)
+
+    def ratio(v: Column) -> Column:
+        total = F.length(v["a"]) + F.length(v["b"])
+        return F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * common_subsequence(v["a"], v["b"]) / total)
+
+    return F.when(a.isNotNull() & b.isNotNull(), bind(F.struct(a.alias("a"), b.alias("b")), ratio))
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:

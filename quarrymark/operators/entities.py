@@ -42,14 +42,18 @@ def strong_edges(suppliers: DataFrame) -> DataFrame:
 def token_set_ratio(a, b):
     """The best ratio among shared words and shared words with each side's rest; 100 if one side is contained."""
     words = lambda x: F.array_distinct(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != ""))
-    join = lambda arr: F.array_join(F.sort_array(arr), " ")
-    shared = join(F.array_intersect(words(a), words(b)))
-    only_a, only_b = join(F.array_except(words(a), words(b))), join(F.array_except(words(b), words(a)))
-    both = lambda rest: F.trim(F.concat_ws(" ", shared, rest))
-    contained = (shared != "") & ((only_a == "") | (only_b == ""))
-    ratio = lambda x, y: C.indel_ratio(x, y)
-    best = F.greatest(ratio(both(only_a), both(only_b)), F.when(shared != "", ratio(shared, both(only_a))).otherwise(0.0), F.when(shared != "", ratio(shared, both(only_b))).otherwise(0.0))
-    return F.when(contained, F.lit(100.0)).otherwise(best)
+    text = lambda arr: F.array_join(F.sort_array(arr), " ")
+
+    def compare(v):
+        shared, left, right = v["shared"], F.trim(F.concat_ws(" ", v["shared"], v["a"])), F.trim(F.concat_ws(" ", v["shared"], v["b"]))
+        contained = (shared != "") & ((v["a"] == "") | (v["b"] == ""))
+        with_shared = F.when(shared != "", F.greatest(C.indel_ratio(shared, left), C.indel_ratio(shared, right))).otherwise(0.0)
+        return F.when(contained, F.lit(100.0)).otherwise(F.greatest(C.indel_ratio(left, right), with_shared))
+
+    def parts(v):
+        return C.bind(F.struct(text(F.array_intersect(v["a"], v["b"])).alias("shared"), text(F.array_except(v["a"], v["b"])).alias("a"), text(F.array_except(v["b"], v["a"])).alias("b")), compare)
+
+    return F.when(a.isNotNull() & b.isNotNull(), C.bind(F.struct(words(a).alias("a"), words(b).alias("b")), parts))
 
 
 def fuzzy_edges(suppliers: DataFrame) -> DataFrame:
@@ -73,8 +77,8 @@ def fuzzy_edges(suppliers: DataFrame) -> DataFrame:
     return full.where(alike & backed).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _keep(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """A lineage cut that survives lost executors: a table in the shared folder if one is named, else a checkpoint."""
+def materialise(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """Cuts plan and lineage: a table in the shared folder if one is named, which survives lost executors; else (local sessions) a cached plan."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         path = f"{named.rstrip('/')}/entities-{uuid.uuid4().hex}"
@@ -86,13 +90,13 @@ def _keep(df: DataFrame, spark: SparkSession) -> DataFrame:
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(ord, component): the smallest ord reachable, by minima over neighbours and pointer jumping."""
     spark = nodes.sparkSession
-    both = _keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), spark)
-    labels = _keep(nodes.select("ord", F.col("ord").alias("component")), spark)
+    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), spark)
+    labels = materialise(nodes.select("ord", F.col("ord").alias("component")), spark)
     while True:
         near = both.join(labels.select(F.col("ord").alias("b"), "component"), "b").groupBy(F.col("a").alias("ord")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "ord", "left").select("ord", "component", F.least("component", F.coalesce("near", "component")).alias("next"))
         jump = lower.alias("x").join(lower.select(F.col("ord").alias("o"), F.col("next").alias("far")).alias("y"), F.col("x.next") == F.col("y.o"), "left")
-        moved = _keep(jump.select("ord", "component", F.least("next", F.coalesce("far", "next")).alias("next")), spark)
+        moved = materialise(jump.select("ord", "component", F.least("next", F.coalesce("far", "next")).alias("next")), spark)
         changed = not moved.where("next <> component").isEmpty()
         labels = moved.select("ord", F.col("next").alias("component"))
         if not changed:

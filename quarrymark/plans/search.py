@@ -1,4 +1,8 @@
-"""The whole search over landed data, as one lazy plan: sources, deduplication, facts, companies, scores."""
+"""The whole search over landed data: sources, deduplication, facts, companies, scores.
+
+Plans are lazy within a phase; the records before and after enrichment and the companies are
+materialised, since several joins read each of them.
+"""
 
 from __future__ import annotations
 
@@ -21,22 +25,22 @@ class SearchResult:
 
 
 def numbered(suppliers: DataFrame, start: int = 0) -> DataFrame:
-    """Gives records an ordinal by a hash-free total order of id and name."""
-    order = F.struct(F.xxhash64("id", "name"), "id")
-    return suppliers.withColumn("ord", F.lit(start) + F.abs(F.xxhash64(order)))
+    """Gives records an ordinal from ``start`` on, below ``start`` + 2 ** 61, by a hash of id and name: no global sort."""
+    return suppliers.withColumn("ord", F.lit(start) + F.shiftrightunsigned(F.xxhash64("id", "name"), 3))
 
 
 def search(request: scoring.Request, suppliers: DataFrame, hits: DataFrame, landed: DataFrame, sources: DataFrame, checked_at: Column) -> SearchResult:
     """suppliers and sources come from the providers, hits from the web sources, landed holds fetched pages."""
     known = suppliers if "ord" in suppliers.columns else numbered(suppliers)
-    unique = pages.deduplicate_hits(hits)
+    keep = lambda df: entities.materialise(df, df.sparkSession)
+    unique = keep(pages.deduplicate_hits(hits))
     attached = links.attach_hits(known, unique)
-    fresh = numbered(web.suppliers_from_hits(links.unattached_hits(known, unique), checked_at), 1 << 62)
-    everyone = attached.unionByName(fresh, allowMissingColumns=True)
-    gated = pages.fetch_gates(landed)
-    owned = links.page_owners(gated, everyone).join(gated, "url")
-    enriched = entities.normalize_suppliers(extraction.enrich(everyone, owned, request.category))
-    companies = entities.deduplicate(enriched)
+    fresh = numbered(web.suppliers_from_hits(links.unattached_hits(known, unique), checked_at), 1 << 61)
+    everyone = keep(attached.unionByName(fresh, allowMissingColumns=True))
+    gated = keep(pages.fetch_gates(landed))
+    owned = keep(links.page_owners(gated, everyone).join(gated, "url"))
+    enriched = keep(entities.normalize_suppliers(extraction.enrich(everyone, owned, request.category)))
+    companies = keep(entities.deduplicate(enriched))
     lineage = sources.unionByName(links.hit_sources(unique, everyone), allowMissingColumns=True).unionByName(pages.page_sources(gated), allowMissingColumns=True)
     scored = scoring.score(scoring.mark_unavailable(companies, lineage), request)
     return SearchResult(scoring.rank(scored, request.max_results), lineage, results.run_counters(lineage, scored))
