@@ -34,18 +34,17 @@ class WordEncoder:
     """Encodes whole texts through the tokenizers library, remembering the ids of each run of non-space characters.
 
     The tokenizer drops white space and none of its patterns crosses it, so the ids of a text are
-    those of its space-separated runs in order. Runs not yet known are encoded together, divided by
-    a special token that the runs themselves don't contain.
+    those of its space-separated runs in order. Runs not yet known are encoded together as one
+    text, and the offsets of the tokens tell which run each belongs to.
     """
 
     #: Runs remembered in each of two generations; older ones that are met again move up.
     MOST_KNOWN = 250_000
 
-    def __init__(self, path: str, divider: str = "<|startoftext|>"):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.divider, self.divider_id = divider, self.tokenizer.token_to_id(divider)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -79,14 +78,17 @@ class WordEncoder:
             known[r] = ids.tobytes()
         known.update((core, ids) for core, ids in plain.items() if ids)
         new = [core for core, ids in plain.items() if not ids]
-        for at in range(0, len(new), 1024):
-            part = new[at : at + 1024]
-            ids = self._encode([self.divider.join(r.decode() for r in part)])[0]
-            cuts = np.flatnonzero(ids == self.divider_id)
-            data, begin = ids.tobytes(), 0
-            for r, cut in zip(part, [*cuts.tolist(), len(ids)], strict=True):
-                known[r] = data[4 * begin : 4 * cut]
-                begin = cut + 1
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            words = [r.decode() for r in part]
+            found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+            begins = np.zeros(len(words), np.int64)
+            np.cumsum([len(w) + 1 for w in words[:-1]], out=begins[1:])
+            owner = np.searchsorted(begins, [o[0] for o in found.offsets], side="right") - 1
+            cuts = (4 * np.searchsorted(owner, np.arange(len(words) + 1))).tolist()
+            data = np.array(found.ids, np.uint32).tobytes()
+            for r, i, j in zip(part, cuts[:-1], cuts[1:], strict=True):
+                known[r] = data[i:j]
         for r, core, mark in derived:
             known[r] = known[core] + self.marks[mark]
 
