@@ -94,4 +94,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
 }
 
-ORACLES: dict[str, str] = {}
+_SHINGLES = r"""unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))"""
+_WORDS = r"list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w"
+
+ORACLES: dict[str, str] = {
+    "op6_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS} FROM documents), b AS (SELECT item_id, {_WORDS} FROM benchmark),
+ ds AS (SELECT DISTINCT doc_id, {_SHINGLES} AS g FROM d WHERE len(w) >= 5), bs AS (SELECT DISTINCT item_id, {_SHINGLES} AS g FROM b WHERE len(w) >= 5),
+ n AS (SELECT item_id, count(*) AS item_shingles FROM bs GROUP BY item_id)
+ SELECT doc_id, item_id, item_shingles, count(*) AS shared_shingles FROM ds JOIN bs USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, item_shingles HAVING count(*) >= 0.8 * item_shingles""",
+}
