@@ -65,6 +65,9 @@ class WordEncoder:
             if found is not None:
                 known[r] = found
                 continue
+            if r.isalpha() and r.islower():
+                plain[r] = b""
+                continue
             if b"<|" in r:
                 marked.append(r)
                 continue
