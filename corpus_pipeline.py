@@ -5,7 +5,8 @@ every stage's result as Parquet in the shared folder and reads it again for the
 the last return the columns of documents.
 
 - quality: documents whose probability of more than the lowest grade is below one half go.
-- near_dedup: of each group of near duplicates the document with the smallest doc_id stays.
+- near_dedup: of each group of near duplicates, linked where at least 0.8 of their 5-word shingles
+  are shared (Jaccard; op1_near_dedup has 0.85), the document with the smallest doc_id stays.
 - decontaminate: documents that contain a benchmark item go.
 - mix: documents are repeated or left out so that sources meet their target weights.
 - token_files: the ids of the mix in bit-packed block files, read back.
@@ -24,6 +25,7 @@ from quarrymark.llm.queries import WORD_TOKENIZER, tokenizer_path
 from quarrymark.session import ship
 
 SMALL_ROWS = 1_000_000
+NEAR_PERCENT = 80
 _MARK = "__quarrymark_stage"
 
 
@@ -35,7 +37,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = near_dedup.near_duplicates(docs)
+    found = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(_MARK)).distinct()
     gone = Scratch(spark, "dedup-stage").write(gone, "gone")
     return docs.join(broadcast_if_small(gone, SMALL_ROWS), F.col("doc_id") == F.col(_MARK), "left_anti")

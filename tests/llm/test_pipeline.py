@@ -21,3 +21,22 @@ def test_pipeline_stages(spark, sf_dir):
     assert mixed.columns == columns
     tokens = stages["token_files"](spark, mixed, sf_dir)
     assert tokens.count() == mixed.count()
+
+
+def test_near_dedup_stage_links_from_four_fifths(spark, sf_dir):
+    from test_llm import brute_components, shingles
+
+    rows = []
+    for i in range(30):  # one or two separated words changed: 0.90 and 0.81; three: 0.73, which stays
+        for k in range(4):
+            words = [f"w{i}x{n}" for n in range(100)]
+            for at in (20, 50, 80)[:k] if k != 2 else (35, 65):
+                words[at] = f"v{k}"
+            rows.append((4 * i + k, " ".join(words)))
+    similarity = lambda a, b: len(a & b) / len(a | b)
+    sets = [shingles(t) for _, t in rows]
+    assert sum(0.8 <= similarity(sets[4 * i], sets[4 * i + 2]) < 0.85 for i in range(30)) == 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in dict(pipeline.STAGES)["near_dedup"](spark, docs, sf_dir).collect())
+    want = sorted(set(brute_components(rows, 80)[0].values()))
+    assert kept == want and want != sorted(set(brute_components(rows, 85)[0].values()))
