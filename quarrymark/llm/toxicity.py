@@ -4,7 +4,10 @@ Restoring is noisy-channel decoding. Words that mix letters with look-alike sign
 part single letters by signs, or are spelled out one letter at a time span a lattice of possible
 characters (itself, letters it may stand for, nothing); Viterbi finds the likeliest path under a
 character trigram model counted over the whole corpus. The score is a logistic function of which
-word and word-beginning features the restored text has; features and weights are learned
+word and word-beginning features the restored text has, the raw text and its parts between inner
+punctuation included. Runs of more than ``LONGEST`` characters are read in overlapping pieces, and
+scripts without spaces at every position, so that each character of a text can change its score;
+only repeats beyond the second, which restoring drops, are squeezed before. Features and weights are learned
 from at most ``most_rows`` labelled documents, those with the smallest hash of doc_id.
 
 Defined results: null and empty texts get the score of a text without features; documents with
@@ -40,7 +43,10 @@ _CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
 _CODE[128:] = 27
 _CODE[48:58] = 28
 _MIXED = re.compile(r"[^\W\d_][0-9@$!|+(€]+[^\W\d_]|^[0-9@$!|+(€][^\W\d_]{2}|[^\W\d_]{2}[0-9@$|+(€]$|([^\W\d_])\1\1|(?:[^\W\d_][.\-_*~^'`,]+){3}")
-_ENDS = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+_LETTER = re.compile(r"[^\W\d_]")
+_INNER = re.compile(r"[!-/:-@\[-`{-~\u2010-\u205e\u3000-\u3003\u3008-\u3011\uff01-\uff0f\uff1a-\uff20]+")
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+_STRETCHED, _PARTED = re.compile(r"(.)\1{2,}", re.I | re.S), re.compile(r"[.\-_*~^'`,]{2,}")
 
 
 def char_code(c: str) -> int:
@@ -66,7 +72,7 @@ class CharModel:
         costs = self.costs
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         before = ""
-        for c in word[:LONGEST].lower():
+        for c in word.lower():
             options: list[tuple[str, float]] = []
             if c.isalpha():
                 options.append((c, 0.0))
@@ -118,12 +124,26 @@ def char_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 def word_features(word: str) -> list[int]:
     """Hashes of a plain word and of its beginnings."""
-    core = _ENDS.sub("", word).lower()[:LONGEST]
+    first = _LETTER.search(word)
+    if first is None:
+        return []
+    core = word[first.start() : len(word) - _LETTER.search(word[::-1]).start()].lower()
     if len(core) < 3:
         return []
     return [zlib.crc32(x.encode()) for x in (core + "$", *(core[:n] for n in (4, 5, 6) if len(core) >= n))]
 
 
+def squeeze(run: str) -> str:
+    """Repeats of a character cut to two and of separators to one: restoring drops them anyway."""
+    return _PARTED.sub(lambda m: m[0][0], _STRETCHED.sub(r"\1\1", run))
+
+
+def pieces(run: str) -> list[str]:
+    """The whole run in overlapping pieces; a word of up to half a piece lies whole in one of them."""
+    half = LONGEST // 2
+    return [run[at : at + LONGEST] for at in range(0, max(1, len(run) - half), half)]
+
+
 class Reader:
     """The features of whole texts, raw and restored."""
 
@@ -131,10 +151,27 @@ class Reader:
         self.chars = chars
 
     def word(self, word: str) -> list[int]:
-        found = word_features(word)
-        if _MIXED.search(word):
-            for part in self.chars.restore(word).split():
-                found = found + word_features(part)
+        found = self.run(word)
+        parts = [p for p in _INNER.split(word) if p]
+        if len(parts) > 1:
+            for part in dict.fromkeys(parts):
+                found += self.run(part)
+        return found
+
+    def run(self, run: str) -> list[int]:
+        """Features of a run without white space, of its pieces if it is long, and of what they may stand for."""
+        found = word_features(run)
+        if _UNSPACED.search(run):
+            return found + [zlib.crc32(run[at : at + n].lower().encode()) for at in range(len(run)) for n in (2, 3, 4) if at + n <= len(run)]
+        squeezed = squeeze(run)
+        long = len(squeezed) > LONGEST
+        if not long and not _MIXED.search(run):
+            return found
+        for piece in pieces(squeezed):
+            if long:
+                found += word_features(piece)
+            for part in self.chars.restore(piece, spelled=long).split():
+                found += word_features(part)
         return found
 
     def spelled(self, words: list[str]) -> list[int]:
@@ -149,8 +186,8 @@ class Reader:
                 run.append(w)
                 continue
             if len(run) >= 4:
-                for at in range(0, len(run), LONGEST // 2):
-                    for part in self.chars.restore("".join(run[at : at + LONGEST]), spelled=True).split():
+                for piece in pieces("".join(run)):
+                    for part in self.chars.restore(piece, spelled=True).split():
                         found += word_features(part)
             run = []
         return found

@@ -231,6 +231,37 @@ def test_toxicity(spark, docs, empty):
     assert all(0 <= r["toxicity"] <= 1 for r in toxicity.score(docs, blank).collect())
 
 
+def toxic_model(spark, toxic):
+    """A model over calm words, some doubled, and one toxic word a document."""
+    rng = np.random.default_rng(5)
+    calm = ["the", "letter", "good", "summer", "people", "water", "garden", "window", "hello", "mountain", "river", "story", "market", "evening"]
+    data = [(i, " ".join([*rng.choice(calm, 30), *([toxic[i // 5 % len(toxic)]] if i % 5 == 0 else ["stonewall"])]), int(i % 5 == 0)) for i in range(400)]
+    table = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    return toxicity.fit(table.select("doc_id", "text"), table)
+
+
+def toxic_scores(spark, model, tests):
+    return [r["toxicity"] for r in toxicity.score(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+
+
+def test_toxicity_reads_long_runs_to_their_end(spark):
+    model = toxic_model(spark, ["grumblefoot", "\u574f\u4eba\u8fc7\u6765"])
+    fill = ["river", "garden", "window", "mountain", "evening", "market", "story", "water"] * 3
+    bad = [c.join([*fill, "grumblefoot", *fill]) for c in (",", "_", "-", "/", "")]
+    bad += [".....".join("grumblefoot"), "g" * 60 + "rumblefoot", "\u4f60\u597d\u6c34\u5c71" * 15 + "\u574f\u4eba\u8fc7\u6765" + "\u4f60\u597d\u6c34\u5c71" * 15]
+    good = [c.join([*fill, *fill]) for c in (",", "_", "-", "/", "")] + [".....".join("mountain"), "g" * 60 + "arden", "\u4f60\u597d\u6c34\u5c71" * 30]
+    out = toxic_scores(spark, model, bad + good)
+    assert min(out[: len(bad)]) > 0.3 > max(out[len(bad) :]), out
+
+
+def test_toxicity_pieces_hold_every_character():
+    for n in (0, 1, 39, 40, 41, 60, 61, 80, 99, 1000):
+        run = "".join(chr(0x4000 + k) for k in range(n))
+        cut = toxicity.pieces(run)
+        assert set("".join(cut)) == set(run) and all(len(p) <= toxicity.LONGEST for p in cut)
+        assert all(any(run[k : k + 20] in p for p in cut) for k in range(max(1, n - 19)))
+
+
 def test_prefix_counts_equal_library(docs, empty):
     import sentencepiece
 
