@@ -1,7 +1,7 @@
 """Toxicity behind disguised spelling: restore the text, then score it.
 
-Restoring is noisy-channel decoding. Words that mix letters with look-alike signs, stretch letters,
-part single letters by signs, or are spelled out one letter at a time span a lattice of possible
+Restoring is noisy-channel decoding. Words that mix letters with look-alike signs or separators,
+double letters, or are spelled out one letter at a time (from three on) span a lattice of possible
 characters (itself, letters it may stand for, nothing); Viterbi finds the likeliest path under a
 character trigram model counted over the whole corpus. The score is a logistic function of which
 word and word-beginning features the restored text has, the raw text and its parts between inner
@@ -42,10 +42,12 @@ _CODE[[9, 10, 11, 12, 13, 32]] = 0
 _CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
 _CODE[128:] = 27
 _CODE[48:58] = 28
-_MIXED = re.compile(r"[^\W\d_][0-9@$!|+(€]+[^\W\d_]|^[0-9@$!|+(€][^\W\d_]{2}|[^\W\d_]{2}[0-9@$|+(€]$|([^\W\d_])\1\1|(?:[^\W\d_][.\-_*~^'`,]+){3}")
+_MIXED = re.compile(r"[^\W\d_][0-9@$!|+(€.\-_*~^'`,]+[^\W\d_]|^[0-9@$!|+(€]+[^\W\d_]|[^\W\d_][0-9@$|+(€]+$|([^\W\d_])\1", re.I)
+_BEFORE, _BEHIND = "\"'[{<", ".,;:?!\"')]}>"
 _LETTER = re.compile(r"[^\W\d_]")
 _INNER = re.compile(r"[!-/:-@\[-`{-~\u2010-\u205e\u3000-\u3003\u3008-\u3011\uff01-\uff0f\uff1a-\uff20]+")
 _UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+_DOUBLED = re.compile(r"([^\W\d_])\1+", re.I)
 _STRETCHED, _PARTED = re.compile(r"(.)\1{2,}", re.I | re.S), re.compile(r"[.\-_*~^'`,]{2,}")
 
 
@@ -59,6 +61,9 @@ class CharModel:
 
     costs: np.ndarray
 
+    def __post_init__(self):
+        self.flat: list[float] = self.costs.ravel().tolist()  # quicker to index one by one
+
     @classmethod
     def from_counts(cls, counts: np.ndarray) -> CharModel:
         cube = counts.reshape(CLASSES, CLASSES, CLASSES).astype(float)
@@ -69,7 +74,7 @@ class CharModel:
 
     def restore(self, word: str, spelled: bool = False) -> str:
         """The likeliest reading of a word; of a letter run, words parted by spaces."""
-        costs = self.costs
+        flat = self.flat
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         before = ""
         for c in word.lower():
@@ -90,17 +95,17 @@ class CharModel:
                 for out, extra in options:
                     ways = [(a, b, cost + extra, text)]
                     if spelled and out and text:
-                        ways.append((b, 0, cost + extra + CUT_COST + costs[a, b, 0], text + " "))
+                        ways.append((b, 0, cost + extra + CUT_COST + flat[(a * CLASSES + b) * CLASSES], text + " "))
                     for p, q, total, so_far in ways:
                         if out:
                             r = char_code(out)
-                            total, key = total + costs[p, q, r], (q, r)
+                            total, key = total + flat[(p * CLASSES + q) * CLASSES + r], (q, r)
                         else:
                             key = (p, q)
                         if key not in following or total < following[key][0]:
                             following[key] = (total, so_far + out)
             states, before = following, c
-        return min(((cost + costs[a, b, 0], text) for (a, b), (cost, text) in states.items()), default=(0.0, ""))[1]
+        return min(((cost + flat[(a * CLASSES + b) * CLASSES], text) for (a, b), (cost, text) in states.items()), default=(0.0, ""))[1]
 
 
 def char_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -164,20 +169,27 @@ class Reader:
         if _UNSPACED.search(run):
             return found + [zlib.crc32(run[at : at + n].lower().encode()) for at in range(len(run)) for n in (2, 3, 4) if at + n <= len(run)]
         squeezed = squeeze(run)
-        long = len(squeezed) > LONGEST
-        if not long and not _MIXED.search(run):
-            return found
-        for piece in pieces(squeezed):
-            if long:
+        if len(squeezed) > LONGEST:
+            for piece in pieces(squeezed):
                 found += word_features(piece)
-            for part in self.chars.restore(piece, spelled=long).split():
+                for part in self.chars.restore(piece, spelled=True).split():
+                    found += word_features(part)
+            return found
+        bare = squeezed.lstrip(_BEFORE).rstrip(_BEHIND)
+        if not _MIXED.search(bare):
+            return found
+        for form in {bare: 0, bare.lstrip("("): 0}:  # a bracket, or a look-alike of c
+            for part in self.chars.restore(form).split():
                 found += word_features(part)
+        single = _DOUBLED.sub(r"\1", bare)
+        if single != bare:
+            found += word_features(single)
         return found
 
     def spelled(self, words: list[str]) -> list[int]:
-        """Features of runs of at least four single characters."""
+        """Features of runs of at least three single characters."""
         singles = [len(w) == 1 for w in words]
-        if sum(singles) < 4:
+        if sum(singles) < 3:
             return []
         found: list[int] = []
         run: list[str] = []
@@ -185,8 +197,9 @@ class Reader:
             if single:
                 run.append(w)
                 continue
-            if len(run) >= 4:
+            if len(run) >= 3:
                 for piece in pieces("".join(run)):
+                    found += word_features(piece)
                     for part in self.chars.restore(piece, spelled=True).split():
                         found += word_features(part)
             run = []

@@ -254,6 +254,14 @@ def test_toxicity_reads_long_runs_to_their_end(spark):
     assert min(out[: len(bad)]) > 0.3 > max(out[len(bad) :]), out
 
 
+def test_toxicity_decodes_every_disguise(spark):
+    model = toxic_model(spark, ["idiot", "moron", "worthless", "ass"])
+    bad = ["id.iot", "mor-on", "wo.rth.less", "idi*ot", "mooron", "iidiot", "a s s", "a$s", "a$$", "(m.o.ron).", "i d i o t", "wwoorthless"]
+    good = ["let.ter", "gar-den", "sum.mer", "wa*ter", "goood", "rriver", "t h e", "w1ndow", "peop|e", "(m.a.rket).", "w a t e r", "ggaarden"]
+    out = toxic_scores(spark, model, [f"the river {x} water" for x in bad + good])
+    assert min(out[: len(bad)]) > 0.3 > max(out[len(bad) :]), list(zip(bad + good, out, strict=True))
+
+
 def test_toxicity_pieces_hold_every_character():
     for n in (0, 1, 39, 40, 41, 60, 61, 80, 99, 1000):
         run = "".join(chr(0x4000 + k) for k in range(n))
