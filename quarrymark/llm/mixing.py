@@ -87,10 +87,11 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0,
     g, t = goals.alias("g"), totals.alias("t")
     mean = F.greatest(F.col("t.source_size") / F.col("documents"), F.lit(1e-9))
     goals = scratch.write(g.join(t, F.expr("g.source <=> t.source")).select("g.source", "g.source_size", "target", mean.alias("mean")), "goals")
+    # a source without words has no tilt, but its rows are returned all the same
     tilts = balance(cells, goals, scratch, most_copies)
     c, s, w = cells.alias("c"), tilts.alias("s"), goals.alias("w")
-    rate = F.when(F.col("target") >= most_copies * F.col("source_size"), F.lit(float(most_copies))).otherwise(F.least(F.lit(float(most_copies)), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(50.0)))))
-    rated = c.join(F.broadcast(w), F.expr("c.source <=> w.source")).join(F.broadcast(s), F.expr("c.source <=> s.source")).select("c.source", "size", "n", "source_size", "target", rate.alias("rate"))
+    rate = F.when(F.col("target") >= most_copies * F.col("source_size"), F.lit(float(most_copies))).otherwise(F.least(F.lit(float(most_copies)), F.exp(F.least(F.coalesce("tilt", F.lit(0.0)) * F.col("size") / F.col("mean"), F.lit(50.0)))))
+    rated = c.join(F.broadcast(w), F.expr("c.source <=> w.source")).join(F.broadcast(s), F.expr("c.source <=> s.source"), "left").select("c.source", "size", "n", "source_size", "target", rate.alias("rate"))
     # largest sizes first: copies of a cell follow the running target, and the error goes to smaller sizes
     listed = rated.groupBy("source").agg(F.reverse(F.sort_array(F.collect_list(F.struct("size", "n", "rate")))).alias("steps"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
     start = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<struct<size:bigint,n:bigint,rate:double,total:bigint>>").alias("out"))

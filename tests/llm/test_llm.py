@@ -183,6 +183,16 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("rows", [[(1, "some words here", "a"), (2, None, "b"), (3, " ", "b"), (4, None, None), (5, "more of them", "a")], [(1, None, "a"), (2, "", "b"), (3, "\t\n", None)]])
+def test_mixing_returns_sources_without_words(spark, rows):
+    got = {r["doc_id"]: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert sorted(got) == [i for i, *_ in rows]
+    for i, text, source in rows:
+        if not (text or "").strip():
+            assert (got[i]["source"], got[i]["size"], got[i]["copies"], got[i]["source_size"]) == (source, 0, 0, 0)
+            assert got[i]["target"] == 0
+
+
 def test_decontamination(spark, docs, empty):
     items = [(1, " ".join(f"word{i}" for i in range(40, 60))), (2, " ".join(f"tail{i}" for i in range(10, 30)).replace("tail20", "zzz")), (3, "few words"), (4, None), (5, " ".join(f"tail{i}" for i in range(70, 76))), (6, " ".join(f"tail{i}" for i in range(20)).replace("tail5", "q").replace("tail12", "q")), (None, BASE)]
     bench = spark.createDataFrame(items, "item_id long, text string")
