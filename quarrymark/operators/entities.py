@@ -56,17 +56,47 @@ def token_set_ratio(a, b):
     return F.when(a.isNotNull() & b.isNotNull(), C.bind(F.struct(words(a).alias("a"), words(b).alias("b")), parts))
 
 
+def _sorted_words(x):
+    return F.sort_array(F.array_distinct(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")))
+
+
+def _grams(x):
+    """Character pairs of a text with a mark before it; an empty text has the mark alone."""
+    marked = F.concat(F.lit("^"), x)
+    return F.when(F.length(x) == 0, F.array(F.lit("^"))).otherwise(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.substring(marked, i, F.lit(2))))
+
+
+def _prefix(grams, text):
+    """Of the numbered pairs, as many in hash order as two texts 90 alike must share one of.
+
+    Texts 90 alike differ by at most 2/9 of the length of either in inserted and deleted
+    characters, each of which changes two pairs at most.
+    """
+    numbered = F.transform(grams, lambda g, i: F.xxhash64(g, F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda h: h == g))))
+    return F.slice(F.sort_array(numbered), F.lit(1), (2 * F.floor(F.length(text) * 2 / 9 + 1e-9) + 1).cast("int"))
+
+
 def fuzzy_edges(suppliers: DataFrame) -> DataFrame:
     """(a, b) of alike names backed by the same e-mail domain or alike addresses.
 
     Blocks: the e-mail domain, or a word of the address, with a class of the name's length. Lengths
     of names 90 alike differ by less than a factor 9/11, so neighbouring classes of a logarithmic
-    scale hold every such pair; addresses 90 alike share a word unless every word is misspelt.
+    scale hold every such pair. Addresses 90 alike share a word or are 90 alike as strings of sorted
+    words; for those that share short words or none, pairs of characters of the name go with the
+    short words and with pairs of characters of the address, so no pair is missed.
     """
     rows = suppliers.select("ord", C.normalize_company_name("name").alias("name"), F.lower(C.clean_text("address")).alias("address"), C.blank_to_null(F.regexp_extract(F.coalesce("email", F.lit("")), "@(.+)$", 1)).alias("mail")).where("name is not null")
     size = F.floor(F.log(F.length("name").cast("double")) / 0.2006).cast("int")
     blocks = F.concat(F.array_compact(F.array(F.concat(F.lit("m:"), F.col("mail")))), F.transform(F.filter(F.split(F.coalesce("address", F.lit("")), r"(?U)[\s,.]+"), lambda w: F.length(w) > 2), lambda w: F.concat(F.lit("a:"), w)))
-    sized = rows.withColumn("block", F.explode(F.array_distinct(blocks))).withColumn("size", F.explode(F.array(size - 1, size, size + 1)))
+    ordered = lambda x: F.array_join(F.sort_array(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")), " ")
+    # a projection for each step: arrays inside lambdas would be computed again for every element
+    texts = rows.withColumn("block", F.array_distinct(blocks)).withColumns({"n_text": ordered(F.col("name")), "words": _sorted_words(F.col("address"))}).withColumn("a_text", F.array_join("words", " "))
+    paired = texts.withColumns({"n_grams": _grams(F.col("n_text")), "a_grams": _grams(F.col("a_text"))}).withColumns({"n_keys": _prefix(F.col("n_grams"), F.col("n_text")), "a_keys": _prefix(F.col("a_grams"), F.col("a_text"))})
+    short = F.filter("words", lambda w: ~F.exists(F.split(w, r"[\s,.]+"), lambda v: F.length(v) > 2))
+    second = F.concat(F.transform(short, lambda w: F.concat(F.lit("s:"), w)), F.transform("a_keys", lambda k: F.concat(F.lit("g:"), k.cast("string"))))
+    paired = paired.withColumn("second", F.coalesce(second, F.array().cast("array<string>")))
+    both = F.flatten(F.transform("second", lambda w: F.transform("n_keys", lambda k: F.concat_ws(":", w, k.cast("string")))))
+    sized = paired.withColumn("block", F.array_distinct(F.concat("block", both))).select(*rows.columns, F.explode("block").alias("block")).withColumn("size", F.explode(F.array(size - 1, size, size + 1)))
     left = sized.where(F.col("size") == size)
     a, b = left.alias("a"), sized.alias("b")
     pairs = a.join(b, ["block", "size"]).where("a.ord <> b.ord").select(F.least("a.ord", "b.ord").alias("x"), F.greatest("a.ord", "b.ord").alias("y")).distinct()

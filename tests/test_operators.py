@@ -244,3 +244,23 @@ def test_whole_search(spark):
     groups = {r["name"]: r["result_group"] for r in out.companies.collect()}
     assert groups == {"ООО Ромашка": "verified", "Василёк": "candidate"} or groups["ООО Ромашка"] == "verified"
     assert out.counters.first()["suppliers_found"] == 1
+
+
+def test_fuzzy_edges_miss_no_alike_address(spark):
+    import random
+
+    r = random.Random(4)
+
+    def misspelt(text):
+        at = r.randrange(len(text) + 1)
+        return text[:at] + r.choice("абвгд") + text[at:]
+
+    rows = [("Ромашка Трейд", "Екатеринбург"), ("Ромашка Трейд", "Екатиринбург"), ("Ромашка Трейд", "д 5"), ("Ромашки Трейд", "д 5"), ("Ромашка Трейд", None)]
+    for name, address in (("Северная птица компания", "Новосибирск"), ("Уральский мясокомбинат", "Екатеринбург Первомайская"), ("аб", "Пермь"), ("Курица", "д 12 к 3")):
+        rows += [(name, address), *((misspelt(name), " ".join(map(misspelt, address.split()))) for _ in range(6))]
+    df = spark.createDataFrame([(i, n, a, None) for i, (n, a) in enumerate(rows)], "ord long, name string, address string, email string")
+    full = df.select("ord", entities.C.normalize_company_name("name").alias("name"), F.lower(entities.C.clean_text("address")).alias("address"))
+    x, y = full.alias("x"), full.alias("y")
+    alike = (entities.C.token_sort_ratio(F.col("x.name"), F.col("y.name")) >= 90) & (entities.token_set_ratio(F.col("x.address"), F.col("y.address")) >= 90)
+    want = {tuple(p) for p in x.crossJoin(y).where("x.ord < y.ord").where(alike).select("x.ord", "y.ord").collect()}
+    assert {(r["a"], r["b"]) for r in entities.fuzzy_edges(df).collect()} == want and {(0, 1), (2, 3)} <= want
