@@ -43,8 +43,12 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, share: int = 1, **options: str) -> DataFrame:
+        """Writes and rereads a table. One whose rows are small beside the operator's input (ids, links)
+        is written by a ``share``-th of the shuffle's tasks, so that it isn't thousands of tiny files."""
         path = f"{self.base}/{name}"
+        if share > 1:
+            df = df.coalesce(max(4, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // share))
         df.write.mode("overwrite").options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -106,19 +110,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words of all texts, and the index of each text's first word (plus the end)."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = _IS_SPACE[data]
-    inside = np.diff(np.concatenate(([True], space)).astype(np.int8))
-    starts, ends = np.flatnonzero(inside == -1), np.flatnonzero(inside == 1)
+def byte_range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges of the data, A-Z as a-z."""
     up, down = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, each closed by a line feed, and where each begins (plus the end)."""
     offsets = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=offsets[1:])
-    return hashes, np.searchsorted(starts, offsets)
+    return np.frombuffer(b"\n".join(texts) + b"\n", np.uint8), offsets
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased words of all texts, and the index of each text's first word (plus the end)."""
+    data, offsets = joined(texts)
+    inside = np.diff(np.concatenate(([True], _IS_SPACE[data])).astype(np.int8))
+    starts, ends = np.flatnonzero(inside == -1), np.flatnonzero(inside == 1)
+    return byte_range_hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:

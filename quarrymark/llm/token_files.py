@@ -7,7 +7,8 @@ with their token offsets, the width and the packed payload. A block is found by
 and unpacked with numpy alone, so any token or document can be read without its neighbours.
 
 Defined results: null text encodes as empty, so its ids are the end id alone; documents without
-doc_id sort first; repeated doc_ids follow each other, ordered by text.
+doc_id sort first; repeated doc_ids follow each other, ordered by a hash of the text; an empty table
+gives no blocks; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, slices
+from .common import Scratch, byte_range_hashes, chunks, joined, slices
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 16
@@ -30,82 +31,100 @@ BLOCKS = "shard int, block int, first_token long, doc_ids array<long>, offsets a
 _encoders: dict[str, WordEncoder] = {}
 
 
+_SPACE, _ALPHA, _DIGIT, _SIGN, _OTHER = range(5)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[33:127] = _SIGN
+_CLASS[ord("'")] = _OTHER  # begins the pattern's contractions
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _ALPHA
+_CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
+
+
+def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches of the data that the tokenizer treats apart from each other.
+
+    It drops white space and cuts letters, single digits and signs from each other. Beyond ASCII
+    only the letters of the block that begins with byte C3 are told from other characters; those,
+    the apostrophe and control characters stay with what stands beside them.
+    """
+    kind = _CLASS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _ALPHA
+    a, b = kind[:-1], kind[1:]
+    known = (a < _OTHER) & (b < _OTHER)
+    cut = (known & ((a != b) | (a == _DIGIT))) | (a == _SPACE) | (b == _SPACE)
+    starts = np.concatenate(([0], np.flatnonzero(cut) + 1))
+    ends = np.append(starts[1:], len(data))
+    full = kind[starts] != _SPACE
+    return starts[full], ends[full]
+
+
 class WordEncoder:
-    """Encodes whole texts through the tokenizers library, remembering the ids of each run of non-space characters.
+    """Encodes whole texts through the tokenizers library, remembering the ids of each segment.
 
-    The tokenizer drops white space and none of its patterns crosses it, so the ids of a text are
-    those of its space-separated runs in order. Runs not yet known are encoded together as one
-    text, and the offsets of the tokens tell which run each belongs to.
+    The ids of a text are those of its segments in order. Segments are told apart by a 64-bit hash
+    within a piece of text, then looked up by their lower-case bytes; those not yet known are
+    encoded together as one text, and the offsets of the tokens tell which segment each belongs
+    to. Texts that may hold a special token, whose case counts, are encoded whole.
     """
 
-    #: Runs remembered in each of two generations; older ones that are met again move up.
-    MOST_KNOWN = 250_000
+    #: Segments and ids remembered; beyond either the memory starts anew.
+    MOST_KNOWN, MOST_IDS = 500_000, 1 << 22
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.marks = {m.encode(): ids.tobytes() for m, ids in zip(("", ".", ",", "!"), self._encode(["", ".", ",", "!"]), strict=True)}
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, runs: set[bytes]) -> None:
-        """Ids of new runs. The tokenizer lower-cases, and cuts marks from a letter or digit, so a run's
-        ids are those of its lower-case core and of one closing mark; only unknown cores are encoded."""
-        known, older = self.known, self.older
-        marked: list[bytes] = []
-        plain: dict[bytes, bytes] = {}
-        derived: list[tuple[bytes, bytes, bytes]] = []
-        for r in runs:
-            found = older.get(r)
-            if found is not None:
-                known[r] = found
-                continue
-            if r.isalpha() and r.islower():
-                plain[r] = b""
-                continue
-            if b"<|" in r:
-                marked.append(r)
-                continue
-            core = r.lower()
-            mark = core[-1:] if core[-1:] in self.marks and core[-2:-1].isalnum() else b""
-            core = core[: len(core) - len(mark)]
-            derived.append((r, core, mark))
-            if core not in known:
-                plain[core] = older.get(core, b"")
-        for r, ids in zip(marked, self._encode([r.decode() for r in marked]), strict=True):
-            known[r] = ids.tobytes()
-        known.update((core, ids) for core, ids in plain.items() if ids)
-        new = [core for core, ids in plain.items() if not ids]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.begins = np.zeros(1, np.int64)  # of each segment's ids, plus the end
+        self.ids = np.empty(0, np.uint32)
+
+    def _learn(self, new: list[bytes]) -> None:
+        begins, ids = [self.begins], [self.ids]
         for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            words = [r.decode() for r in part]
+            words = [w.decode() for w in new[at : at + 4096]]
             found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-            begins = np.zeros(len(words), np.int64)
-            np.cumsum([len(w) + 1 for w in words[:-1]], out=begins[1:])
-            owner = np.searchsorted(begins, [o[0] for o in found.offsets], side="right") - 1
-            cuts = (4 * np.searchsorted(owner, np.arange(len(words) + 1))).tolist()
-            data = np.array(found.ids, np.uint32).tobytes()
-            for r, i, j in zip(part, cuts[:-1], cuts[1:], strict=True):
-                known[r] = data[i:j]
-        for r, core, mark in derived:
-            known[r] = known[core] + self.marks[mark]
+            first = np.zeros(len(words), np.int64)
+            np.cumsum([len(w) + 1 for w in words[:-1]], out=first[1:])
+            owner = np.searchsorted(first, [o[0] for o in found.offsets], side="right") - 1
+            begins.append(begins[-1][-1] + np.searchsorted(owner, np.arange(1, len(words) + 1)))
+            ids.append(np.array(found.ids, np.uint32))
+        self.begins, self.ids = np.concatenate(begins), np.concatenate(ids)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+
+    def _entries(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > self.MOST_KNOWN or len(self.ids) > self.MOST_IDS:
+            self._forget()
+        found = list(map(self.known.get, words))
+        if None in found:
+            self._learn(list(dict.fromkeys(w for w, n in zip(words, found, strict=True) if n is None)))
+            found = list(map(self.known.__getitem__, words))
+        return np.array(found, np.int64)
+
+    def _encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        data, offsets = joined(texts)
+        starts, ends = segments(data)
+        _, at, inverse = np.unique(byte_range_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        lowered = data.tobytes().lower()
+        entry = self._entries([lowered[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])[inverse]
+        first = self.begins[entry]
+        size = self.begins[entry + 1] - first
+        to = np.zeros(len(entry) + 1, np.int64)
+        np.cumsum(size, out=to[1:])
+        ids = self.ids[np.repeat(first - to[:-1], size) + np.arange(to[-1])]
+        cuts = to[np.searchsorted(starts, offsets)].tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield ids[a:b]
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         for part in chunks(texts):
-            parts = [t.split() for t in part]
-            fresh = set().union(*parts).difference(self.known)
-            if len(self.known) + len(fresh) > self.MOST_KNOWN:
-                self.older, self.known = self.known, {}
-                fresh = set().union(*parts)
-            self._learn(fresh)
-            get = self.known.__getitem__
-            for runs in parts:
-                yield np.frombuffer(b"".join(map(get, runs)), np.uint32)
+            for text, found in zip(part, self._encode([b"" if b"<|" in t else t for t in part]), strict=True):
+                yield np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32) if b"<|" in text else found
 
 
 def encoder(path: str) -> WordEncoder:
@@ -167,7 +186,9 @@ def write_blocks(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int
         if ids:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash parts documents of the same doc_id, or of none, over tasks
+    dealt = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*dealt).sortWithinPartitions(*dealt, "text")
     return scratch.write(ordered.mapInArrow(run, BLOCKS), "tokens", compression="uncompressed")
 
 
@@ -179,7 +200,7 @@ def read_documents(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 offsets = row["offsets"]
                 ids = unpack(row["payload"], row["bits"], 0, offsets[-1]).astype("<u4")
                 n = len(row["doc_ids"])
