@@ -1,18 +1,26 @@
 """MinHash near-duplicate detection with an LSH forest.
 
-Each distinct shingle set gets ``TREES * DEPTH`` MinHash values, cut into one label of
-``DEPTH`` values per tree. A tree is one sorted order of all labels, dealt by range over the
+Each distinct shingle set gets ``TREES * DEPTH`` MinHash values, cut into one label of ``DEPTH``
+values of 16 bits per tree. A tree is one sorted order of all labels, dealt by range over the
 tasks. Neighbours in an order that share at least ``LEAST`` leading values are candidates, the
-``WINDOW`` next ones of each row, so where labels crowd, the window holds those with the longest
-common prefixes and the effective depth grows with the region. A region (rows with the same
-``LEAST`` leading values) that is wider than the window or touches the edge of a task is
-noted, and after the first links are merged, its pairs between different components are compared
-in blocks, so that no candidate of the forest is lost. Exact copies collapse before, by a
-128-bit hash of the set, and links are confirmed on full shingle sets.
+``WINDOW`` next ones of each row: where labels crowd, the window holds those with the longest
+common prefixes, so the depth adapts to the region. A region (rows with the same ``LEAST``
+leading values) that is wider than the window or touches the edge of a task is noted. After the
+first links are merged, those noted regions that still hold several components are descended: a
+region of more than ``CELL_BYTES`` of shingle sets is parted by the next label value, and so on to
+``DEPTH``; a cell that is still larger then is compared block against block. So no candidate of
+the forest is lost, no task holds more than two blocks, and the cost of a crowd falls with each
+value by which it is parted. Exact copies collapse before, by a 128-bit hash of the set, and links
+are confirmed on full shingle sets.
+
+Recall of the candidates: a pair of similarity s shares ``DEPTH`` values in some tree with
+probability 1 - (1 - s ** DEPTH) ** TREES, which is 0.99996 at 0.85 and 0.997 at 0.80, and
+``LEAST`` values, all that a region which is not crowded asks for, with more than 0.99993.
 
 Defined results: null, empty or blank texts have the empty set and link with nothing; rows that
 repeat a doc_id are returned once each, every row with the component of its own text; rows without
-doc_id get null component_id and are kept. Other columns are ignored.
+doc_id get null component_id and are kept, and no other row links through them; an empty table
+gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,24 +28,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from .common import Scratch, broadcast_if_small, chunks, mix, shingle_sets, slices
 
-TREES, DEPTH, LEAST, WINDOW = 16, 8, 4, 8
+TREES, DEPTH, LEAST, WINDOW = 32, 8, 6, 8
 HASHES = TREES * DEPTH
-#: Of the 128 two-bit values of a sketch, how many must agree before a pair is confirmed on full
-#: sets: at similarity 0.85, 113.6 agree with a deviation of 3.6, so 98 is 4.3 deviations below.
-AGREE_SHARE, DEVIATIONS = 0.25, 4.3
-BLOCK = 512
+#: Of a sketch of one bit per hash, how many bits must agree before a pair is confirmed on full sets:
+#: at similarity 0.85, 236.8 of 256 agree with a deviation of 4.2, so 218 is 4.3 deviations below.
+AGREE_SHARE, DEVIATIONS = 0.5, 4.3
+#: Shingle sets of a cell or block, in bytes; a longer set is a block of its own.
+CELL_BYTES = 2 << 20
+#: Tables of ids or links, and of signatures, beside whole texts.
+NARROW, WIDE = 16, 4
 
 _rng = np.random.Generator(np.random.PCG64(77001))
 _XOR = _rng.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 31, (HASHES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, labels binary, sketch binary, leads binary"
+_SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, labels binary, sketch binary"
 
 
 def _least_agree(similarity: float) -> int:
@@ -48,24 +59,23 @@ def _least_agree(similarity: float) -> int:
 def _minhash(shingles: np.ndarray) -> np.ndarray:
     low = (shingles >> np.uint64(32)).astype(np.uint32)
     best = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), 2048):
-        np.minimum(best, ((low[at : at + 2048] ^ _XOR) * _MUL).min(axis=1), out=best)
-    return best
+    for at in range(0, len(low), 1024):
+        x = low[at : at + 1024] ^ _XOR
+        x *= _MUL
+        np.minimum(best, x.min(axis=1), out=best)
+    return best * np.uint32(0x9E3779B1)  # the least values are small: spread them
 
 
-def _sketch(signature: np.ndarray) -> bytes:
-    two = ((signature * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint8).reshape(-1, 4)
-    return (two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6).tobytes()
+def _labels(signature: np.ndarray) -> bytes:
+    return (signature >> np.uint32(16)).astype(">u2").tobytes()
 
 
-def _leads(signature: np.ndarray) -> bytes:
-    """A hash of the ``LEAST`` leading values of each tree: equal where two sets share a region."""
-    lead = np.ascontiguousarray(signature.reshape(TREES, DEPTH)[:, :LEAST]).view(np.uint64)
-    return mix(lead[:, 0] * np.uint64(0x9E3779B97F4A7C15) + mix(lead[:, 1])).tobytes()
+def _sketch(signature: np.ndarray) -> bytes:
+    return np.packbits(((signature >> np.uint32(15)) & np.uint32(1)).astype(np.uint8)).tobytes()
 
 
 def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
-    """Per row: doc_id, set size, 128-bit set hash, tree labels, sketch and region hashes (null for the empty set)."""
+    """Per row: doc_id, set size, 128-bit set hash, tree labels and sketch (null for the empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -74,17 +84,17 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
             for part in chunks(texts):
                 for s in shingle_sets(part, width):
                     if not len(s):
-                        rows.append((0, None, None, None, None, None))
+                        rows.append((0, None, None, None, None))
                         continue
                     sig = _minhash(s)
                     with np.errstate(over="ignore"):
                         h1 = int(mix(s).sum().astype(np.int64))
                         h2 = int(mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum().astype(np.int64))
-                    rows.append((len(s), h1, h2, sig.astype(">u4").tobytes(), _sketch(sig), _leads(sig)))
-            n, h1, h2, labels, sketch, leads = zip(*rows, strict=True) if rows else ((),) * 6
+                    rows.append((len(s), h1, h2, _labels(sig), _sketch(sig)))
+            n, h1, h2, labels, sketch = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(labels, pa.binary()), pa.array(sketch, pa.binary()), pa.array(leads, pa.binary())],
-                names=["doc_id", "n_shingles", "h1", "h2", "labels", "sketch", "leads"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(labels, pa.binary()), pa.array(sketch, pa.binary())],
+                names=["doc_id", "n_shingles", "h1", "h2", "labels", "sketch"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SIGNATURE)
@@ -114,19 +124,18 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a ^ b
-    return HASHES - np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=-1, dtype=np.int32)
+    return HASHES - np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
 def forest(reps: DataFrame) -> DataFrame:
     """One row per tree and distinct set: tree, label, id, sketch."""
-    size = DEPTH * 4
+    size = DEPTH * 2
     trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("labels", 1 + size * t, size).alias("label")) for t in range(TREES)]))
     return reps.select("id", "sketch", trees.alias("t")).select("t.tree", "t.label", "id", "sketch")
 
 
 def _neighbours(least: int):
-    prefix = LEAST * 4
+    prefix = LEAST * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None
@@ -144,14 +153,14 @@ def _neighbours(least: int):
             if not batch.num_rows:
                 continue
             tree = batch.column(0).to_numpy(zero_copy_only=False)
-            lead = np.ascontiguousarray(_matrix(batch.column(1), DEPTH * 4)[:, :prefix])
+            lead = np.ascontiguousarray(_matrix(batch.column(1), DEPTH * 2)[:, :prefix])
             ids = batch.column(2).to_numpy(zero_copy_only=False)
-            sketch = np.ascontiguousarray(_matrix(batch.column(3), HASHES // 4)).view(np.uint64)
+            sketch = np.ascontiguousarray(_matrix(batch.column(3), HASHES // 8)).view(np.uint64)
             fresh = 0
             if held is not None:
                 fresh = len(held[0])
                 tree, lead, ids, sketch = (np.concatenate(x) for x in zip(held, (tree, lead, ids, sketch), strict=True))
-            key = lead.view(np.uint64)
+            key = lead.view(np.uint32)
             regions: set[tuple[int, bytes]] = set()
             if edge is None:
                 regions.add((int(tree[0]), lead[0].tobytes()))
@@ -189,8 +198,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     Every step is a partially aggregated minimum and a join that adaptive execution may split;
     the result of each round is a written table, so recovery never replays more than one round.
     """
-    links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    links = scratch.write(links, f"{name}-0")
+    links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     step, before = 0, None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -199,9 +207,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         step += 1
-        links = scratch.write(small, f"{name}-{step}")
+        links = scratch.write(small, f"{name}-{step}", NARROW)
         state = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        scratch.drop(f"{name}-{step - 1}")
+        if step > 1:
+            scratch.drop(f"{name}-{step - 1}")
         if state == before:
             break
         before = state
@@ -214,7 +223,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     shared = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
-    return shared.where(100 * F.col("n").cast("long") >= percent * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b").distinct()
+    return shared.where(100 * F.col("n").cast("long") >= percent * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
 
 
 def _with_components(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -224,32 +233,55 @@ def _with_components(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def _mixed(reps: DataFrame, regions: DataFrame, comps: DataFrame) -> DataFrame:
-    """tree, prefix, id, comp, blocks: the rows of noted regions that hold more than one component."""
-    rows = forest(reps).select("tree", F.substring("label", 1, LEAST * 4).alias("prefix"), "id")
-    rows = rows.join(regions, ["tree", "prefix"]).join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    several = rows.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    return rows.join(several.select("tree", "prefix", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), ["tree", "prefix"])
-
+def _mixed(reps: DataFrame, regions: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
+    """tree, cell, id, comp, blocks: the rows of noted regions that hold more than one component, in cells.
 
-def _rest(mixed: DataFrame, details: DataFrame, least: int, percent: int) -> DataFrame:
-    """Links between different components of a region, block against block.
-
-    details: id, sketch, leads, shingles. A pair is compared in the first tree whose region it
-    shares, first by sketch, then on full sets; of the links in a block only those that join what
-    earlier ones have not joined are returned, so a block returns fewer links than it has rows.
+    A cell is the shortest label prefix, from ``LEAST`` values on, whose sets fit ``CELL_BYTES``, or
+    the whole label; ``blocks`` is over 1 only for whole labels that don't fit.
+    """
+    prefix = lambda k: F.substring("label", 1, k * 2)
+    rows = forest(reps).select("tree", prefix(LEAST).alias("cell"), "label", "id").join(regions.withColumnRenamed("prefix", "cell"), ["tree", "cell"])
+    rows = rows.join(comps, "id", "left").join(reps.select("id", F.col("n_shingles").alias("n")), "id").withColumn("comp", F.coalesce("comp", "id"))
+    held = []
+    for k in range(LEAST, DEPTH + 1):
+        # read twice, for the sums and for the rows
+        rows = rows.persist(StorageLevel.DISK_ONLY)
+        held.append(rows)
+        # a cell without two components has nothing to compare, at any depth
+        sums = rows.groupBy("tree", "cell").agg(F.sum(F.col("n") * 8).alias("bytes"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        rows = rows.drop("bytes").join(sums.select("tree", "cell", "bytes"), ["tree", "cell"])
+        if k < DEPTH:
+            rows = rows.withColumn("cell", F.when(F.col("bytes") > CELL_BYTES, prefix(k + 1)).otherwise(F.col("cell")))
+    mixed = scratch.write(rows.select("tree", "cell", "id", "comp", F.ceil(F.col("bytes") / CELL_BYTES).cast("int").alias("blocks")), "mixed", NARROW)
+    for x in held:
+        x.unpersist()
+    return mixed
+
+
+def _rest(mixed: DataFrame, sets: DataFrame, sketches: DataFrame, least: int, percent: int) -> DataFrame:
+    """Links between different components of a cell, block against block.
+
+    A pair is compared in the first tree whose cell it shares, first by sketch, then on full sets;
+    of the links in a block only those that join what earlier ones have not joined are returned, so
+    a block returns fewer links than it has rows.
     """
+    # of each document, the cells it is in, tree by tree: at most TREES of them
+    cells = mixed.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("tree", F.xxhash64("tree", "cell")))).alias("in"))
+    places = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.element_at("in", t), F.lit(0)))
+    details = sketches.join(cells.select("id", places.alias("places")), "id").join(sets, "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = mixed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("tree", "prefix", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "comp").join(details, "id")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, comp, part = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["own"].to_numpy()
-        tree = int(pdf["tree"].iloc[0])
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(ids), -1)
-        earlier = np.frombuffer(b"".join(pdf["leads"]), np.uint64).reshape(len(ids), TREES)[:, :tree]
-        sets = list(pdf["shingles"])
-        sizes = np.array([len(s) for s in sets])
+    dealt = dealt.select("tree", "cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "comp").join(details, "id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        column = lambda name: table[name].to_numpy()
+        lists = lambda name: (lambda x: (x.offsets.to_numpy(), x.values.to_numpy()))(table[name].combine_chunks())
+        ids, comp, part, tree = column("id"), column("comp"), column("own"), table["tree"][0].as_py()
+        sketch = np.ascontiguousarray(_matrix(table["sketch"].combine_chunks(), HASHES // 8)).view(np.uint64)
+        offsets, values = lists("places")
+        earlier = values[offsets[0] : offsets[-1]].reshape(len(ids), TREES)[:, :tree]
+        offsets, values = lists("shingles")
+        sizes = np.diff(offsets)
         joined = {c: c for c in comp.tolist()}
 
         def root(c: int) -> int:
@@ -258,28 +290,29 @@ def _rest(mixed: DataFrame, details: DataFrame, least: int, percent: int) -> Dat
                 c = joined[c]
             return c
 
-        links = []
-        a_rows, b_rows = np.flatnonzero(part == pdf["lo"].iloc[0]), np.flatnonzero(part == pdf["hi"].iloc[0])
+        found_a, found_b = [], []
+        a_rows, b_rows = np.flatnonzero(part == table["lo"][0].as_py()), np.flatnonzero(part == table["hi"][0].as_py())
         for i in a_rows:
             others = b_rows[comp[b_rows] != comp[i]]
             others = others[_agreement(sketch[others], sketch[i]) >= least]
             # sizes alone bound the similarity
             low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
             others = others[100 * low >= percent * high]
-            others = others[~(earlier[others] == earlier[i]).any(axis=1)]
+            others = others[~((earlier[others] == earlier[i]) & (earlier[i] != 0)).any(axis=1)]
             for j in others.tolist():
                 a, b = root(int(comp[i])), root(int(comp[j]))
                 if a == b:
                     continue
-                both = np.concatenate((sets[i], sets[j]))
+                both = np.concatenate((values[offsets[i] : offsets[i + 1]], values[offsets[j] : offsets[j + 1]]))
                 both.sort()
                 n = int((both[1:] == both[:-1]).sum())
                 if 100 * n >= percent * (len(both) - n):
                     joined[max(a, b)] = min(a, b)
-                    links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+                    found_a.append(min(ids[i], ids[j]))
+                    found_b.append(max(ids[i], ids[j]))
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
-    return dealt.groupBy("tree", "prefix", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
+    return dealt.groupBy("tree", "cell", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, small_rows: int = 1_000_000) -> DataFrame:
@@ -288,34 +321,43 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, small_ro
     scratch = Scratch(spark, "near-dedup")
     least = _least_agree(percent / 100)
     signed = scratch.write(signatures(docs, width), "signed")
-    classes = signed.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min("labels").alias("labels"), F.min("sketch").alias("sketch"), F.min("leads").alias("leads"))
-    reps = scratch.write(classes, "reps")
+    classes = signed.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles"), F.min("labels").alias("labels"), F.min("sketch").alias("sketch"))
+    reps = scratch.write(classes, "reps", WIDE)
     order = forest(reps).repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id")
-    near = scratch.write(order.mapInArrow(_neighbours(least), "a long, b long, agree int, tree int, prefix binary"), "near")
-    pairs = scratch.write(near.where("a is not null and a <> b").groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
+    # what is read only while this function runs is kept on the executors' disks and computed again where one is lost
+    near = order.mapInArrow(_neighbours(least), "a long, b long, agree int, tree int, prefix binary").persist(StorageLevel.DISK_ONLY)
+    pairs = scratch.write(near.where("a is not null and a <> b").groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs", NARROW)
     regions = near.where("prefix is not null").select("tree", "prefix").distinct()
 
     def need(ids: DataFrame, name: str) -> DataFrame:
-        ids = scratch.write(ids.distinct(), f"{name}-ids")
-        return scratch.write(sets_of(docs.select(F.col("doc_id").cast("long"), "text").join(broadcast_if_small(ids, small_rows), "doc_id", "left_semi"), width), name)
+        ids = scratch.write(ids.distinct(), f"{name}-ids", NARROW)
+        found = sets_of(docs.select(F.col("doc_id").cast("long"), "text").join(broadcast_if_small(ids, small_rows), "doc_id", "left_semi"), width)
+        return scratch.write(found, name, WIDE)
+
+    def link(found: DataFrame, name: str) -> DataFrame:
+        # dealt anew, so that the comparing tasks don't each write a file of a few links
+        return scratch.write(found.groupBy("b", "a").agg(F.count("*").alias("n")).select("a", "b"), name, NARROW)
 
     either = F.array("a", "b")
     sets = need(pairs.select(F.explode(either).alias("doc_id")), "sets")
     # the likeliest partner of each document first: most groups merge on these alone
     nodes = pairs.select(F.explode(either).alias("node"), F.struct("agree", "a", "b").alias("pair"))
-    first = scratch.write(nodes.groupBy("node").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct(), "first")
-    links = scratch.write(confirm(first, sets, percent), "links-1")
+    first = scratch.write(nodes.groupBy("node").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct(), "first", NARROW)
+    links = link(confirm(first, sets, percent), "links-1")
     comps = components(links, scratch, "comp1")
-    second = scratch.write(_with_components(pairs.join(first, ["a", "b"], "left_anti"), comps), "second")
+    second = scratch.write(_with_components(pairs.join(first, ["a", "b"], "left_anti"), comps), "second", NARROW)
     if not second.isEmpty():
-        links = links.unionByName(scratch.write(confirm(second, sets, percent), "links-2"))
+        links = links.unionByName(link(confirm(second, sets, percent), "links-2"))
         comps = components(links, scratch, "comp2")
-    mixed = scratch.write(_mixed(reps, regions, comps), "mixed")
+    mixed = _mixed(reps, regions, comps, scratch)
+    near.unpersist()
     if not mixed.isEmpty():
-        details = reps.select("id", "sketch", "leads").join(need(mixed.select(F.col("id").alias("doc_id")), "sets-3"), "id")
-        links = links.unionByName(scratch.write(_rest(mixed, details, least, percent), "links-3"))
-        comps = components(links, scratch, "comp3")
-    scratch.drop("sets", "near", "first", "second", "mixed", "sets-3")
+        sets = need(mixed.select(F.col("id").alias("doc_id")), "sets-3")
+        rest = link(_rest(mixed, sets, reps.select("id", "sketch"), least, percent), "links-3")
+        if not rest.isEmpty():
+            links = links.unionByName(rest)
+            comps = components(links, scratch, "comp3")
+    scratch.drop("pairs", "sets-ids", "sets", "first", "second", "mixed", "sets-3-ids", "sets-3", "links-1", "links-2", "links-3")
     labelled = reps.select("h1", "h2", "id").join(comps, "id", "left").select("h1", "h2", F.coalesce("comp", "id").alias("comp"))
     joined = signed.select("doc_id", "n_shingles", "h1", "h2").join(labelled, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
