@@ -63,14 +63,14 @@ def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class WordEncoder:
     """Encodes whole texts through the tokenizers library, remembering the ids of each segment.
 
-    The ids of a text are those of its segments in order. Segments are told apart by a 64-bit hash
-    within a piece of text, then looked up by their lower-case bytes; those not yet known are
-    encoded together as one text, and the offsets of the tokens tell which segment each belongs
-    to. Texts that may hold a special token, whose case counts, are encoded whole.
+    The ids of a text are those of its segments in order. Segments are known by a 64-bit hash of
+    their lower-case bytes; of those not yet known, many are encoded together as one text, and the
+    offsets of the tokens tell which segment each belongs to. Texts that may hold a special token,
+    whose case counts, are encoded whole.
     """
 
     #: Segments and ids remembered; beyond either the memory starts anew.
-    MOST_KNOWN, MOST_IDS = 500_000, 1 << 22
+    MOST_KNOWN, MOST_IDS = 1_000_000, 1 << 23
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -80,8 +80,9 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.begins = np.zeros(1, np.int64)  # of each segment's ids, plus the end
+        self.hashes = np.empty(0, np.uint64)  # in order, beside each segment's number
+        self.numbers = np.empty(0, np.int64)
+        self.begins = np.zeros(1, np.int64)  # of each segment's ids, by number, plus the end
         self.ids = np.empty(0, np.uint32)
 
     def _learn(self, new: list[bytes]) -> None:
@@ -95,23 +96,26 @@ class WordEncoder:
             begins.append(begins[-1][-1] + np.searchsorted(owner, np.arange(1, len(words) + 1)))
             ids.append(np.array(found.ids, np.uint32))
         self.begins, self.ids = np.concatenate(begins), np.concatenate(ids)
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
 
-    def _entries(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.MOST_KNOWN or len(self.ids) > self.MOST_IDS:
+    def _numbers(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, lowered: bytes) -> np.ndarray:
+        """The number of each segment, given in the order of their hashes."""
+        if len(self.hashes) > self.MOST_KNOWN or len(self.ids) > self.MOST_IDS:
             self._forget()
-        found = list(map(self.known.get, words))
-        if None in found:
-            self._learn(list(dict.fromkeys(w for w, n in zip(words, found, strict=True) if n is None)))
-            found = list(map(self.known.__getitem__, words))
-        return np.array(found, np.int64)
+        at = np.searchsorted(self.hashes, hashes)
+        new = np.flatnonzero(self.hashes[at.clip(max=len(self.hashes) - 1)] != hashes) if len(self.hashes) else np.arange(len(hashes))
+        if len(new):
+            first = len(self.begins) - 1
+            self._learn([lowered[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            self.numbers = np.insert(self.numbers, at[new], first + np.arange(len(new)))
+            self.hashes = np.insert(self.hashes, at[new], hashes[new])
+            at = np.searchsorted(self.hashes, hashes)
+        return self.numbers[at]
 
     def _encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         data, offsets = joined(texts)
         starts, ends = segments(data)
-        _, at, inverse = np.unique(byte_range_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        lowered = data.tobytes().lower()
-        entry = self._entries([lowered[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])[inverse]
+        hashes, at, inverse = np.unique(byte_range_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        entry = self._numbers(hashes, starts[at], ends[at], data.tobytes().lower())[inverse]
         first = self.begins[entry]
         size = self.begins[entry + 1] - first
         to = np.zeros(len(entry) + 1, np.int64)
