@@ -21,14 +21,17 @@ SEPARATORS = "[\\x20\\x09-\\x0D]+"
 SEPARATOR_CHARS = " \t\n\x0b\x0c\r"
 
 _own_folder: str | None = None
+_bases: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where none is set (local tests)."""
+    """The shared folder named by the session; a temporary one only where none is set and the master is local."""
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_folder is None:
         holder = tempfile.TemporaryDirectory(prefix="quarrymark-")
         atexit.register(holder.cleanup)
@@ -36,12 +39,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder}"
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Removes all scratch tables of this driver's operators; for when their results have been read."""
+    while _bases:
+        _delete(spark, _bases.pop())
+
+
 class Scratch:
-    """Tables written for one run of one operator; ``drop`` removes those no longer needed."""
+    """Tables written for one run of one operator; ``drop`` removes those no longer needed.
+
+    What a lazy result still reads stays until ``clean_scratch``.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        _bases.add(self.base)
 
     def write(self, df: DataFrame, name: str, share: int = 1, **options: str) -> DataFrame:
         """Writes and rereads a table. One whose rows are small beside the operator's input (ids, links)
@@ -53,10 +71,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            _delete(self.spark, f"{self.base}/{name}")
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
@@ -64,6 +80,14 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it as long as a column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def native_words(text):
     """Column: the words of a text (null: no words), split at the ASCII separators."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SEPARATOR_CHARS))
