@@ -6,11 +6,14 @@ Matches are leftmost and non-overlapping per kind. Patterns that begin with an u
 start where the run or the last match starts, and runs are possessive, so long runs cost linear
 time; the matches are the same. Kinds: email, ip (parts at most 255), card (12 to 19 digits and the
 Luhn sum), phone (9 to 15 digits), and beyond them iban (country lengths 15 to 34, mod 97 is 1).
-A span's score starts from its kind and rises if a word for its kind stands shortly before it.
-DataFrame expressions only.
-
-Defined results: null and empty texts have no spans; rows that repeat are each searched; other
-columns pass unchanged.
+A span's score starts from its kind, and a word for its kind shortly before it adds ``CONTEXT_GAIN``.
+Base kinds are kept whatever their score, which is returned; beyond them a span needs ``LEAST_SCORE``:
+an iban of the length its country registers has it, any other one only beside such a word.
+DataFrame expressions only; time is linear in the text, but for running sums over the spans of one
+text, which take the power 1.5 of their number.
+
+Defined results: null and empty texts have no spans; rows that repeat are each searched; an empty
+table gives no rows. A column of the name ``into`` is replaced, other columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -18,11 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 OPEN, CLOSE, OTHER = "\x01", "\x02", "\x03"
 SPAN = "struct<kind:string,start:int,end:int,value:string,score:double>"
 
 #: Kinds in their order, their patterns, scores and context words.
 KINDS = ("email", "ip", "card", "phone", "iban")
+BASE = KINDS[:4]
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
@@ -31,7 +37,7 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
 }
 NEEDS = {"email": "@", "phone": "+"}
-BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9}
+BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.5}
 CONTEXT = {
     "email": "mail|contact|write|kontakt|correo|courriel",
     "ip": "ip|host|server|address|adresse",
@@ -39,7 +45,15 @@ CONTEXT = {
     "phone": "phone|call|tel|mobile|fax|anruf",
     "iban": "iban|bank|account|konto|cuenta|compte",
 }
-CONTEXT_WIDTH, CONTEXT_GAIN = 40, 0.1
+CONTEXT_WIDTH, CONTEXT_GAIN, LENGTH_GAIN, LEAST_SCORE = 40, 0.1, 0.3, 0.6
+#: The number of characters that countries register for their account numbers.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "ES": 24, "FI": 18,
+    "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21,
+    "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24,
+    "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VG": 24, "XK": 20,
+}
+STEP, PIECE = 64, 4096
 
 
 def _digits(value: Column) -> Column:
@@ -87,39 +101,56 @@ def _confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(clean: Column, marked: Column, kind: str) -> Column:
-    """The confirmed spans of one kind from the marked text."""
-    parts = F.split(marked, OPEN)
-    start = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
+def _bound(value: Column, use) -> Column:
+    """``use`` of the value, computed once: a lambda's body would compute it anew for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column) -> Column:
+    """The sum of the values before each one: within steps of ``STEP`` values, then over the steps."""
+    before = lambda xs: F.aggregate(xs, F.array(F.lit(0)), lambda acc, v: F.concat(acc, F.array((F.element_at(acc, -1) + v).cast("int"))))
+    steps = lambda xs: F.transform(F.sequence(F.lit(0), ((F.size(xs) - 1) / STEP).cast("int")), lambda k: before(F.slice(xs, k * STEP + 1, F.lit(STEP))))
+    spread = lambda rows, heads: F.flatten(F.transform(rows, lambda x, k: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda v: v + F.get(heads, k))))
+    return _bound(values, lambda xs: _bound(steps(xs), lambda rows: _bound(before(F.transform(rows, lambda x: F.element_at(x, -1))), lambda heads: spread(rows, heads))))
+
+
+def _scored(kind: str, value: Column, before: Column) -> Column:
+    score = F.lit(BASE_SCORE[kind]) + F.when(F.lower(before).rlike(rf"\b(?:{CONTEXT[kind]})"), CONTEXT_GAIN).otherwise(0.0)
+    if kind == "iban":
+        lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+        score += F.when(F.coalesce(F.element_at(lengths, F.left(value, F.lit(2))), F.lit(0)) == F.length(F.regexp_replace(value, " ", "")), LENGTH_GAIN).otherwise(0.0)
+    return F.round(score, 2)
+
 
-    def follow(acc: Column, part: Column) -> Column:
-        value = F.substring_index(part, CLOSE, 1)
-        span = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(value)).alias("end"), value.alias("value"))
-        return F.struct((acc["at"] + F.length(part) - 1).alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
+def _spans(marked: Column, kind: str) -> Column:
+    """The confirmed spans of one kind from the marked text; each part but the first begins with a span."""
 
-    found = F.aggregate(F.slice(parts, 2, F.size(parts)), start, follow)["found"]
-    kept = F.filter(found, lambda s: _confirmed(kind, s["value"]))
+    def of_parts(parts: Column, plain: Column, starts: Column) -> Column:
+        def span(part: Column, i: Column) -> Column:
+            value = F.substring_index(part, CLOSE, 1)
+            begin = F.get(starts, i + 1)
+            # context reaches back to the last span of the kind
+            score = _scored(kind, value, F.right(F.get(plain, i), F.lit(CONTEXT_WIDTH)))
+            return F.struct(F.lit(kind).alias("kind"), begin.alias("start"), (begin + F.length(value)).alias("end"), value.alias("value"), score.alias("score"))
 
-    def scored(s: Column) -> Column:
-        begin = F.greatest(s["start"] - CONTEXT_WIDTH, F.lit(0))
-        before = F.lower(F.substr(clean, begin + 1, s["start"] - begin))
-        score = F.lit(BASE_SCORE[kind]) + F.when(before.rlike(rf"\b(?:{CONTEXT[kind]})"), CONTEXT_GAIN).otherwise(0.0)
-        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), score.alias("score"))
+        return F.filter(F.transform(F.slice(parts, F.lit(2), F.size(parts)), span), lambda s: _confirmed(kind, s["value"]) & ((s["score"] >= LEAST_SCORE) if kind not in BASE else F.lit(True)))
 
-    spans = F.transform(kept, scored)
-    return F.when(F.instr(marked, OPEN) > 0, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    unmarked = lambda parts: F.transform(parts, lambda p: F.translate(p, CLOSE, ""))
+    lengths = lambda plain: F.transform(plain, lambda p: F.length(p))
+    kept = _bound(F.split(marked, OPEN), lambda parts: _bound(unmarked(parts), lambda plain: _bound(_running(lengths(plain)), lambda starts: of_parts(parts, plain, starts))))
+    return F.when(F.instr(marked, OPEN) > 0, kept).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def find_pii(docs: DataFrame, text: str = "text", into: str = "pii", kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """Adds the spans of all kinds, by start and then kind, as an array of (kind, start, end, value, score)."""
-    kept = docs.columns
-    clean, marks = f"{into}__clean", {k: f"{into}__{k}" for k in kinds}
+    kept = [c for c in docs.columns if c.lower() != into.lower()]
+    clean, marks = free_name(docs, f"{into}__clean"), {k: free_name(docs, f"{into}__{k}") for k in kinds}
     out = docs.withColumn(clean, F.translate(F.coalesce(F.col(text), F.lit("")), OPEN + CLOSE, OTHER + OTHER))
     out = out.withColumns({marks[k]: F.when(F.contains(clean, F.lit(NEEDS[k])) if k in NEEDS else F.lit(True), F.regexp_replace(clean, PATTERNS[k], f"{OPEN}$0{CLOSE}")).otherwise(F.lit("")) for k in kinds})
     order = F.create_map(*[F.lit(x) for i, k in enumerate(kinds) for x in (k, i)])
-    spans = F.concat(*[_spans(F.col(clean), F.col(marks[k]), k) for k in kinds])
+    spans = F.concat(*[_spans(F.col(marks[k]), k) for k in kinds])
     keyed = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("order"), s.alias("span"))))
-    return out.withColumn(into, F.transform(keyed, lambda s: s["span"])).select(*kept, into)
+    return out.select(*kept, F.transform(keyed, lambda s: s["span"]).alias(into))
 
 
 def render(spans: Column) -> Column:
@@ -128,12 +159,28 @@ def render(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", spans: str = "pii", into: str = "redacted") -> DataFrame:
-    """Adds the text with each span replaced by its kind in brackets; of overlapping spans the first one counts."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """Adds the text with each span replaced by its kind in brackets; of overlapping spans the first one counts.
+
+    The text is cut into pieces of ``PIECE`` characters once, so that no span is sought from the text's start.
+    """
 
     def follow(acc: Column, s: Column) -> Column:
-        skipped = s["start"] < acc["at"]
-        between = F.substr(F.col(text), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.when(skipped, acc["at"]).otherwise(s["end"]).alias("at"), F.when(skipped, acc["out"]).otherwise(F.concat(acc["out"], between, F.lit("["), s["kind"], F.lit("]"))).alias("out"))
+        counts = s["start"] >= acc["at"]
+        return F.struct(F.when(counts, s["end"]).otherwise(acc["at"]).alias("at"), F.concat(acc["flags"], F.when(counts, "1").otherwise("0")).alias("flags"))
+
+    flags = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("flags")), follow)["flags"]
+    first_ones = _bound(flags, lambda x: F.filter(F.col(spans), lambda _, i: F.substr(x, i + 1, F.lit(1)) == "1"))
+    cut = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def fill(kept: Column, pieces: Column) -> Column:
+        def between(begin: Column, end: Column) -> Column:
+            first = (begin / PIECE).cast("int")
+            near = F.array_join(F.slice(pieces, first + 1, ((end - 1) / PIECE).cast("int") - first + 1), "")
+            return F.when(begin < end, F.substr(near, begin - first * PIECE + 1, end - begin)).otherwise("")
+
+        end_of = lambda i: F.when(i < 0, 0).otherwise(F.get(kept, i)["end"])
+        filled = F.transform(kept, lambda s, i: F.concat(between(end_of(i - 1), s["start"]), F.lit("["), s["kind"], F.lit("]")))
+        return F.concat(F.array_join(filled, ""), between(end_of(F.size(kept) - 1), F.length(F.col(text))))
 
-    return docs.withColumn(into, F.aggregate(spans, start, follow, lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1))))
+    whole = _bound(first_ones, lambda kept: _bound(cut, lambda pieces: fill(kept, pieces)))
+    return docs.withColumn(into, F.when(F.col(text).isNotNull(), whole))
