@@ -5,14 +5,16 @@ the size: a set of n shingles is hashed once and cut by the leading bits of the
 8 n bins, the least value of each bin being the signature (one-permutation MinHash). An item of q
 shingles has its own least values at the resolution of each partition; those it shares with a
 document estimate the containment, since a document keeps a contained shingle in its signature
-with a probability above 0.94 whatever its length. Items of few shingles ask for the
-finest resolution, at which the signature is the whole set. Candidates are verified by exact
+with a probability above 0.94 whatever its length. That is too little for an item of fewer than
+``SHORT`` shingles, of which one lost value may decide: those items, and they alone, are looked up
+at the finest resolution, at which a signature is the whole set. Candidates are verified by exact
 containment of the shingle strings in the whole text. DataFrame expressions only.
 
 Defined results: texts are compared in lower case, split at ASCII white space; null or empty texts
 and texts of fewer words than a shingle contain and are nothing; an item repeated under several
 ids matches under each; a doc_id repeated by several rows contains what any of them does; rows
-without doc_id can't be reported and are left out.
+without doc_id or item_id can't be reported and are left out; an empty table on either side gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,18 +67,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, widt
     spread = items.select("item_id", "q", "hashes", F.explode(F.sequence(F.lit(SPARE_BITS), F.lit(FINEST))).alias("bits"))
     keys = spread.select("item_id", "q", "bits", F.explode_outer(_least_of_bins(F.col("hashes"), F.col("bits"))).alias("hash")).groupBy("item_id", "q", "hash").agg(F.min("bits").alias("from_bits"))
     keys = scratch.write(keys, "keys")
-    shortest = items.agg(F.min("q")).first()[0]
-    if shortest is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, item_shingles int, shared_shingles int, containment double")
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     # one projection per step: an expression repeated inside a lambda would run once per shingle
     words = texts.select("doc_id", _lowered_words(F.col("text")).alias("words"))
     hashed = words.select("doc_id", hashed_shingles(F.col("words"), width).alias("hashes"))
-    sized = hashed.select("doc_id", "hashes", (F.lit(FINEST) if shortest < SHORT else _bits(F.size("hashes"))).alias("bits"))
+    sized = hashed.select("doc_id", "hashes", _bits(F.size("hashes")).alias("bits"))
     # explode_outer and coalesce: for plain forms the optimizer infers null filters and pushes them
     # below the projections, where they compute the arrays again
     signed = sized.select("doc_id", "bits", F.explode_outer(_least_of_bins(F.col("hashes"), F.col("bits"))).alias("hash"))
-    met = signed.join(broadcast_if_small(keys, small_rows), "hash").where(F.coalesce("bits", F.lit(0)) >= F.col("from_bits"))
+    met = signed.join(broadcast_if_small(keys.where(F.col("q") >= SHORT), small_rows), "hash").where(F.coalesce("bits", F.lit(0)) >= F.col("from_bits")).select("doc_id", "item_id", "q")
+    short = keys.where(F.col("q") < SHORT).select("item_id", "q", "hash")
+    if not short.isEmpty():
+        finest = hashed.select("doc_id", F.explode_outer("hashes").alias("hash"))
+        met = met.unionByName(finest.join(broadcast_if_small(short, small_rows), "hash").select("doc_id", "item_id", "q"))
     hits = met.groupBy("doc_id", "item_id", "q").agg(F.count("*").alias("hits"))
     candidates = scratch.write(hits.where(F.col("hits") >= F.greatest(F.lit(1), F.floor(F.col("q") * (least * 0.4)))).select("doc_id", "item_id").distinct(), "candidates")
     ids = candidates.select("doc_id").distinct()
