@@ -14,7 +14,8 @@ sizes, not by documents. Ranks within a cell are taken in hashed slices of about
 a cell with a third of all rows is no single task. Everything is DataFrame expressions.
 
 Defined results: null text has size 0 and is taken 0 times (nothing to repeat); null sources are a
-source of their own, sorted last; repeated rows are separate rows; an empty table gives no rows.
+source of their own, sorted last; repeated rows are separate rows; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, Scratch, native_words
+from .common import SEPARATORS, Scratch, broadcast_if_small, native_words
 
 SLICE = 1024
+#: Tables of one row per source are broadcast up to this many rows.
+SMALL_ROWS = 1_000_000
 STEPS, TOLERANCE = 60, 1e-6
 
 
@@ -54,13 +57,14 @@ def targets(sources: DataFrame, share: float, weights: tuple[float, ...], most_c
 def balance(cells: DataFrame, goals: DataFrame, scratch: Scratch, most_copies: int) -> DataFrame:
     """source, tilt: the dual solution per source over the cells (source, size, n)."""
     top = float(most_copies)
-    rows = cells.where("size > 0").join(F.broadcast(goals), cells["source"].eqNullSafe(goals["source"]), "inner").select(cells["source"], (F.col("size") / F.col("mean")).alias("x"), "n", (F.col("target") / F.col("mean")).alias("want"))
+    rows = cells.where("size > 0").join(broadcast_if_small(goals, SMALL_ROWS), cells["source"].eqNullSafe(goals["source"]), "inner").select(cells["source"], (F.col("size") / F.col("mean")).alias("x"), "n", (F.col("target") / F.col("mean")).alias("want"))
     rows = scratch.write(rows, "dual-rows")
     state = scratch.write(goals.select("source", F.lit(0.0).alias("tilt"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"), F.lit(False).alias("done")), "dual-0")
+    few = goals.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS  # and so has each state
     for step in range(1, STEPS + 1):
         rate = F.least(F.lit(top), F.exp(F.least(F.col("tilt") * F.col("x"), F.lit(50.0))))
         slope = F.when(rate < top, rate).otherwise(0.0)
-        sums = rows.alias("r").join(F.broadcast(state).alias("s"), F.expr("r.source <=> s.source")).groupBy("s.source").agg(
+        sums = rows.alias("r").join((F.broadcast(state) if few else state).alias("s"), F.expr("r.source <=> s.source")).groupBy("s.source").agg(
             F.first("tilt").alias("tilt"), F.first("low").alias("low"), F.first("high").alias("high"),
             (F.sum(F.col("n") * F.col("x") * rate) - F.first("want")).alias("gap"), F.sum(F.col("n") * F.col("x") * F.col("x") * slope).alias("bend"), F.first("want").alias("want"))
         low = F.when(F.col("gap") < 0, F.col("tilt")).otherwise(F.col("low"))
@@ -91,7 +95,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0,
     tilts = balance(cells, goals, scratch, most_copies)
     c, s, w = cells.alias("c"), tilts.alias("s"), goals.alias("w")
     rate = F.when(F.col("target") >= most_copies * F.col("source_size"), F.lit(float(most_copies))).otherwise(F.least(F.lit(float(most_copies)), F.exp(F.least(F.coalesce("tilt", F.lit(0.0)) * F.col("size") / F.col("mean"), F.lit(50.0)))))
-    rated = c.join(F.broadcast(w), F.expr("c.source <=> w.source")).join(F.broadcast(s), F.expr("c.source <=> s.source"), "left").select("c.source", "size", "n", "source_size", "target", rate.alias("rate"))
+    rated = c.join(broadcast_if_small(w, SMALL_ROWS), F.expr("c.source <=> w.source")).join(broadcast_if_small(s, SMALL_ROWS), F.expr("c.source <=> s.source"), "left").select("c.source", "size", "n", "source_size", "target", rate.alias("rate"))
     # largest sizes first: copies of a cell follow the running target, and the error goes to smaller sizes
     listed = rated.groupBy("source").agg(F.reverse(F.sort_array(F.collect_list(F.struct("size", "n", "rate")))).alias("steps"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
     start = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<struct<size:bigint,n:bigint,rate:double,total:bigint>>").alias("out"))
