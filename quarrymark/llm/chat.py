@@ -2,15 +2,22 @@
 
 A transcript is lines. Each line shows a speaker marker or none, a length class, and whether it
 asks something. A hidden Markov model has a state for the first and for a further line of each
-role's turns; its tables are counted from turns with known roles (smoothed), and Viterbi finds the
-likeliest states. A first-line state begins a turn; markers are cut from its text.
+role's turns; its tables, markers included, are counted from marked transcripts of turns with known
+roles (smoothed), and Viterbi finds the likeliest states. A first-line state begins a turn; markers
+are cut from its text.
 
 Transcripts are taken in parts of ``PART`` turn numbers, so no conversation becomes one huge group.
+Parts don't change what is recovered: for conversations of several parts, each part gives the best
+score between every state before it and every state at its end; these small tables are chained
+per conversation, which fixes the states at the parts' edges, and the parts are then decoded
+between them. Joined in order, the parts' renderings are the conversation's: a turn that reaches
+over an edge goes on in the next part, and each turn is closed where the next begins.
 
 Defined results: null texts count as empty; roles beyond the known ones, and null, count as user;
-rows without a turn number follow the numbered ones in parts by hash of their text; exact repeats
-of a row count once; rows without conv_id form conversations of their own kind (null conv_id).
-Other columns are ignored.
+turns of the same number go by role and text; rows without a turn number come before the numbered
+ones, in parts by hash of their text; exact repeats of a row count once; rows without conv_id form
+conversations by hash of their text (null conv_id, numbered by ``stray``); lines of a text that look
+like markers are read as markers; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PART = 256
+PART = 1024
+STRAYS = 4096
 ROLES = ("system", "user", "assistant")
 #: Names under which speakers appear.
 ALIASES = {"system": ("system", "instructions", "note"), "user": ("user", "human", "customer", "me", "q"), "assistant": ("assistant", "bot", "ai", "agent", "a")}
@@ -51,14 +59,14 @@ def observe(line: str) -> tuple[int, int, int]:
     return marker(line)[0], size, int("?" in line)
 
 
-def raw_transcript(turns: list[tuple[str, str]], style: int, bare: int = 0) -> str:
-    """Turns as a raw transcript; with ``bare`` > 0, every so-many-th turn has no marker."""
+def marked_turns(turns: list[tuple[str, str]], style: int, bare: int = 0) -> list[tuple[str, str]]:
+    """Turns with speaker markers before their texts; with ``bare`` > 0, every so-many-th turn has none."""
     form, names = STYLES[style % len(STYLES)]
-    lines = []
-    for k, (role, text) in enumerate(turns):
-        mark = "" if bare and k % bare == bare - 1 else form.format(names[ROLES.index(role)]) + " "
-        lines.append(mark + text)
-    return "\n".join(lines)
+    return [(role, ("" if bare and k % bare == bare - 1 else form.format(names[ROLES.index(role)]) + " ") + (text or "")) for k, (role, text) in enumerate(turns)]
+
+
+def raw_transcript(turns: list[tuple[str, str]], style: int, bare: int = 0) -> str:
+    return "\n".join(text for _, text in marked_turns(turns, style, bare))
 
 
 @dataclass
@@ -81,14 +89,6 @@ class RoleModel:
             table = table + 0.5
             tables.append(np.log(table / table.sum(axis=-1, keepdims=True)))
         start, step, mark, size, asks = tables
-        # a first line's marker names its role up to a few slips; further lines hardly show one
-        for s in range(STATES):
-            shares = np.full(MARKS, 0.003)
-            if s % 2 == 0:
-                shares[s // 2], shares[-1] = 0.85, 0.15
-            else:
-                shares[-1] = 1.0
-            mark[s] = np.log(shares / shares.sum())
         start = start.copy()
         start[1::2] = -50.0
         step = step.copy()
@@ -98,32 +98,52 @@ class RoleModel:
                     step[s, t] = -50.0
         return cls(start, step, mark, size, asks)
 
-    def states(self, lines: list[str]) -> list[int]:
-        """The likeliest states by Viterbi."""
-        seen = [observe(x) for x in lines]
-        emit = [self.mark[:, m] + self.size[:, z] + self.asks[:, a] for m, z, a in seen]
-        best, back = self.start + emit[0], []
+    def _emissions(self, lines: list[str]) -> np.ndarray:
+        m, z, a = np.array([observe(x) for x in lines]).T
+        return (self.mark[:, m] + self.size[:, z] + self.asks[:, a]).T
+
+    def spans(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The best scores over the lines from a conversation's start, and from each state before them, to each state at their end."""
+        emit = self._emissions(lines)
+        first, inner = self.start + emit[0], self.step + emit[0]
+        for e in emit[1:]:
+            first = (first[:, None] + self.step).max(axis=0) + e
+            inner = (inner[:, :, None] + self.step).max(axis=1) + e
+        return first, inner
+
+    def states(self, lines: list[str], before: int | None = None, last: int | None = None) -> list[int]:
+        """The likeliest states by Viterbi, where given between the state before the lines and that of the last one."""
+        emit = self._emissions(lines)
+        best, back = (self.start if before is None else self.step[before]) + emit[0], []
         for e in emit[1:]:
             total = best[:, None] + self.step
             back.append(total.argmax(axis=0))
             best = total.max(axis=0) + e
-        path = [int(best.argmax())]
+        path = [int(best.argmax()) if last is None else last]
         for b in reversed(back):
             path.append(int(b[path[-1]]))
         return path[::-1]
 
-    def parse(self, transcript: str) -> list[tuple[str, str]]:
-        """(role, text) of each recovered turn."""
+    def parse(self, transcript: str, before: int | None = None, last: int | None = None) -> list[tuple[str | None, str]]:
+        """(role, text) of each recovered turn; the role is None for the rest of a turn begun before."""
         lines = transcript.split("\n")
-        turns: list[tuple[str, list[str]]] = []
-        for line, s in zip(lines, self.states(lines), strict=True):
-            if s % 2 == 0 or not turns:
+        turns: list[tuple[str | None, list[str]]] = []
+        for line, s in zip(lines, self.states(lines, before, last), strict=True):
+            if s % 2 == 0:
                 turns.append((ROLES[s // 2], [marker(line)[1]]))
+            elif not turns:
+                turns.append((None, [line]))
             else:
                 turns[-1][1].append(line)
         return [(r, "\n".join(x)) for r, x in turns]
 
 
+def render(turns: list[tuple[str | None, str]], opens: bool, closes: bool) -> str:
+    """Canonical turns of a part: ``opens`` and ``closes`` say whether the conversation begins and ends with it."""
+    out = [("" if k == 0 and opens else "\n" if role is None else "\n<|end|>\n") + ("" if role is None else f"<|{role}|>\n") + text for k, (role, text) in enumerate(turns)]
+    return "".join(out) + ("\n<|end|>\n" if closes else "")
+
+
 COUNTS = STATES + STATES * STATES + STATES * (MARKS + SIZES + ASKS)
 
 
@@ -146,55 +166,96 @@ def count_lines(turns: list[tuple[str, str]], counts: np.ndarray) -> None:
 
 
 def parts(conversations: DataFrame) -> DataFrame:
-    """conv_id, part and the ordered turns (role, text) of each part of each conversation."""
+    """conv_id, stray, part and the ordered turns (role, text) of each part of each conversation."""
     role = F.lower(F.col("role"))
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.when(role.isin(*ROLES), role).otherwise("user").alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    part = F.when(F.col("turn").isNotNull(), F.floor(F.col("turn") / PART)).otherwise(-1 - F.pmod(F.xxhash64("text"), F.lit(4096))).cast("long")
+    dealt = F.pmod(F.xxhash64("text"), F.lit(STRAYS))
+    part = F.when(F.col("turn").isNotNull(), F.floor(F.col("turn") / PART)).otherwise(F.lit(-(2**62)) + dealt).cast("long")
     # rows without a conversation may be any number: they are dealt by their text as well
-    stray = F.when(F.col("conv_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(4096))).otherwise(F.lit(0))
-    grouped = rows.groupBy("conv_id", part.alias("part"), stray.alias("stray")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    return grouped.select("conv_id", "part", "turns")
+    stray = F.when(F.col("conv_id").isNull(), dealt).otherwise(F.lit(0)).cast("int")
+    grouped = rows.groupBy("conv_id", stray.alias("stray"), part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return grouped.select("conv_id", "stray", "part", "turns")
+
+
+def _marked(batch: pa.RecordBatch, bare: int) -> Iterator[list[tuple[str, str]]]:
+    """Of each row (conv_id, turns), the turns with markers in the conversation's style."""
+    for k in range(batch.num_rows):
+        conv, turns = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+        yield marked_turns([(t["role"], t["text"]) for t in turns], conv or 0, bare)
 
 
-def fit(grouped: DataFrame) -> RoleModel:
-    """Counts over all turns, summed in each task and then over tasks (``COUNTS`` numbers)."""
+def fit(grouped: DataFrame, bare: int = 7) -> RoleModel:
+    """Counts over all turns as marked transcripts, summed in each task and then over tasks (``COUNTS`` numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTS, np.int64)
         for batch in batches:
-            for turns in batch.column(0).to_pylist():
-                count_lines([(t["role"], t["text"]) for t in turns], counts)
+            for turns in _marked(batch, bare):
+                count_lines(turns, counts)
         yield pa.RecordBatch.from_arrays([pa.array(range(COUNTS), pa.int32()), pa.array(counts)], names=["slot", "n"])
 
     total = np.zeros(COUNTS, np.int64)
-    for row in grouped.select("turns").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+    for row in grouped.select("conv_id", "turns").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
         total[row["slot"]] = row["n"]
     return RoleModel.from_counts(total)
 
 
 def as_transcripts(grouped: DataFrame, bare: int = 7) -> DataFrame:
-    """conv_id, part, transcript: each part as a raw transcript in one of the marking styles."""
+    """conv_id, stray, part, transcript: each part as a raw transcript in one of the marking styles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for conv, turns in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found.append(raw_transcript([(t["role"], t["text"]) for t in turns], conv or 0, bare))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["conv_id", "part", "transcript"])
+            found = ["\n".join(text for _, text in turns) for turns in _marked(batch, bare)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(found, pa.string())], names=["conv_id", "stray", "part", "transcript"])
 
-    return grouped.select("conv_id", "part", "turns").mapInArrow(run, "conv_id long, part long, transcript string")
+    return grouped.select("conv_id", "turns", "stray", "part").mapInArrow(run, "conv_id long, stray int, part long, transcript string")
+
+
+def _edges(several: DataFrame, model: RoleModel) -> DataFrame:
+    """Of each part, the states before it (null: the first) and at its end that the whole conversation's best path takes."""
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.concatenate([x.ravel() for x in model.spans((t or "").split("\n"))]).tolist() for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.float64()))], names=["conv_id", "stray", "part", "scores"])
+
+    def chain(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        scores = np.array(table["scores"].to_pylist())
+        inner = scores[:, STATES:].reshape(-1, STATES, STATES)
+        best, back = scores[0, :STATES], []
+        for x in inner[1:]:
+            total = best[:, None] + x
+            back.append(total.argmax(axis=0))
+            best = total.max(axis=0)
+        last = [int(best.argmax())]
+        for b in reversed(back):
+            last.append(int(b[last[-1]]))
+        last.reverse()
+        return table.drop(["scores"]).append_column("before", pa.array([None, *last[:-1]], pa.int32())).append_column("last", pa.array(last, pa.int32())).append_column("closes", pa.array([False] * (len(last) - 1) + [True]))
+
+    scored = several.select("conv_id", "stray", "part", "transcript").mapInArrow(tables, "conv_id long, stray int, part long, scores array<double>")
+    return scored.groupBy("conv_id", "stray").applyInArrow(chain, "conv_id long, stray int, part long, before int, last int, closes boolean")
 
 
 def format_transcripts(transcripts: DataFrame, model: RoleModel) -> DataFrame:
-    """conv_id, part, n_turns, roles and rendered (the canonical turns) of each transcript."""
+    """conv_id, stray, part, n_turns (begun in the part), roles and rendered (the canonical turns) of each part of a transcript."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for t in batch.column(2).to_pylist():
-                turns = model.parse(t or "")
-                rows.append((len(turns), ",".join(r for r, _ in turns), "".join(f"<|{r}|>\n{x}\n<|end|>\n" for r, x in turns)))
+            for t, before, last, closes in zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True):
+                turns = model.parse(t or "", before, last)
+                roles = [r for r, _ in turns if r]
+                rows.append((len(roles), ",".join(roles), render(turns, before is None, closes is not False)))
             n, roles, rendered = zip(*rows, strict=True) if rows else ((),) * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(roles, pa.string()), pa.array(rendered, pa.string())], names=["conv_id", "part", "n_turns", "roles", "rendered"])
-
-    return transcripts.select("conv_id", "part", "transcript").mapInArrow(run, "conv_id long, part long, n_turns long, roles string, rendered string")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(roles, pa.string()), pa.array(rendered, pa.string())], names=["conv_id", "stray", "part", "n_turns", "roles", "rendered"])
+
+    key = ["conv_id", "stray"]
+    counted = transcripts.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*[F.col(c).alias(f"m_{c}") for c in key])
+    same = F.col("conv_id").eqNullSafe(F.col("m_conv_id")) & (F.col("stray") == F.col("m_stray"))
+    edges = _edges(transcripts.join(counted, same, "left_semi"), model)
+    t, e = transcripts.alias("t"), edges.alias("e")
+    placed = t.join(e, F.expr("t.conv_id <=> e.conv_id and t.stray = e.stray and t.part = e.part"), "left")
+    placed = placed.select("t.conv_id", "t.stray", "t.part", "transcript", "before", "last", "closes")
+    return placed.mapInArrow(run, "conv_id long, stray int, part long, n_turns long, roles string, rendered string")

@@ -4,10 +4,13 @@
 column); ``fingerprints`` reads the stored bytes back with the ``wave`` module, takes a
 short-time Fourier transform, keeps the strongest peaks of each frame and pairs each anchor peak
 with the next ones in a target zone. The pairs are returned as time-coded arrays: frame times and
-packed (frequency, frequency, gap) codes.
+packed (frequency, frequency, gap) codes. Frames overlap by half, so that no sample stands only
+where windows are near zero, and an excerpt shares codes with the whole.
 
 Defined results: a null text counts as empty; the payload of an empty text is 64 zero bytes;
-silent audio has no peaks and so empty arrays. Equal texts give equal values whatever their batch.
+silent audio has no peaks and so empty arrays. Equal texts give equal values whatever their batch;
+each row has its own media, those that repeat a doc_id or have none as well; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 RATE, UNIT = 8000, 64
-FRAME, HOP, PEAKS, FAN_OUT, ZONE = 256, 256, 3, 3, 8
+FRAME, HOP, PEAKS, FAN_OUT, ZONE = 256, 128, 3, 3, 8
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 _FRAMES_AT_ONCE = 2048
 
@@ -133,7 +136,7 @@ def fingerprints(media: DataFrame) -> DataFrame:
 
 
 def digest(prints: DataFrame) -> DataFrame:
-    """The fingerprint arrays as one comparable string: pair count, last time and a hash of both arrays."""
+    """Adds the fingerprint arrays as one comparable string: pair count, last time and a hash of both arrays."""
     joined = F.concat_ws(";", F.array_join(F.transform("times", lambda x: x.cast("string")), ","), F.array_join(F.transform("codes", lambda x: x.cast("string")), ","))
     feature = F.concat(F.size("codes").cast("string"), F.lit(":"), F.coalesce(F.array_max("times"), F.lit(0)).cast("string"), F.lit(":"), F.substring(F.sha2(joined, 256), 1, 32))
-    return prints.withColumn("feature", feature).drop("times", "codes")
+    return prints.select(*[c for c in prints.columns if c not in ("times", "codes")], feature.alias("feature"), "times", "codes")

@@ -13,6 +13,8 @@ from .common import Scratch
 
 WORD_TOKENIZER, PIECE_TOKENIZER = "word_bpe_49k.json", "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
+#: Media tables are written in fewer, larger files than the shuffle has partitions.
+MEDIA_SHARE = 2
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,7 +33,9 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digest(media.fingerprints(media.encode_wav(_table(spark, sf_dir, "documents"))))
+    scratch = Scratch(spark, "media")
+    stored = scratch.write(media.encode_wav(_table(spark, sf_dir, "documents")), "wav", MEDIA_SHARE)
+    return media.digest(media.fingerprints(stored))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +63,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("pii", lambda s: s["kind"] != "iban")
-    return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(pii.render(base), 256).alias("base_sha256"), pii.render(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(pii.render(base), 256).alias("base_sha256"), pii.render(F.col("pii")).alias("spans"), F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",").alias("scores"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +81,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = Scratch(spark, "chat").write(chat.parts(_table(spark, sf_dir, "conversations")), "parts")
-    return chat.format_transcripts(chat.as_transcripts(grouped), chat.fit(grouped))
+    scratch = Scratch(spark, "chat")
+    grouped = scratch.write(chat.parts(_table(spark, sf_dir, "conversations")), "parts")
+    return chat.format_transcripts(scratch.write(chat.as_transcripts(grouped), "transcripts"), chat.fit(grouped))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -296,6 +296,10 @@ def test_prefix_counts_equal_library(docs, empty):
     assert token_counts.prefix_tables(docs.where("doc_id = 5"), path).first()["prefix_counts"][-1] == len(model.encode("few words here"))
 
 
+def rendering(turns):
+    return "".join(f"<|{r}|>\n{t}\n<|end|>\n" for r, t in turns)
+
+
 def test_chat(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     grouped = chat.parts(turns)
@@ -303,9 +307,43 @@ def test_chat(spark, sf_dir):
     text = "User: hi there?\nAssistant: First line.\nsecond line of it\n### Human: more?\n[agent] done"
     assert [r for r, _ in model.parse(text)] == ["user", "assistant", "user", "assistant"]
     assert model.parse(text)[1][1] == "First line.\nsecond line of it"
-    gold = {(r["conv_id"], r["part"]): ",".join(t["role"] for t in r["turns"]) for r in grouped.collect()}
+    rows = grouped.collect()
+    gold = {(r["conv_id"], r["part"]): ",".join(t["role"] for t in r["turns"]) for r in rows}
+    raw = {(r["conv_id"], r["part"]): r["transcript"] for r in chat.as_transcripts(grouped).collect()}
     out = chat.format_transcripts(chat.as_transcripts(grouped), model).collect()
-    assert len(out) == len(gold) and np.mean([gold[r["conv_id"], r["part"]] == r["roles"] for r in out]) > 0.6
-    odd = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, None, None), (None, 3, "tool", ""), (1, 900, "ASSISTANT", "x" * 5000)], "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))
+    assert len(out) == len(gold) and np.mean([gold[r["conv_id"], r["part"]] == r["roles"] for r in out]) > 0.8
+    for r in out:  # the query's rows against the model read alone, one conversation at a time
+        alone = model.parse(raw[r["conv_id"], r["part"]])
+        assert (r["n_turns"], r["roles"], r["rendered"]) == (len(alone), ",".join(x for x, _ in alone), rendering(alone))
+    odd = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "assistant", "a"), (1, None, None, None), (None, 3, "tool", ""), (1, 2000, "ASSISTANT", "x" * 5000)], "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))
     assert chat.format_transcripts(chat.as_transcripts(chat.parts(odd)), model).count() == 4
     assert chat.format_transcripts(chat.as_transcripts(chat.parts(odd.limit(0))), model).count() == 0
+
+
+def best_path(model, lines):
+    """The best score by trying every path."""
+    import itertools
+
+    emit = [model.mark[:, m] + model.size[:, z] + model.asks[:, a] for m, z, a in map(chat.observe, lines)]
+    score = lambda p: model.start[p[0]] + emit[0][p[0]] + sum(model.step[a, b] + e[b] for a, b, e in zip(p[:-1], p[1:], emit[1:], strict=True))
+    return max(itertools.product(range(chat.STATES), repeat=len(lines)), key=score)
+
+
+def test_chat_viterbi_is_the_best_of_all_paths(spark, sf_dir):
+    model = chat.fit(chat.parts(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    for lines in (["User: a?", "b", "Assistant: c"], ["no marker", "[agent] x", "y" * 300, "[customer] z?"], [""], ["A: b", "Q: c?", "Note: d", "e", "f?"]):
+        assert model.states(lines) == list(best_path(model, lines))
+
+
+def test_chat_parts_change_nothing(spark):
+    rng = np.random.default_rng(4)
+    line = lambda: " ".join(rng.choice(["well", "the", "river", "why?", "User:", "so"], int(rng.integers(1, 30))))
+    turns = [(1, k, ("user", "assistant")[k % 2], "\n".join(line() for _ in range(int(rng.integers(1, 4))))) for k in range(3 * chat.PART)]
+    grouped = chat.parts(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    model = chat.fit(grouped)
+    out = sorted(chat.format_transcripts(chat.as_transcripts(grouped), model).collect(), key=lambda r: r["part"])
+    assert [r["part"] for r in out] == [0, 1, 2]
+    raw = sorted(chat.as_transcripts(grouped).collect(), key=lambda r: r["part"])
+    whole = model.parse("\n".join(r["transcript"] for r in raw))
+    assert ",".join(r["roles"] for r in out) == ",".join(r for r, _ in whole)
+    assert "".join(r["rendered"] for r in out) == rendering(whole)
