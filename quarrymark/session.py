@@ -26,8 +26,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+#: Rows hold whole texts here, so batches for Python workers are bounded well below Spark's defaults.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable in Python workers, once per context."""
+    """Make this package importable in Python workers, once per context, and bound their batches where the session doesn't."""
+    chosen = dict(spark.sparkContext.getConf().getAll())
+    for key, value in BATCHES.items():
+        if key not in chosen:
+            spark.conf.set(key, value)
     context = spark.sparkContext
     if getattr(context, "_quarrymark_shipped", False):
         return spark
