@@ -8,11 +8,15 @@ word and word-beginning features the restored text has, the raw text and its par
 punctuation included. Runs of more than ``LONGEST`` characters are read in overlapping pieces, and
 scripts without spaces at every position, so that each character of a text can change its score;
 only repeats beyond the second, which restoring drops, are squeezed before. Features and weights are learned
-from at most ``most_rows`` labelled documents, those with the smallest hash of doc_id.
+from at most ``most_rows`` labelled documents, those with the smallest hash of doc_id. The model has
+at most ``most_features`` weights, those of the features with the largest gain; every text is read
+for all of them.
 
 Defined results: null and empty texts get the score of a text without features; documents with
-several labels count as toxic if any says so; without labels, or with labels of one kind, the
-score is the smoothed share of toxic labels. Other columns pass unchanged.
+several labels count as toxic if any says so; of rows that repeat a labelled doc_id the greatest
+text is learned from, and each is scored by its own text; without labels, or with labels of one
+kind, the score is the smoothed share of toxic labels; an empty table gives no rows. A column of
+the name ``into`` is replaced, other columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -44,7 +48,7 @@ _CODE[128:] = 27
 _CODE[48:58] = 28
 _MIXED = re.compile(r"[^\W\d_][0-9@$!|+(€.\-_*~^'`,]+[^\W\d_]|^[0-9@$!|+(€]+[^\W\d_]|[^\W\d_][0-9@$|+(€]+$|([^\W\d_])\1", re.I)
 _BEFORE, _BEHIND = "\"'[{<", ".,;:?!\"')]}>"
-_LETTER = re.compile(r"[^\W\d_]")
+_CORE = re.compile(r"[^\W\d_](?:.*[^\W\d_])?", re.S)
 _INNER = re.compile(r"[!-/:-@\[-`{-~\u2010-\u205e\u3000-\u3003\u3008-\u3011\uff01-\uff0f\uff1a-\uff20]+")
 _UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 _DOUBLED = re.compile(r"([^\W\d_])\1+", re.I)
@@ -128,14 +132,28 @@ def char_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def word_features(word: str) -> list[int]:
-    """Hashes of a plain word and of its beginnings."""
-    first = _LETTER.search(word)
-    if first is None:
-        return []
-    core = word[first.start() : len(word) - _LETTER.search(word[::-1]).start()].lower()
-    if len(core) < 3:
+    """Hashes of a plain word, from its first letter to its last, and of its beginnings."""
+    if not word.isalpha():
+        core = _CORE.search(word)
+        if core is None:
+            return []
+        word = core[0]
+    word = word.lower()
+    size = len(word)
+    if size < 3:
         return []
-    return [zlib.crc32(x.encode()) for x in (core + "$", *(core[:n] for n in (4, 5, 6) if len(core) >= n))]
+    if not word.isascii():
+        return [zlib.crc32(x.encode()) for x in (word + "$", *(word[:n] for n in (4, 5, 6) if size >= n))]
+    data = word.encode()
+    found = [0]
+    so_far = zlib.crc32(data[:3])
+    for n in (4, 5, 6):
+        if size < n:
+            break
+        so_far = zlib.crc32(data[n - 1 : n], so_far)
+        found.append(so_far)
+    found[0] = zlib.crc32(data[len(found) + 2 :] + b"$", so_far)
+    return found
 
 
 def squeeze(run: str) -> str:
@@ -156,6 +174,8 @@ class Reader:
         self.chars = chars
 
     def word(self, word: str) -> list[int]:
+        if word.isalpha() and word.isascii() and len(word) <= LONGEST and not _DOUBLED.search(word):
+            return word_features(word)  # nothing to restore
         found = self.run(word)
         parts = [p for p in _INNER.split(word) if p]
         if len(parts) > 1:
@@ -188,9 +208,10 @@ class Reader:
 
     def spelled(self, words: list[str]) -> list[int]:
         """Features of runs of at least three single characters."""
-        singles = [len(w) == 1 for w in words]
-        if sum(singles) < 3:
+        sizes = list(map(len, words))
+        if sizes.count(1) < 3:
             return []
+        singles = [n == 1 for n in sizes]
         found: list[int] = []
         run: list[str] = []
         for w, single in [*zip(words, singles, strict=True), ("", False)]:
@@ -219,7 +240,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int
     known = labels.where(usable) if usable is not None else labels
     known = known.select(F.col("doc_id").cast("long").alias("label_id"), F.col(label).cast("int").alias("label")).where("label is not null and label_id is not null")
     chosen = known.groupBy("label_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("label_id"), "label_id").limit(most_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").join(F.broadcast(chosen), "label_id").select("text", "label")
+    texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").join(F.broadcast(chosen), "label_id")
+    texts = texts.groupBy("label_id").agg(F.max("text").alias("text"), F.max("label").alias("label")).select("text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(chars)
@@ -274,7 +296,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", into: str =
     @F.pandas_udf("double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         reader, weights = Reader(model.chars), model.weights
-        hits = Remembered(lambda w: frozenset(f for f in reader.word(w) if f in weights) or None)
+        hits = Remembered(lambda w: frozenset(f for f in reader.word(w) if f in weights) or None, 500_000)
         for part in parts:
             out = np.zeros(len(part))
             for i, t in enumerate(part):
