@@ -8,8 +8,10 @@ those with the smallest hash of doc_id; scoring reads every whole text.
 
 Defined results: null and empty texts are scored from the whole-text measures alone; ratings of
 unknown documents and null ratings are ignored; a document rated more than once counts with its
-highest rating; with no ratings, or a single grade, every document has that grade (null if none)
-and is selected. Other columns pass unchanged.
+highest rating; of rows that repeat a rated doc_id the greatest text is learned from, and each is
+graded by its own text; with no ratings, or a single grade, every document has that grade (null if
+none) and is selected; an empty table gives no rows. A column of the name ``into`` is replaced,
+other columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ _SHAPE = bytes.maketrans(bytes(range(256)), bytes(97 if 97 <= b <= 122 or b >= 1
 def word_slots(word: bytes) -> tuple[int, int]:
     """The slots of a word and of its shape (runs of one character class count once)."""
     shape = word.translate(_SHAPE)
-    runs = bytes(c for k, c in enumerate(shape[:32]) if not k or c != shape[k - 1])
-    return zlib.crc32(word[:64].lower()) % SLOTS, zlib.crc32(runs, 7) % SLOTS
+    runs = bytes(c for k, c in enumerate(shape) if not k or c != shape[k - 1])
+    return zlib.crc32(word.lower()) % SLOTS, zlib.crc32(runs, 7) % SLOTS
 
 
 def measures(words: list[bytes], size: int) -> list[float]:
@@ -49,15 +51,17 @@ def measures(words: list[bytes], size: int) -> list[float]:
 
 
 class Remembered(dict):
-    """A bounded table of a word's value, filled on first sight."""
+    """A bounded table of a word's value, filled on first sight; very long words are not kept."""
 
     def __init__(self, compute, most: int = 200_000):
         self.compute, self.most = compute, most
 
     def __missing__(self, word: bytes):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = self.compute(word)
+        value = self.compute(word)
+        if len(word) <= 256:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -98,7 +102,8 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: str = "quality", most_rows:
     """The model of the ratings (doc_id, grade); ``most_rows`` bounds what reaches the driver."""
     rated = ratings.select(F.col("doc_id").cast("long").alias("rated_id"), F.col(grade).cast("double").alias("grade")).where("grade is not null and rated_id is not null")
     chosen = rated.groupBy("rated_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("rated_id"), "rated_id").limit(most_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("rated_id"), "text").join(F.broadcast(chosen), "rated_id").select("text", "grade")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rated_id"), "text").join(F.broadcast(chosen), "rated_id")
+    texts = texts.groupBy("rated_id").agg(F.max("text").alias("text"), F.max("grade").alias("grade")).select("text", "grade")
     rows = _features(texts).toPandas()
     grades = sorted(rows["grade"].unique().tolist())
     if len(grades) < 2:
