@@ -26,6 +26,7 @@ from .common import Scratch, byte_range_hashes, chunks, joined, slices
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 16
+PIECE_BYTES = 1 << 19
 BLOCKS = "shard int, block int, first_token long, doc_ids array<long>, offsets array<int>, bits int, payload binary"
 
 _encoders: dict[str, WordEncoder] = {}
@@ -70,7 +71,7 @@ class WordEncoder:
     """
 
     #: Segments and ids remembered; beyond either the memory starts anew.
-    MOST_KNOWN, MOST_IDS = 1_000_000, 1 << 23
+    MOST_KNOWN, MOST_IDS = 500_000, 1 << 22
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -126,7 +127,7 @@ class WordEncoder:
             yield ids[a:b]
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        for part in chunks(texts):
+        for part in chunks(texts, PIECE_BYTES):
             for text, found in zip(part, self._encode([b"" if b"<|" in t else t for t in part]), strict=True):
                 yield np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32) if b"<|" in text else found
 
