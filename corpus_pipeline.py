@@ -10,6 +10,13 @@ the last return the columns of documents.
 - decontaminate: documents that contain a benchmark item go.
 - mix: documents are repeated or left out so that sources meet their target weights.
 - token_files: the ids of the mix in bit-packed block files, read back.
+
+Defined results: every stage decides row by row, whatever the doc_ids. Where doc_ids repeat or are
+null, near_dedup and mix number the rows in the order of doc_id (null last) and text, and work on the
+numbers, so of near duplicates the first row in that order stays, exact repeats of a row included, and
+each row is repeated or left out by itself; decontaminate works on texts. Null and empty texts are
+graded from whole-text measures alone, are nobody's duplicate, contain nothing, and are taken 0 times.
+An empty table stays empty. Other columns, of any name but ``__quarrymark_...``, pass unchanged.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from quarrymark.session import ship
 
 SMALL_ROWS = 1_000_000
 NEAR_PERCENT = 80
-_MARK = "__quarrymark_stage"
+_MARK, _ROW = "__quarrymark_stage", "__quarrymark_row"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,25 +42,41 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.grade(docs, model, into=_MARK).where(quality.selected(_MARK)).drop(_MARK)
 
 
+def _with_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents with a number of their own: the doc_id, where each has one of its own."""
+    own = F.col("doc_id").cast("long")
+    unclear = docs.groupBy(own.alias("k")).agg(F.count("*").alias("n")).where("n > 1 or k is null")
+    if unclear.isEmpty():
+        return docs.withColumn(_ROW, own)
+    order = [own.asc_nulls_last(), F.xxhash64("text")]  # the hash parts rows of one doc_id over tasks
+    ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    return scratch.write(ranged.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(_MARK)).distinct()
-    gone = Scratch(spark, "dedup-stage").write(gone, "gone")
-    return docs.join(broadcast_if_small(gone, SMALL_ROWS), F.col("doc_id") == F.col(_MARK), "left_anti")
+    scratch = Scratch(spark, "dedup-stage")
+    rows = _with_rows(docs, scratch)
+    found = near_dedup.near_duplicates(rows.select(F.col(_ROW).alias("doc_id"), "text"), percent=NEAR_PERCENT)
+    gone = scratch.write(found.where(~F.col("kept")).select(F.col("doc_id").alias(_MARK)), "gone", near_dedup.NARROW)
+    return rows.join(broadcast_if_small(gone, SMALL_ROWS), F.col(_ROW) == F.col(_MARK), "left_anti").select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    # by text, so that rows of one doc_id, or of none, are told apart
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    found = decontaminate.contaminated(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = Scratch(spark, "decontaminate-stage").write(found.select(F.col("doc_id").alias(_MARK)).distinct(), "gone")
-    return docs.join(broadcast_if_small(gone, SMALL_ROWS), F.col("doc_id") == F.col(_MARK), "left_anti")
+    return docs.join(broadcast_if_small(gone, SMALL_ROWS), F.xxhash64("text") == F.col(_MARK), "left_anti")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs).groupBy(F.col("doc_id").alias(_MARK)).agg(F.max("copies").cast("int").alias(f"{_MARK}_copies"))
-    mixed = Scratch(spark, "mix-stage").write(mixed, "copies")
-    joined = docs.join(broadcast_if_small(mixed, SMALL_ROWS), F.col("doc_id").eqNullSafe(F.col(_MARK)))
-    return joined.withColumn(_MARK, F.explode(F.array_repeat(F.lit(0), F.col(f"{_MARK}_copies")))).select(*[docs[c] for c in docs.columns])
+    scratch = Scratch(spark, "mix-stage")
+    rows = _with_rows(docs, scratch)
+    mixed = mixing.mix(rows.select(F.col(_ROW).alias("doc_id"), "text", "source"))
+    mixed = scratch.write(mixed.select(F.col("doc_id").alias(_MARK), F.col("copies").cast("int").alias(f"{_MARK}_copies")), "copies", near_dedup.NARROW)
+    joined = rows.join(broadcast_if_small(mixed, SMALL_ROWS), F.col(_ROW) == F.col(_MARK))
+    return joined.withColumn(_MARK, F.explode(F.array_repeat(F.lit(0), F.col(f"{_MARK}_copies")))).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,31 @@ def test_near_dedup_stage_links_from_four_fifths(spark, sf_dir):
     kept = sorted(r["doc_id"] for r in dict(pipeline.STAGES)["near_dedup"](spark, docs, sf_dir).collect())
     want = sorted(set(brute_components(rows, 80)[0].values()))
     assert kept == want and want != sorted(set(brute_components(rows, 85)[0].values()))
+
+
+def rows_left(df):
+    return sorted(((r["doc_id"], r["text"], r["clash"]) for r in df.collect()), key=repr)
+
+
+def test_stages_decide_row_by_row(spark, sf_dir):
+    """Repeated and null doc_ids, null and empty texts, an empty table, further columns."""
+    stages = dict(pipeline.STAGES)
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first()["text"]
+    text = lambda x, n=60: " ".join(f"{x}{k}" for k in range(n))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (2, text("c") + " " + item), (None, text("d")), (None, text("d").upper()), (None, item + " " + text("e")), (3, None), (4, ""), (5, text("b")), (6, text("f")), (6, text("f"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, clash string")
+    unique = stages["near_dedup"](spark, docs, sf_dir)
+    assert unique.columns == docs.columns
+    left = [(1, text("a")), (2, text("b")), (2, text("c") + " " + item), (None, min(text("d"), text("d").upper())), (None, item + " " + text("e")), (3, None), (4, ""), (6, text("f"))]
+    got = rows_left(unique)
+    assert len(got) == len(left) and {(i, (t or "").lower()) for i, t, _ in got} == {(i, (t or "").lower()) for i, t in left}
+    clean = stages["decontaminate"](spark, docs, sf_dir)
+    assert clean.columns == docs.columns and rows_left(clean) == sorted([(i, t, "x") for i, t in rows if not t or item not in t], key=repr)
+    mixed = stages["mix"](spark, docs, sf_dir)
+    size = lambda t: len((t or "").split())
+    taken, most = sum(size(t) for _, t, _ in rows_left(mixed)), sum(size(t) for _, t in rows)
+    assert mixed.columns == docs.columns and abs(taken - 1.5 * most) <= 60
+    for stage in ("quality", "near_dedup", "decontaminate", "mix"):
+        assert stages[stage](spark, docs.limit(0), sf_dir).count() == 0
+    assert stages["token_files"](spark, docs.limit(0), sf_dir).count() == 0
+    assert stages["token_files"](spark, docs, sf_dir).count() == len(rows)
