@@ -347,10 +347,20 @@ def typed_by(text: Text, types: Sequence[tuple[str, Sequence[str]]]) -> Column:
     return F.coalesce(*[F.when(contains_any(text, words), F.lit(kind)) for kind, words in types])
 
 
+def _telling(lines: Column, name: Text) -> Column:
+    """Of the name and the first 80 lines, those that tell a company type, with it."""
+    typed = F.transform(F.concat(F.array(col(name)), F.slice(lines, 1, 80)), lambda s: F.struct(typed_by(s, K.LINE_COMPANY_TYPES).alias("kind"), s.alias("line")))
+    return F.filter(typed, lambda x: x["kind"].isNotNull())
+
+
 def line_company_type(lines: Column, name: Text) -> Column:
     """The type of the first telling line among the name and the first 80 lines."""
-    found = F.array_compact(F.transform(F.concat(F.array(col(name)), F.slice(lines, 1, 80)), lambda s: typed_by(s, K.LINE_COMPANY_TYPES)))
-    return F.coalesce(F.get(found, F.lit(0)), F.lit("unknown"))
+    return F.coalesce(F.get(_telling(lines, name), F.lit(0))["kind"], F.lit("unknown"))
+
+
+def company_type_line(lines: Column, name: Text, most: int = 240) -> Column:
+    """That line."""
+    return F.substring(F.get(_telling(lines, name), F.lit(0))["line"], 1, most)
 
 
 def plain_html(x: Text) -> Column:

@@ -80,6 +80,7 @@ DELIVERY_WORDS = ("доставк", "самовывоз", "транспортн"
 CERTIFICATE_WORDS = ("сертификат", "деклараци", "ветеринарн", "меркурий")
 USEFUL_LINK_WORDS = ("catalog", "product", "produk", "assort", "opt", "dostav", "delivery", "contact", "sert", "document", "каталог", "продук", "опт", "достав", "контакт", "документ")
 CAPTCHA_MARKERS = ("captcha", "подтвердите, что вы не робот", "проверка браузера")
+COMPANY_TYPES = ("manufacturer", "distributor", "wholesaler", "marketplace", "retailer", "unknown")
 LINE_COMPANY_TYPES = (
     ("retailer", ("розничн", "супермаркет", "магазин у дома", "мясная лавка")),
     ("manufacturer", ("производител", "производство", "фабрика", "завод")),

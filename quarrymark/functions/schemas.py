@@ -13,7 +13,7 @@ SOURCE = "url string, domain string, status string, http_status int, note string
 REQUEST = "category string, region string, required_volume_kg double, delivery_required boolean, documents_required boolean, extra_requirements string, eis_queries array<string>, max_results int"
 FACT = "struct<value:string,quote:string,source_url:string>"
 #: The record an extraction model returns for a page: single facts and lists of facts.
-PAGE_FACTS = ", ".join([*(f"{n} {FACT}" for n in ("name", "company_type", "address", "minimum_order", "price", "delivery", "phone", "email", "inn")), *(f"{n} array<{FACT}>" for n in ("products", "regions", "certificates"))])
+PAGE_FACTS = ", ".join([*(f"{n} {FACT}" for n in ("legal_name", "inn", "company_type", "address", "minimum_order", "price", "delivery", "phone", "email")), *(f"{n} array<{FACT}>" for n in ("matched_products", "regions", "certificates"))])
 CONTRACTS = (
     "contracts struct<total:long,data:array<struct<regNum:string,number:string,signDate:string,regionCode:string,contractUrl:string,"
     "customer:struct<postalAddress:string,legalAddress:string>,products:array<struct<name:string>>,"

@@ -118,10 +118,10 @@ def materialise(df: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(ord, component): the smallest ord reachable, by minima over neighbours and pointer jumping."""
+    """(ord, component) of each distinct node: the smallest ord reachable, by minima over neighbours and pointer jumping."""
     spark = nodes.sparkSession
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), spark)
-    labels = materialise(nodes.select("ord", F.col("ord").alias("component")), spark)
+    labels = materialise(nodes.select("ord").distinct().withColumn("component", F.col("ord")), spark)
     while True:
         near = both.join(labels.select(F.col("ord").alias("b"), "component"), "b").groupBy(F.col("a").alias("ord")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "ord", "left").select("ord", "component", F.least("component", F.coalesce("near", "component")).alias("next"))
@@ -148,18 +148,19 @@ def merge_groups(suppliers: DataFrame, components: DataFrame) -> DataFrame:
     united = lambda f: F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.col("_n"), F.coalesce(F.col(f), F.array().cast("array<string>")).alias("v")))), lambda x: x["v"]))).alias(f)
     leader = F.struct((~F.coalesce(F.col("website") != "", F.lit(False))).cast("int").alias("w"), "_n")
     kept = [c for c in suppliers.columns if c not in (*SCALARS, *LISTS, "evidence", "company_type", "checked_at", "ord")]
-    evidence = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_n", "evidence"))), lambda x: x["evidence"]))
     merged = rows.groupBy("component").agg(
         *[F.min_by(c, leader).alias(c) for c in kept], *[best(f) for f in SCALARS], *[united(f) for f in LISTS],
         F.coalesce(F.min_by("company_type", F.when(F.col("company_type") != "unknown", F.col("_n"))), F.min_by("company_type", leader)).alias("company_type"),
-        evidence.alias("evidence"), F.max("checked_at").alias("checked_at"), F.min("ord").alias("ord"), F.count("*").alias("records"))
-    first = F.transform("evidence", lambda e, i: F.struct(i.alias("i"), e.alias("e")))
-    same = lambda x, y: (x["e"]["field_name"].eqNullSafe(y["field_name"])) & (x["e"]["source_url"].eqNullSafe(y["source_url"])) & (x["e"]["quote"].eqNullSafe(y["quote"]))
-    distinct = F.transform(F.filter(first, lambda x: ~F.exists(F.slice(F.col("evidence"), F.lit(1), x["i"]), lambda y: same(x, y))), lambda x: x["e"])
-    return merged.withColumn("evidence", distinct)
+        F.max("checked_at").alias("checked_at"), F.min("ord").alias("ord"), F.count("*").alias("records"))
+    # of facts with the same field, source and quote the first counts; found by key, never pair by pair
+    facts = rows.select("component", "_n", F.posexplode("evidence").alias("_i", "e")).select("component", F.struct("_n", "_i", "e").alias("x"), "e.field_name", "e.source_url", "e.quote")
+    distinct = facts.groupBy("component", "field_name", "source_url", "quote").agg(F.min("x").alias("x"))
+    evidence = distinct.groupBy("component").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["e"]).alias("evidence"))
+    kind = dict(suppliers.dtypes)["evidence"]
+    return merged.join(evidence, "component", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast(kind)))
 
 
 def deduplicate(suppliers: DataFrame) -> DataFrame:
-    """Companies from supplier records with an ordinal ``ord``; ``records`` counts the merged ones."""
+    """Companies from supplier records with an ordinal ``ord`` of their own each; ``records`` counts the merged ones."""
     edges = strong_edges(suppliers).unionByName(fuzzy_edges(suppliers)).distinct()
     return merge_groups(suppliers, connected_components(suppliers.select("ord"), edges))

@@ -29,9 +29,13 @@ def read(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(HISTORY[table]).parquet(f"{root}/{table}")
 
 
+def latest_runs(runs: DataFrame, limit: int = 20) -> DataFrame:
+    return runs.orderBy(F.desc("started_at"), "run_id").limit(limit)
+
+
 def list_runs(spark: SparkSession, root: str, limit: int = 20) -> DataFrame:
     """The latest runs."""
-    return read(spark, root, "search_runs").orderBy(F.desc("started_at"), "run_id").limit(limit)
+    return latest_runs(read(spark, root, "search_runs"), limit)
 
 
 def list_sources(spark: SparkSession, root: str, run_id: str) -> DataFrame:

@@ -175,10 +175,17 @@ def mark_unavailable(suppliers: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def rank(scored: DataFrame, k: int | None = None) -> DataFrame:
-    """Adds place within the group, by score and name; with ``k``, only the best verified and candidates stay."""
-    w = Window.partitionBy("result_group").orderBy(F.desc("score"), "name", "id")
-    out = scored.withColumn("place", F.row_number().over(w))
-    return out if k is None else out.where((F.col("result_group") == "excluded") | (F.col("place") <= k))
+    """Adds place within the group, by score and name; with ``k``, only the best verified and candidates stay.
+
+    With ``k`` the companies of a group are cut to the best ones in every task before they meet, and the
+    excluded, which are all kept, get no place; without it each group is one order, as its places are.
+    """
+    place = F.row_number().over(Window.partitionBy("result_group").orderBy(F.desc("score"), "name", "id"))
+    if k is None:
+        return scored.withColumn("place", place)
+    excluded = F.col("result_group") == "excluded"
+    best = scored.where(~excluded).withColumn("place", place).where(F.col("place") <= k)
+    return best.unionByName(scored.where(excluded).withColumn("place", F.lit(None).cast("int")))
 
 
 def format_breakdown() -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import constants as K
+from ..functions.schemas import EVIDENCE
 from ..operators import entities, extraction, history, pages, results, scoring
 from ..session import ship
 from ..sources import contracts, web
@@ -80,9 +82,16 @@ def crawl_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select_initial_urls(table(spark, sf_dir, "pages").select("url", F.col("page_id").alias("ord")))
 
 
-@query()
+@query(f"""WITH {_URLS}, l AS (SELECT DISTINCT p.url, n.domain, p.page_id, unnest([{{'path': '/dostavka-' || p.page_id % 7, 'score': 2, 'pos': 0}}, {{'path': '/catalog/dostavka-' || p.page_id % 3, 'score': 2, 'pos': 2}}, {{'path': '/contact', 'score': 2, 'pos': 3}}, {{'path': '/x' || p.page_id, 'score': 1, 'pos': 4}}]) AS x FROM pages p JOIN n USING (page_id)),
+ t AS (SELECT url, regexp_extract(url, '^([A-Za-z]+)://', 1) || '://' || domain || x.path AS target, min(x.score) AS score, min(x.pos) AS pos FROM l GROUP BY 1, 2)
+ SELECT url, target, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY url ORDER BY score DESC, length(target), pos) AS place FROM t""")
 def link_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pages.useful_links(table(spark, sf_dir, "pages"))
+    page = F.col("page_id").cast("string")
+    anchor = lambda href, label: F.concat(F.lit('<a class="m" href="'), href, F.lit('">'), F.lit(label), F.lit("</a>\n"))
+    links = F.concat(
+        anchor(F.concat(F.lit("/dostavka-"), (F.col("page_id") % 7).cast("string")), "Доставка"), anchor(F.lit("/about"), "О нас"), anchor(F.concat(F.lit("/catalog/dostavka-"), (F.col("page_id") % 3).cast("string")), "Ещё"),
+        anchor(F.lit("/contact"), "Контакты"), anchor(F.concat(F.lit("/x"), page), "Каталог"), anchor(F.lit("https://other.example/catalog"), "Каталог"))
+    found = pages.useful_links(table(spark, sf_dir, "pages").withColumn("html", links))
     return found.select("url", "target", F.col("score").cast("long").alias("score"), F.col("place").cast("long").alias("place"))
 
 
@@ -100,19 +109,25 @@ def visible_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(web.visible_text("html")).alias("text_md5"))
 
 
-@query()
+@query("""SELECT url, array_to_string(list(DISTINCT 'Товар ' || page_id % 5 ORDER BY 'Товар ' || page_id % 5), '|') AS product_names, arg_min('ООО ' || page_id % 11, page_id) AS organisation, arg_min('ул. Мира, ' || page_id % 13, page_id) AS street FROM pages GROUP BY url""")
 def page_structured_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extraction.page_structures(table(spark, sf_dir, "pages").select("url", "html"))
+    number = lambda m: (F.col("page_id") % m).cast("string")
+    data = F.concat(F.lit('{"@graph": [{"@graph": [{"@graph": [[{"@type": ["Product"], "name": "Товар '), number(5), F.lit('"}], {"@type": "Organization", "legalName": " ООО '), number(11), F.lit('", "address": {"streetAddress": "ул. Мира, '), number(13), F.lit('"}}]}]}, {"@type": "WebPage", "name": "x"}]}'))
+    html = F.concat(F.lit('<html><script type="application/ld+json">'), data, F.lit('</script><script type="application/ld+json">{bad</script></html>'))
+    first = pages.first_wins(table(spark, sf_dir, "pages").withColumn("html", html), ["url", "html"], ["page_id"])
+    # rows of one URL are one page to the operator: their scripts follow each other by page_id
+    whole = first.groupBy("url").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "html"))), lambda x: x["html"]), "\n").alias("html"))
+    found = extraction.page_structures(whole)
     return found.select("url", F.array_join(F.sort_array("product_names"), "|").alias("product_names"), "organisation", "street")
 
 
-@query("""WITH r AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 200 WHEN 1 THEN 403 WHEN 2 THEN 500 ELSE 200 END AS code, CASE WHEN page_id % 7 = 0 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS mime, octet_length(encode(html)) AS size FROM pages)
- SELECT page_id, CASE WHEN code IN (401, 403) THEN 'skipped' WHEN code >= 400 THEN 'failed' WHEN mime NOT LIKE 'text/html%' THEN 'skipped' WHEN size > 2000 THEN 'skipped' ELSE 'ok' END AS status,
- CASE WHEN code IN (401, 403) THEN 'authorisation or robot block' WHEN code >= 400 THEN 'HTTP ' || code WHEN mime NOT LIKE 'text/html%' THEN 'mime: ' || mime WHEN size > 2000 THEN 'page too large' END AS note FROM r""")
+@query("""WITH r AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 200 WHEN 1 THEN 403 WHEN 2 THEN 500 ELSE 200 END AS code, CASE WHEN page_id % 7 = 0 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS mime, octet_length(encode(html)) AS size, page_id % 11 = 3 OR (page_id % 11 = 4 AND length(html) < 4993) AS cap FROM pages)
+ SELECT page_id, CASE WHEN code IN (401, 403) THEN 'skipped' WHEN code >= 400 THEN 'failed' WHEN mime NOT LIKE 'text/html%' THEN 'skipped' WHEN size > 2000000 THEN 'skipped' WHEN cap THEN 'skipped' ELSE 'ok' END AS status,
+ CASE WHEN code IN (401, 403) THEN 'authorisation or robot block' WHEN code >= 400 THEN 'HTTP ' || code WHEN mime NOT LIKE 'text/html%' THEN 'mime: ' || mime WHEN size > 2000000 THEN 'page too large' WHEN cap THEN 'captcha' END AS note FROM r""")
 def fetch_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("page_id") % 5
-    rows = table(spark, sf_dir, "pages").select("page_id", "html", F.lit("").alias("text"), F.when(m == 1, 403).when(m == 2, 500).otherwise(200).alias("http_status"), F.when(F.col("page_id") % 7 == 0, "application/pdf").otherwise("text/html; charset=utf-8").alias("mime_type"))
-    return pages.fetch_gates(rows, max_bytes=2000).select("page_id", "status", "note")
+    rows = table(spark, sf_dir, "pages").select("page_id", "html", F.concat(F.when(F.col("page_id") % 11 == 3, "Подтвердите, что вы не робот").when(F.col("page_id") % 11 == 4, "CAPTCHA").otherwise(""), "html").alias("text"), F.when(m == 1, 403).when(m == 2, 500).otherwise(200).alias("http_status"), F.when(F.col("page_id") % 7 == 0, "application/pdf").otherwise("text/html; charset=utf-8").alias("mime_type"))
+    return pages.fetch_gates(rows).select("page_id", "status", "note")
 
 
 @query("""WITH h AS (SELECT page_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) AS h FROM pages) SELECT page_id, 'web-' || h[1:12] || '5' || h[14:16] AS id FROM h""")
@@ -125,19 +140,21 @@ def url_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-zА-Яа-я]{2,}"
 
 
-@query(rf"""SELECT doc_id, lower(regexp_extract(text, '{_EMAIL}')) AS email, regexp_extract(lower(regexp_extract(text, '{_EMAIL}')), '@(.+)$', 1) AS mail_domain
- FROM documents WHERE regexp_matches(text, '{_EMAIL}')""")
+@query(rf"""WITH e AS (SELECT doc_id, lower(regexp_extract(text, '{_EMAIL}')) AS email FROM documents)
+ SELECT doc_id, email, regexp_extract(email, '@(.+)$', 1) AS mail_domain FROM e WHERE regexp_matches(email, '^[^@\s]+@[^@\s]+\.[a-z]{{2,}}$')""")
 def contact_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    email = F.lower(F.regexp_extract("text", rf"{_EMAIL}", 0))
-    return table(spark, sf_dir, "documents").select("doc_id", email.alias("email")).where("email <> ''").select("doc_id", "email", F.regexp_extract("email", "@(.+)$", 1).alias("mail_domain"))
+    email = C.normalize_email(C.first_match("text", K.EMAIL))
+    return table(spark, sf_dir, "documents").select("doc_id", email.alias("email")).where("email is not null").select("doc_id", "email", F.regexp_extract("email", "@(.+)$", 1).alias("mail_domain"))
 
 
 @query(r"""WITH f AS (SELECT doc_id, unnest([{'field_name': 'source', 'value': source}, {'field_name': 'lang', 'value': lang}, {'field_name': 'n_chars', 'value': CAST(n_chars AS VARCHAR)}]) AS x FROM documents)
- SELECT doc_id, x.field_name AS field_name, x.value AS value FROM f WHERE x.value IS NOT NULL AND x.value <> ''""")
+ SELECT doc_id, x.field_name AS field_name, x.value AS value FROM f WHERE x.value IS NOT NULL AND trim(x.value) <> ''""")
 def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ("source", "lang", "n_chars")
-    entries = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields])
-    return table(spark, sf_dir, "documents").select("doc_id", F.inline(entries)).where("value is not null and value <> ''")
+    none = F.lit(None).cast("string")
+    entries = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value"), none.alias("source_url"), none.alias("quote"), F.lit(0.9).alias("confidence")) for f in fields])
+    found = results.evidence_long(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.filter(entries, lambda e: C.blank_to_null(e["value"]).isNotNull()).alias("evidence")))
+    return found.select(F.col("supplier_id").alias("doc_id"), "field_name", "value")
 
 
 _LINES = r"list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r]'), lambda s: trim(regexp_replace(s, '[\s\x{0B}\x{85}\x{A0}]+', ' ', 'g'))), lambda s: s <> '')"
@@ -173,23 +190,35 @@ def quote_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accepted.withColumn("accepted", F.lit(True)).unionByName(rejected.withColumn("accepted", F.lit(False))).select("doc_id", "quote", "accepted")
 
 
-@query("""WITH RECURSIVE k AS (SELECT doc_id, md5(text) AS key FROM documents UNION SELECT doc_id, 'h:' || substr(text, 1, 24) FROM documents WHERE length(text) >= 24),
+@query("""WITH RECURSIVE k AS (SELECT doc_id, md5(text) AS key FROM documents UNION SELECT doc_id, 'h:' || lang || source FROM documents WHERE doc_id % 50 = 0 AND lang IS NOT NULL AND source IS NOT NULL),
  f AS (SELECT key, min(doc_id) AS root FROM k GROUP BY key), e AS (SELECT DISTINCT doc_id AS a, root AS b FROM k JOIN f USING (key) WHERE doc_id <> root),
  g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
  r(a, b) AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a)
  SELECT d.doc_id, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component FROM documents d LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id""")
 def strong_key_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select(F.col("doc_id").alias("ord"), F.md5("text").alias("id"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("website"), F.lit(None).cast("string").alias("inn"), F.when(F.length("text") >= 24, F.concat(F.lit("h:"), F.substring("text", 1, 24))).alias("phone"))
+    rows = docs.select(F.col("doc_id").alias("ord"), F.md5("text").alias("id"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("website"), F.lit(None).cast("string").alias("inn"), F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("h:"), "lang", "source")).alias("phone"))
     found = entities.connected_components(rows.select("ord"), entities.strong_edges(rows))
     return found.select(F.col("ord").alias("doc_id"), "component")
 
 
-@query("""SELECT md5(text) AS key, count(*) AS records, arg_max(lang, n_chars * 10000000 - doc_id) AS lang, min(doc_id) AS first_id,
- array_to_string(list_distinct(list(source ORDER BY doc_id)), '|') <> '' AS has_source, count(DISTINCT source) AS sources FROM documents GROUP BY md5(text)""")
+@query("""WITH r AS (SELECT doc_id, source, lang, coalesce(md5(text), 'none ' || doc_id) AS key, row_number() OVER (PARTITION BY coalesce(md5(text), 'none ' || doc_id) ORDER BY doc_id % 97 DESC, doc_id) AS n FROM documents),
+ f AS (SELECT key, source, min(n) AS n FROM r WHERE source IS NOT NULL GROUP BY key, source), q AS (SELECT key, string_agg(source, '|' ORDER BY n) AS queries FROM f GROUP BY key)
+ SELECT min(doc_id) AS component, count(*) AS records, arg_min('n' || doc_id, CASE WHEN doc_id % 2 = 1 THEN n ELSE n + 1000000000 END) AS name,
+ arg_min(lang, CASE WHEN lang IS NULL OR lang = '' THEN NULL WHEN doc_id % 3 = 0 THEN n ELSE n + 1000000000 END) AS legal_name, coalesce(max(queries), '') AS queries, count(DISTINCT doc_id % 5) AS facts,
+ coalesce(arg_min(CASE doc_id % 4 WHEN 0 THEN 'retailer' ELSE 'wholesaler' END, CASE WHEN doc_id % 4 < 2 THEN n END), 'unknown') AS company_type FROM r LEFT JOIN q USING (key) GROUP BY key""")
 def group_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("key"))
-    return rows.agg(F.count("*").alias("records"), F.max_by("lang", F.struct("n_chars", -F.col("doc_id"))).alias("lang"), F.min("doc_id").alias("first_id"), (F.count("source") > 0).alias("has_source"), F.countDistinct("source").alias("sources"))
+    docs, doc = table(spark, sf_dir, "documents"), F.col("doc_id")
+    blank, none = F.lit(None).cast("string"), F.array().cast("array<string>")
+    fact = F.struct(F.lit("legal_name").alias("field_name"), F.col("lang").alias("value"), F.lit("https://s.example").alias("source_url"), F.concat(F.lit("q"), (doc % 5).cast("string")).alias("quote"), F.when(doc % 3 == 0, 0.9).otherwise(0.5).alias("confidence"))
+    own = {"website": F.when(doc % 2 == 1, "https://s.example"), "legal_name": F.col("lang"), "discovery_queries": F.when(F.col("source").isNotNull(), F.array("source")).otherwise(none)}
+    rows = docs.select(
+        doc.alias("ord"), F.md5("text").alias("id"), F.concat(F.lit("n"), doc.cast("string")).alias("name"), F.when(doc % 4 == 0, "retailer").when(doc % 4 == 1, "wholesaler").otherwise("unknown").alias("company_type"),
+        *[own.get(c, F.lit(None).cast("double") if c == "minimum_order_kg" else blank).alias(c) for c in entities.SCALARS], *[own.get(c, none).alias(c) for c in entities.LISTS],
+        F.array(fact).alias("evidence"), F.timestamp_seconds(doc % 97).alias("checked_at"))
+    keyed = rows.select("ord", "id", *[blank.alias(c) for c in ("domain", "website", "inn", "phone")])
+    merged = entities.merge_groups(rows, entities.connected_components(rows.select("ord"), entities.strong_edges(keyed)))
+    return merged.select("component", "records", "name", "legal_name", F.array_join("discovery_queries", "|").alias("queries"), F.size("evidence").cast("long").alias("facts"), "company_type")
 
 
 # ---- parts, suppliers, regions, scores ------------------------------------------------------------
@@ -210,13 +239,11 @@ def parse_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", C.parse_weight_kg(text).alias("kg"))
 
 
-@query("""WITH c AS (SELECT n_nationkey, n_name AS child, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey)
- SELECT s_suppkey, child AS nation, parent AS region, parent = 'ASIA' OR child = 'CHINA' AS covers FROM supplier JOIN c ON s_nationkey = n_nationkey""")
+@query("""SELECT s_suppkey, s_nationkey % 5 AS own, s_nationkey % 5 < 3 AS covers FROM supplier""")
 def region_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    closure = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("nation"), F.col("r_name").alias("region"))  # 25 nations
-    rows = table(spark, sf_dir, "supplier").join(F.broadcast(closure), F.col("s_nationkey") == F.col("n_nationkey"))
-    return rows.select("s_suppkey", "nation", "region", ((F.col("region") == "ASIA") | (F.col("nation") == "CHINA")).alias("covers"))
+    own = (F.col("s_nationkey") % 5).cast("int")
+    name = F.element_at(C.strings(("г. ЕКБ", "Свердловская обл.", "Урал", "Москва", "Тюмень")), own + 1)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", own.alias("own"), C.region_covers(name, F.lit("Екатеринбург")).alias("covers"))
 
 
 REQUEST = scoring.Request("замороженные сырники", "Екатеринбург", 50.0)
@@ -259,7 +286,7 @@ def score_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_suppliers(spark, sf_dir).select("s_suppkey", "result_group", "score")
 
 
-@query(f"WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, name) AS place FROM z) SELECT s AS s_suppkey, grp AS result_group, score, place FROM r WHERE grp = 'excluded' OR place <= 10")
+@query(f"WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, name) AS place FROM z) SELECT s AS s_suppkey, grp AS result_group, score, CASE WHEN grp <> 'excluded' THEN place END AS place FROM r WHERE grp = 'excluded' OR place <= 10")
 def rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.rank(scored_suppliers(spark, sf_dir), 10).select("s_suppkey", "result_group", "score", F.col("place").cast("long").alias("place"))
 
@@ -282,12 +309,18 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH {s}, c AS (SELECT unnest([{{'n': 's1', 'k': 1}}, {{'n': 's2', 'k': 2}}, {{'n': 's3', 'k': 3}}]) AS x), v AS (SELECT x.n AS n, z.* FROM z JOIN c ON z.s = x.k)
  SELECT criterion, max(CASE WHEN n = 's1' THEN value END) AS s1, max(CASE WHEN n = 's2' THEN value END) AS s2, max(CASE WHEN n = 's3' THEN value END) AS s3 FROM (
- SELECT n, 'Доставка' AS criterion, CASE WHEN s % 2 = 0 THEN 'доставка' ELSE 'не найдено' END AS value FROM v UNION ALL
+ SELECT n, 'Оценка' AS criterion, CAST(score AS VARCHAR) AS value FROM v UNION ALL
+ SELECT n, 'Категории', CASE s % 4 WHEN 0 THEN 'Сырники замороженные' WHEN 1 THEN 'замороженные овощи' WHEN 2 THEN 'пельмени' ELSE 'сырники весовые' END FROM v UNION ALL
+ SELECT n, 'Регион', CASE s % 3 WHEN 0 THEN 'Урал' WHEN 1 THEN 'Москва' ELSE 'не найдено' END FROM v UNION ALL
+ SELECT n, 'Минимальный заказ', coalesce('от ' || CAST(floor(least) AS INT) || ' кг', 'не найдено') FROM v UNION ALL
+ SELECT n, 'Документы', CASE WHEN lines > 600 THEN 'найдено' ELSE 'не найдено' END FROM v UNION ALL
+ SELECT n, 'Контакты', CASE WHEN s % 7 = 0 THEN '+73431234567' ELSE 'не найдено' END FROM v UNION ALL
+ SELECT n, 'Проверено', '10.09.2026' FROM v UNION ALL
+ SELECT n, 'Доставка', CASE WHEN s % 2 = 0 THEN 'доставка' ELSE 'не найдено' END FROM v UNION ALL
  SELECT n, 'Цена', CASE WHEN priced THEN '100 руб.' ELSE 'не найдено' END FROM v UNION ALL
  SELECT n, 'Сайт', CASE WHEN s % 2 = 1 THEN 's.example' ELSE 'не найдено' END FROM v) GROUP BY criterion""".format(s=_SCORED))
 def comparison_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = results.comparison(scored_suppliers(spark, sf_dir), ["s1", "s2", "s3"])
-    return wide.where(F.col("Критерий").isin("Доставка", "Цена", "Сайт")).withColumnRenamed("Критерий", "criterion")
+    return results.comparison(scored_suppliers(spark, sf_dir), ["s1", "s2", "s3"]).withColumnRenamed("Критерий", "criterion")
 
 
 @query()
@@ -297,19 +330,56 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.fuzzy_edges(rows).select("a", "b")
 
 
-@query()
+@query("""WITH c AS (SELECT s_suppkey AS s, s_name, CASE WHEN s_suppkey % 2 = 1 OR s_suppkey % 3 = 0 OR s_suppkey % 5 = 0 OR s_suppkey % 7 = 0 THEN 0 ELSE s_suppkey END AS component FROM supplier)
+ SELECT component, arg_min(s_name, CASE WHEN s % 2 = 1 THEN s ELSE s + 1000000000 END) AS name, max(CASE WHEN s % 5 = 0 THEN '7700000000' END) AS inn, max(CASE WHEN s % 7 = 0 THEN '+73431234567' END) AS phone, count(*) AS records FROM c GROUP BY component""")
 def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd suppliers share a domain, others a tax number, a phone, or an address beside numbered names that are alike."""
     scored = scored_suppliers(spark, sf_dir).withColumn("ord", F.col("s_suppkey"))
     merged = entities.deduplicate(scored.drop("s_suppkey"))
     return merged.select("component", "name", "inn", "phone", F.col("records").cast("long").alias("records"))
 
 
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang FROM documents), q AS (SELECT *, substr(text, CAST(length(text) / 2 AS INT) + 1) AS half FROM d),
+ f AS (SELECT doc_id, trim(half, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' AS there, trim(lang) <> '' AS named FROM q)
+ SELECT doc_id, CASE WHEN there AND doc_id % 3 <> 0 AND named THEN 'имя' END AS legal_name, CASE WHEN there THEN 'wholesaler' ELSE 'unknown' END AS company_type, CAST(there AS INT) + CAST(there AND doc_id % 3 <> 0 AND named AS INT) AS accepted, 3 - CAST(there AS INT) - CAST(there AND doc_id % 3 <> 0 AND named AS INT) AS rejected FROM f""")
+def model_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts a model might return for each document: a name quoted from the text's second half, or with an unknown address; a type; a blank value."""
+    docs, doc = table(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    text = F.coalesce("text", F.lit(""))
+    half = F.substr(text, (F.length(text) / 2).cast("int") + 1)
+    address = F.concat(F.lit("https://docs.example/d"), doc)
+    fact = lambda value, quote, url: F.struct(value.alias("value"), quote.alias("quote"), url.alias("source_url"))
+    name = fact(F.when(C.blank_to_null("lang").isNotNull(), " имя ").otherwise(" "), half, F.when(F.col("doc_id") % 3 == 0, "https://docs.example/none").otherwise(address))
+    answers = docs.select(doc.alias("supplier_id"), F.to_json(F.struct(name.alias("legal_name"), fact(F.lit("Wholesaler"), half, address).alias("company_type"), fact(F.lit(" "), half, address).alias("inn"))).alias("payload"))
+    facts = extraction.model_facts(extraction.parse_model_facts(answers))
+    blank, none = F.lit(None).cast("string"), F.array().cast("array<string>")
+    lists = ("matched_products", "certificates", "regions", "source_urls")
+    texts = ("legal_name", "inn", "address", "minimum_order", "price", "price_access_note", "delivery", "phone", "phone_raw", "email")
+    empty = docs.select(doc.alias("id"), F.lit("unknown").alias("company_type"), *[blank.alias(n) for n in texts], *[none.alias(n) for n in lists], F.expr(f"cast(array() as array<{EVIDENCE}>)").alias("evidence"))
+    merged, counts = extraction.merge_model_facts(empty, facts, docs.select(address.alias("final_url"), text.alias("text")))
+    joined = merged.join(counts, F.col("id") == F.col("supplier_id"))
+    return joined.select(F.col("id").cast("long").alias("doc_id"), "legal_name", "company_type", F.col("accepted").cast("int").alias("accepted"), F.col("rejected").cast("int").alias("rejected"))
+
+
+@query("SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
+def nations_of_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rich = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("nation"))
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).intersect(rich)
+
+
+@query("SELECT p_partkey AS part FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+def parts_never_returned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("part"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part")).subtract(returned)
+
+
 # ---- history, cache, counters, JSON, streams ---------------------------------------------------------
 
 
-@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS run_id, o_orderstatus AS status FROM orders ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) LIMIT 20")
 def history_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20).select("o_orderkey", "o_custkey", "o_totalprice")
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderdate").alias("started_at"), F.col("o_orderstatus").alias("status"))
+    return history.latest_runs(runs).select("run_id", "status")
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events), c AS (SELECT user_id, event_id, ts + CASE WHEN event_type = 'error' THEN INTERVAL 1 HOUR ELSE INTERVAL 168 HOUR END AS expires_at FROM r WHERE k = 1)
@@ -320,7 +390,7 @@ def cache_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = history.cache_entries(landed.withColumns({"html": F.col("props"), "text": F.col("props")}))
     latest = pages.first_wins(entries, ["url"], [F.desc("fetched_at"), F.desc(F.col("final_url").cast("long"))])
     now = e.agg(F.max("ts").alias("now"))
-    return latest.crossJoin(F.broadcast(now)).where("expires_at > now").select(F.col("url").cast("long").alias("user_id"), F.col("final_url").cast("long").alias("event_id"))  # one row
+    return history.fresh(latest.crossJoin(F.broadcast(now)), F.col("now")).select(F.col("url").cast("long").alias("user_id"), F.col("final_url").cast("long").alias("event_id"))  # one row
 
 
 @query("""SELECT event_type AS provider, count(*) AS calls, count(*) FILTER (code >= 400) AS failures, bool_or(code IN (401, 403)) AS refused, bool_or(code = 429) AS throttled
@@ -349,10 +419,10 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT conv_id, turn, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM conversations)
- SELECT conv_id, turn, text[1:CAST(1000 - used AS INT)] AS text FROM w WHERE used < 1000""")
+ SELECT conv_id, turn, text[1:CAST(18000 - used AS INT)] AS text FROM w WHERE used < 18000""")
 def text_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), "text")
-    return pages.text_budget(rows, "conv_id", 1000).select("conv_id", F.col("ord").alias("turn"), "text")
+    return pages.text_budget(rows, "conv_id").select("conv_id", F.col("ord").alias("turn"), "text")
 
 
 @query("""SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)""")

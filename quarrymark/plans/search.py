@@ -25,8 +25,8 @@ class SearchResult:
 
 
 def numbered(suppliers: DataFrame, start: int = 0) -> DataFrame:
-    """Gives records an ordinal from ``start`` on, below ``start`` + 2 ** 61, by a hash of id and name: no global sort."""
-    return suppliers.withColumn("ord", F.lit(start) + F.shiftrightunsigned(F.xxhash64("id", "name"), 3))
+    """Gives each record an ordinal of its own from ``start`` on, in the order of its providers, and writes it down."""
+    return entities.materialise(suppliers.withColumn("ord", F.lit(start) + F.monotonically_increasing_id()), suppliers.sparkSession)
 
 
 def search(request: scoring.Request, suppliers: DataFrame, hits: DataFrame, landed: DataFrame, sources: DataFrame, checked_at: Column) -> SearchResult:
