@@ -102,7 +102,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SHINGLES = r"""unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))"""
 _WORDS = r"list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w"
 
+_ASCII_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w"
+
 ORACLES: dict[str, str] = {
+    "op1_near_dedup": f"""WITH RECURSIVE d AS (SELECT doc_id, {_ASCII_WORDS} FROM documents),
+ g AS (SELECT DISTINCT doc_id, {_SHINGLES} AS s FROM d WHERE len(w) >= 5 UNION SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+ e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+ r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+ c AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+ SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, least(doc_id, coalesce(low, doc_id)) = doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = doc_id""",
     "op6_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS} FROM documents), b AS (SELECT item_id, {_WORDS} FROM benchmark),
  ds AS (SELECT DISTINCT doc_id, {_SHINGLES} AS g FROM d WHERE len(w) >= 5), bs AS (SELECT DISTINCT item_id, {_SHINGLES} AS g FROM b WHERE len(w) >= 5),
  n AS (SELECT item_id, count(*) AS item_shingles FROM bs GROUP BY item_id)
