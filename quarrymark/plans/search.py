@@ -6,12 +6,14 @@ materialised, since several joins read each of them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import entities, extraction, links, pages, results, scoring
+from ..functions import columns as C
+from ..operators import entities, extraction, history, links, pages, results, scoring
 from ..sources import web
 
 
@@ -29,8 +31,22 @@ def numbered(suppliers: DataFrame, start: int = 0) -> DataFrame:
     return entities.materialise(suppliers.withColumn("ord", F.lit(start) + F.monotonically_increasing_id()), suppliers.sparkSession)
 
 
-def search(request: scoring.Request, suppliers: DataFrame, hits: DataFrame, landed: DataFrame, sources: DataFrame, checked_at: Column) -> SearchResult:
-    """suppliers and sources come from the providers, hits from the web sources, landed holds fetched pages."""
+def first_pages(suppliers: DataFrame, hits: DataFrame) -> DataFrame:
+    """url, domain, ord of what a landing job fetches first."""
+    return pages.select_initial_urls(links.fetch_urls(suppliers, hits))
+
+
+def next_pages(landed: DataFrame) -> DataFrame:
+    """url, domain, ord of what it fetches next: useful links of the landed pages, within what is left of each domain's share."""
+    found = pages.useful_links(landed.select(F.col("final_url").alias("url"), "html"))
+    order = F.struct((-F.col("score")).alias("score"), "place", "url")
+    visited = landed.select(C.normalize_url("url").alias("url"), C.normalize_domain("url").alias("domain"))
+    return pages.second_wave(found.select(F.col("target").alias("url"), C.normalize_domain("target").alias("domain"), order.alias("ord")), visited)
+
+
+def search(request: scoring.Request, suppliers: DataFrame, hits: DataFrame, landed: DataFrame, sources: DataFrame, checked_at: Column, answers: DataFrame | None = None) -> SearchResult:
+    """suppliers and sources come from the providers, hits from the web sources, landed holds fetched pages of both
+    waves, answers (supplier_id, payload) what a model said of them."""
     known = suppliers if "ord" in suppliers.columns else numbered(suppliers)
     keep = lambda df: entities.materialise(df, df.sparkSession)
     unique = keep(pages.deduplicate_hits(hits))
@@ -39,8 +55,21 @@ def search(request: scoring.Request, suppliers: DataFrame, hits: DataFrame, land
     everyone = keep(attached.unionByName(fresh, allowMissingColumns=True))
     gated = keep(pages.fetch_gates(landed))
     owned = keep(links.page_owners(gated, everyone).join(gated, "url"))
-    enriched = keep(entities.normalize_suppliers(extraction.enrich(everyone, owned, request.category)))
-    companies = keep(entities.deduplicate(enriched))
+    found = keep(extraction.enrich(everyone, owned, request.category))
+    if answers is not None:
+        found = keep(extraction.merge_model_facts(found, extraction.model_facts(extraction.parse_model_facts(answers)), pages.usable(gated))[0])
+    companies = keep(entities.deduplicate(keep(entities.normalize_suppliers(found))))
     lineage = sources.unionByName(links.hit_sources(unique, everyone), allowMissingColumns=True).unionByName(pages.page_sources(gated), allowMissingColumns=True)
     scored = scoring.score(scoring.mark_unavailable(companies, lineage), request)
     return SearchResult(scoring.rank(scored, request.max_results), lineage, results.run_counters(lineage, scored))
+
+
+def save(result: SearchResult, request: scoring.Request, root: str, run_id: str, started_at: Column, finished_at: Column, warnings: list[str] | None = None) -> None:
+    """Writes the run, its companies with their evidence, and its sources to the history below ``root``."""
+    run = F.lit(run_id)
+    row = result.counters.select(
+        run.alias("run_id"), started_at.alias("started_at"), finished_at.alias("finished_at"), F.lit("partial" if warnings else "completed").alias("status"), F.lit(json.dumps(asdict(request), ensure_ascii=False)).alias("request"),
+        F.to_json(F.struct(*result.counters.columns)).alias("stats"), F.lit(json.dumps(warnings or [], ensure_ascii=False)).alias("warnings"), "suppliers_found", "candidates_found")
+    lineage = result.sources.withColumns({"run_id": run, "seq": F.monotonically_increasing_id()})
+    facts = results.evidence_long(result.companies).withColumn("run_id", run)
+    history.save_run(root, {"search_runs": row, "suppliers": history.supplier_payload(result.companies, run_id), "evidence": facts, "sources": lineage})

@@ -59,7 +59,7 @@ def unpivot_evidence(url: Column, single: dict[str, Column], lists: dict[str, Co
 
 
 def place_suppliers(payloads: DataFrame, query: str, checked_at: Column, most: int = 30) -> Result:
-    """Suppliers and lineage from answers (meta, result, ord): the first card per id, cards without a name skipped."""
+    """Suppliers and lineage from answers (meta, result, ord): the first card per id, cards without a name skipped; failed answers are lineage alone."""
     items = payloads.select("ord", F.posexplode("result.items").alias("pos", "i")).where("i.id is not null")
     rows = first_wins(items.withColumn("_id", F.col("i.id")), ["_id"], ["ord", "pos"]).orderBy("ord", "pos").limit(most)
     found = contacts(F.col("i.contact_groups"))
@@ -69,4 +69,7 @@ def place_suppliers(payloads: DataFrame, query: str, checked_at: Column, most: i
     line = lambda url, status, note, kind: F.struct(url.alias("url"), F.coalesce(C.normalize_domain(url), F.lit("2gis.ru")).alias("domain"), F.lit(status).alias("status"), F.lit(note).alias("note"), F.col("name").alias("supplier_name"), F.lit(query).alias("discovery_query"), F.lit("places").alias("provider"), F.lit(kind).alias("source_kind"))
     other = C.normalize_url("website").isNotNull() & ~C.normalize_url("website").eqNullSafe(C.normalize_url("url"))
     sources = rows.select(F.inline(F.array_compact(F.array(line(F.col("url"), "ok", "карточка организации", "organization_api"), F.when(other, line(F.col("website"), "skipped", "сайт из карточки; загрузка ещё не выполнялась", "official_site"))))))
-    return Result(normalize_suppliers(conform(suppliers, SUPPLIER)), sources)
+    none = F.lit(None).cast("string")
+    refused = payloads.withColumn("error", api_error(F.col("meta"))).where("error is not null")
+    refused = refused.select(none.alias("url"), F.lit("2gis.ru").alias("domain"), F.lit("failed").alias("status"), F.col("error").alias("note"), none.alias("supplier_name"), F.lit(query).alias("discovery_query"), F.lit("places").alias("provider"), F.lit("organization_api").alias("source_kind"))
+    return Result(normalize_suppliers(conform(suppliers, SUPPLIER)), sources.unionByName(refused))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from urllib.parse import urlencode
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,15 +37,23 @@ def conform(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])
 
 
-def collect(spark: SparkSession, request: Request, providers: dict[str, Provider]) -> Result:
-    """The union of all providers' rows; the names of failed ones in the warnings."""
+def redacted(error: object, secrets: tuple[str, ...] = (), most: int = 200) -> str:
+    """An error's message on one line, cut, with secrets masked."""
+    text = " ".join(str(error).split("\n"))
+    for secret in filter(None, secrets):
+        text = text.replace(secret, "***")
+    return text[:most]
+
+
+def collect(spark: SparkSession, request: Request, providers: dict[str, Provider], secrets: tuple[str, ...] = ()) -> Result:
+    """The union of all providers' rows; the names of failed ones in the warnings, without the secrets."""
     found: list[Result] = []
     warnings: list[str] = []
     for name, provider in providers.items():
         try:
             found.append(provider(spark, request))
         except Exception as error:  # a source that can't be read must not stop the others
-            warnings.append(f"{name}: {str(error)[:200]}")
+            warnings.append(f"{name}: {redacted(error, secrets)}")
     union = lambda parts, schema: reduce(DataFrame.unionByName, [conform(p, schema) for p in parts], spark.createDataFrame([], schema))
     return Result(union([r.suppliers for r in found if r.suppliers is not None], SUPPLIER), union([r.sources for r in found if r.sources is not None], SOURCE), None, warnings + [w for r in found for w in r.warnings])
 
@@ -110,3 +119,13 @@ def contract_parameters(category: str, region_code: str | None, most: int) -> di
     """What a landing job pushes down to the contracts source: filter, order, limit."""
     found = {"productsearch": category.strip(), "perpage": str(max(1, min(most, 50))), "sort": "-signDate"}
     return found | ({"customerregion": region_code} if region_code else {})
+
+
+#: What the registry's feed of contracts is asked for, beside the text.
+REGISTRY_FILTER = {"morphology": "on", "fz44": "on", "contractStageList_1": "on", "contractStageList_2": "on", "sortBy": "UPDATE_DATE", "pageNumber": "1", "sortDirection": "false", "recordsPerPage": "_10"}
+REGISTRY_FEED = "/epz/contract/search/rss"
+
+
+def registry_address(base: str, query: str) -> str:
+    """The address a landing job reads for a query of the registry's feed."""
+    return f"{base.rstrip('/')}{REGISTRY_FEED}?{urlencode({'searchString': query} | REGISTRY_FILTER)}"

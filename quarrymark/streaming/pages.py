@@ -17,7 +17,11 @@ def fresh_pages(stream: DataFrame, ttl: str = "168 hours") -> DataFrame:
 
 
 def upsert_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Feeds the page cache: every micro-batch is merged into a new generation of the table, swapped by name."""
+    """Feeds the page cache: every micro-batch is merged into a new generation of the table, swapped by name.
+
+    A repeated batch writes the same generation again. Of the earlier ones the last stays, for readers
+    that still hold it. A batch costs a pass over the cache: batches are to be as long as freshness allows.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -27,6 +31,9 @@ def upsert_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
         else:
             rows = history.upsert_cache(rows.limit(0), rows)
         rows.write.mode("overwrite").parquet(f"{path}/generation={epoch}")
+        if epoch > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation={epoch - 2}")
+            old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

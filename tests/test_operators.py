@@ -246,6 +246,7 @@ def test_queries_built():
     assert provider.contract_queries(scoring.Request("сырники", eis_queries=("10.12", "Сырники", "творог"))) == ["сырники", "творог"]
     assert provider.registry_queries(scoring.Request("филе куриное"))[0] == "филе куриное"
     assert provider.contract_parameters("x", "66", 99)["perpage"] == "50"
+    assert provider.registry_address("https://r.example/", "филе куриное").startswith("https://r.example/epz/contract/search/rss?searchString=%D1%84%D0%B8%D0%BB%D0%B5+")
 
 
 def test_failed_provider_is_a_warning(spark):
@@ -281,12 +282,28 @@ def test_tables(spark, tmp_path):
     assert rows.select(scoring.format_breakdown().alias("b")).first()["b"].endswith("Итого: 100/100")
 
 
-def test_whole_search(spark):
+def test_whole_search(spark, tmp_path):
     page = page_rows(spark).drop("supplier_id", "status").withColumns({"http_status": F.lit(200), "mime_type": F.lit("text/html"), "error": F.lit(None).cast("string")})
     none = spark.createDataFrame([], provider.SOURCE)
     out = search.search(REQUEST, frame(spark, supplier(id="s", evidence=[], regions=["ЕКБ"], source_urls=["https://romashka.ru/p"])), hits(spark, ("https://vasilek.ru", "Василёк — оптом", None)), page, none, checked())
     groups = {r["name"]: r["result_group"] for r in out.companies.collect()}
     assert groups["Тестовый поставщик"] == "verified"
+    fact = {"value": "ООО Ответ", "quote": "Доставка по городу", "source_url": "https://romashka.ru/p"}
+    answers = spark.createDataFrame([("s", json.dumps({"legal_name": fact, "certificates": [fact]}, ensure_ascii=False))], "supplier_id string, payload string")
+    bare = page.withColumn("html", F.lit(None).cast("string"))
+    told = search.search(REQUEST, frame(spark, supplier(id="s", evidence=[], source_urls=["https://romashka.ru/p"])), hits(spark), bare, none, checked(), answers)
+    row = told.companies.where("id = 's'").first()
+    assert row["legal_name"] == "ООО Ответ" and "ООО Ответ" in row["certificates"]
+    for _ in range(2):
+        search.save(out, REQUEST, str(tmp_path), "run-1", checked(), checked(), ["places: no answer"])
+    run = history.list_runs(spark, str(tmp_path)).collect()
+    assert [(r["run_id"], r["status"], r["suppliers_found"]) for r in run] == [("run-1", "partial", 1)] and json.loads(run[0]["stats"])["suppliers_found"] == 1
+    assert history.list_suppliers(spark, str(tmp_path), "run-1").count() == out.companies.count()
+    assert history.read(spark, str(tmp_path), "evidence").count() == results.evidence_long(out.companies).count() > 0
+    assert history.list_sources(spark, str(tmp_path), "run-1").count() == out.sources.count()
+    assert {r["url"] for r in search.first_pages(frame(spark, supplier(website="https://b.ru")), hits(spark, ("https://a.ru/x", "A", None))).collect()} == {"https://a.ru/x", "https://b.ru"}
+    linked = page.withColumn("html", F.lit('<a href="/catalog">Каталог</a><a href="/p">опт</a><a href="/contact">Контакты</a><a href="/opt">Опт</a>'))
+    assert {r["url"] for r in search.next_pages(linked).collect()} == {"https://romashka.ru/catalog", "https://romashka.ru/opt"}
     assert out.counters.first()["suppliers_found"] == 1
 
 
@@ -339,3 +356,89 @@ def test_export_rows_hold_every_field(spark):
     values = " | ".join(str(v) for v in row.values())
     for value in ("Тестовый поставщик", "сырники замороженные", "доставка по городу", "от 10 кг", "декларация", "+73431234567", "a@b.ru", "100 руб.", "https://example.ru"):
         assert value in values
+
+
+def test_xml_hits_and_composite(spark):
+    import base64
+
+    group = lambda url, title: f"<group><doc><url>{url}</url><title>{title}</title><passages><passage>про сырники</passage></passages></doc></group>"
+    xml = "<?xml version='1.0'?><yandexsearch><response><results><grouping>" + group("https://a.ru/x", "А") + group("https://b.ru", "Б") + "</grouping></results></response></yandexsearch>"
+    landed = spark.createDataFrame([("q", None, base64.b64encode(xml.encode()).decode(), 0)], "query string, supplier_id string, payload string, ord long")
+    primary = web.xml_hits(landed)
+    assert [(r["url"], r["title"], r["snippet"], r["rank"]) for r in primary.orderBy("rank").collect()] == [("https://a.ru/x", "А", "про сырники", 1), ("https://b.ru", "Б", "про сырники", 2)]
+    fallback = hits(spark, ("https://c.ru", "C", "s1"), ("https://a.ru/x", "A", None))
+    urls = lambda df: [r["url"] for r in df.collect()]
+    assert urls(web.composite_hits(primary, fallback, 2)) == ["https://a.ru/x", "https://b.ru"]  # early stop
+    assert urls(web.composite_hits(primary, fallback, 5)) == ["https://c.ru", "https://a.ru/x", "https://b.ru"]  # a linked hit comes first
+    assert urls(web.composite_hits(None, fallback, 1)) == ["https://c.ru"]
+
+
+def test_card_pages_owners_and_model_pages(spark):
+    items = spark.createDataFrame([("1",), ("2",), ("3",)], "registry_number string")
+    common = spark.createDataFrame([("1", "u1", "t1"), ("2", "u2", "t2")], "registry_number string, url string, text string")
+    out = contracts.join_card_pages(items, common, common.where("registry_number = '1'")).orderBy("registry_number").collect()
+    assert [(r["registry_number"], r["common_text"], r["product_text"]) for r in out] == [("1", "t1", "t1"), ("2", "t2", None)]
+    owners = spark.createDataFrame([("a", "u1"), ("b", "u1"), ("b", "u2"), ("b", "u3"), ("b", "u4"), ("c", "u5")], "supplier_id string, url string")
+    known = spark.createDataFrame([("a", 2), ("b", 1), ("c", 3)], "id string, ord long")
+    assert {(r["url"], r["supplier_id"]) for r in links.first_owner(owners, known).collect()} == {("u1", "b"), ("u2", "b"), ("u3", "b"), ("u4", "b"), ("u5", "c")}
+    landed = spark.createDataFrame([(f"u{k}", k) for k in range(1, 6)], "url string, ord long")
+    assert {(r["supplier_id"], r["url"]) for r in links.model_pages(known, owners, landed, 2).collect()} == {("b", "u1"), ("b", "u2"), ("a", "u1")}
+
+
+def test_second_wave_fills_what_is_left_of_a_domain(spark):
+    fresh = spark.createDataFrame([("https://a.ru/1", "a.ru", 1), ("https://a.ru/2", "a.ru", 2), ("https://a.ru/3", "a.ru", 3), ("https://b.ru/1", "b.ru", 4)], "url string, domain string, ord long")
+    visited = spark.createDataFrame([("https://a.ru", "a.ru"), ("https://a.ru/1", "a.ru")], "url string, domain string")
+    assert {r["url"] for r in pages.second_wave(fresh, visited).collect()} == {"https://a.ru/2", "https://b.ru/1"}
+
+
+def test_queries_of_web_and_places(spark):
+    r = scoring.Request("сырники", "Екатеринбург")
+    assert provider.places_queries(r) == ["сырники Екатеринбург", "сырники оптом Екатеринбург", "продукты оптом Екатеринбург"]
+    got = provider.web_queries(r, frame(spark, supplier(id="a", company_type="retailer"), supplier(id="b", name="Ромашка"))).collect()
+    assert [x["supplier_id"] for x in got] == [None, None, "b"] and got[2]["query"] == '"Ромашка" "сырники"'
+
+
+def test_errors_are_redacted_and_kept(spark, tmp_path, one):
+    def broken(spark, request):
+        raise OSError("key=secret-1\nfailed")
+
+    assert provider.collect(spark, REQUEST, {"p": broken}, ("secret-1",)).warnings == ["p: key=*** failed"]
+    assert one(lambda v: entities.C.redact_error(v, "secret-1", 9), "a secret-1\nxyz") == ["a *** xyz"]
+    (tmp_path / "a.json").write_text(json.dumps({"meta": {"code": 403, "error": {"message": "нет доступа"}}}, ensure_ascii=False))
+    got = places.place_suppliers(places.read_places(spark, str(tmp_path)).withColumn("ord", F.lit(0)), "q", checked())
+    assert got.suppliers.count() == 0 and [(r["status"], r["note"]) for r in got.sources.collect()] == [("failed", "нет доступа")]
+
+
+def test_lists_tables_and_csv(spark, tmp_path):
+    runs = spark.createDataFrame([(f"r{k}", AT.replace(day=k + 1)) for k in range(25)], "run_id string, started_at timestamp")
+    rows = spark.createDataFrame([("r1", 2, "https://b.ru", "b.ru", "ok", "page"), ("r1", 1, "https://a.ru", "a.ru", "failed", "catalog"), ("r2", 0, "https://c.ru", "c.ru", "ok", "page")], "run_id string, seq long, url string, domain string, status string, source_kind string")
+    for name, df in (("search_runs", runs), ("sources", rows)):
+        full_row = df.select(*[(F.col(c.split(" ")[0]) if c.split(" ")[0] in df.columns else F.lit(None)).cast(c.split(" ")[1]).alias(c.split(" ")[0]) for c in history.HISTORY[name].split(", ")])
+        full_row.write.parquet(str(tmp_path / name))
+    assert [r["run_id"] for r in history.list_runs(spark, str(tmp_path)).collect()] == [f"r{k}" for k in range(24, 4, -1)]
+    listed = history.list_sources(spark, str(tmp_path), "r1")
+    assert [r["url"] for r in listed.collect()] == ["https://a.ru", "https://b.ru"]
+    assert [(r["Статус"], r["Тип источника"], r["Компания"]) for r in results.sources_table(listed).collect()] == [("не загрузилось", "отраслевой каталог", "—"), ("загружено", "страница", "—")]
+    best = scoring.score(frame(spark, supplier(contract_products=["сырники"], website="https://example.ru", domain="example.ru")).withColumn("page_unavailable", F.lit(False)), REQUEST)
+    assert "ЕИС" in results.candidate_table(best).first()["Причина проверки"]
+    results.write_csv(best, str(tmp_path / "csv"))
+    assert spark.read.options(header=True, multiLine=True).csv(str(tmp_path / "csv")).count() == 1
+
+
+def test_page_streams(spark, tmp_path):
+    from quarrymark.streaming import pages as streams
+
+    kind = "url string, final_url string, http_status int, mime_type string, fetched_at timestamp, status string, html string, text string, error string"
+    row = lambda url, day, text: (url, url, 200, "text/html", AT.replace(day=day), "ok", text, text, None)
+    read = lambda folder: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / folder))
+    for k, rows in enumerate([[row("https://a.ru/?utm_source=x", 1, "old"), row("https://b.ru", 1, "b")], [row("https://a.ru", 2, "new")], [row("https://c.ru", 3, "c")]]):
+        spark.createDataFrame(rows, kind).withColumn("url", entities.C.normalize_url("url")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        streams.upsert_stream(read("in"), str(tmp_path / "cache"), str(tmp_path / "ck")).awaitTermination()
+        if k == 2:
+            kept = sorted(p.name for p in (tmp_path / "cache").iterdir() if p.is_dir())
+            assert kept == ["generation=1", "generation=2"]
+    cache = spark.read.parquet(str(tmp_path / "cache" / "generation=2"))
+    assert {r["url"]: r["cleaned_text"] for r in cache.collect()} == {"https://a.ru": "new", "https://b.ru": "b", "https://c.ru": "c"}
+    q = streams.fresh_pages(read("in")).writeStream.format("memory").queryName("fresh").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("fresh").groupBy("url").count().where("count > 1").isEmpty()
