@@ -367,9 +367,9 @@ def nations_of_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).intersect(rich)
 
 
-@query("SELECT p_partkey AS part FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
-def parts_never_returned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("part"))
+@query("SELECT p_partkey AS part FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49")
+def parts_not_returned_in_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 49").select(F.col("l_partkey").alias("part"))
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part")).subtract(returned)
 
 
