@@ -29,7 +29,7 @@ _counters: dict[str, PrefixCounter] = {}
 
 class PrefixCounter:
     #: Chunks remembered in each of two generations, and the longest that is; beginnings whose state is kept.
-    MOST_KNOWN, LONGEST, MOST_HEADS, HEAD = 250_000, 64, 100_000, 6
+    MOST_KNOWN, LONGEST, MOST_HEADS, HEAD = 750_000, 64, 300_000, 6
 
     def __init__(self, path: str):
         import sentencepiece
