@@ -3,8 +3,9 @@
 A byte-pair encoding is a chain of tokens in which each neighbouring pair is stable: encoded
 alone, the pair's text gives the same two tokens. So the encoding of a prefix ending at i is the
 encoding of a shorter prefix plus the one token that ends at i and is stable after the last token
-there, and the count at i is one more than the count there. The table of counts answers what any
-truncation or budget leaves without encoding again.
+there, and the count at i is one more than the count there. An automaton of the vocabulary tells
+which tokens end at i. The table of counts answers what any truncation or budget leaves without
+encoding again.
 
 No piece of the vocabulary holds a word mark after another character, nor a line feed, so chunks
 that begin at those are independent: their tables are computed once, remembered, and laid end to
@@ -28,8 +29,9 @@ _counters: dict[str, PrefixCounter] = {}
 
 
 class PrefixCounter:
-    #: Chunks remembered in each of two generations, and the longest that is; beginnings whose state is kept.
-    MOST_KNOWN, LONGEST, MOST_HEADS, HEAD = 750_000, 64, 300_000, 6
+    #: Chunks remembered in each of two generations, and the longest that is; beginnings whose state is kept;
+    #: remembered steps of the automaton, the others are followed anew.
+    MOST_KNOWN, LONGEST, MOST_HEADS, HEAD, MOST_STEPS = 750_000, 64, 300_000, 6, 500_000
 
     def __init__(self, path: str):
         import sentencepiece
@@ -39,19 +41,49 @@ class PrefixCounter:
         special = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)
         #: Piece -> score; a higher score merges first.
         self.pieces = {model.id_to_piece(i): model.get_score(i) for i in range(size) if not special(i)}
-        self.longest = max(map(len, self.pieces))
         inner = [p for p in self.pieces if "\n" in p or MARK in p.lstrip(MARK)]
         if inner:
             raise ValueError("the vocabulary has pieces across words")
-        #: Lengths of the pieces that end in a given character, shortest first.
-        ends: dict[str, set[int]] = {}
-        for p in self.pieces:
-            ends.setdefault(p[-1], set()).add(len(p))
-        self.lengths = {c: sorted(n, reverse=True) for c, n in ends.items()}
-        self.stable: dict[tuple[str, str], bool] = {}
+        self.names = list(self.pieces)
+        self._link()
+        #: (number of the piece before, or -1) * vocabulary + number of the piece -> whether the two are stable.
+        self.stable: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.heads: dict[str, tuple[list[int], list[str | None]]] = {}
+        self.heads: dict[str, tuple[list[int], list[int], int]] = {}
+
+    def _link(self) -> None:
+        """An Aho-Corasick automaton of the pieces: steps by state and character, and what ends in each state."""
+        step: dict[int, int] = {}
+        origin = [(0, 0)]
+        own: dict[int, int] = {}
+        for number, piece in enumerate(self.names):
+            state = 0
+            for c in map(ord, piece):
+                key = state << 21 | c
+                if key not in step:
+                    step[key] = len(origin)
+                    origin.append((state, c))
+                state = step[key]
+            own[state] = number
+        depth = [0] * len(origin)
+        for state, (parent, _) in enumerate(origin[1:], 1):
+            depth[state] = depth[parent] + 1
+        self.step, self.fails = step, [0] * len(origin)
+        #: Length and number of each piece that ends in a state, the longest first.
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(origin)
+        for state in sorted(range(1, len(origin)), key=depth.__getitem__):
+            parent, c = origin[state]
+            back = self._follow(self.fails[parent], c) if parent else 0
+            self.fails[state] = back
+            self.ends[state] = ((depth[state], own[state]), *self.ends[back]) if state in own else self.ends[back]
+
+    def _follow(self, state: int, c: int) -> int:
+        while (found := self.step.get(state << 21 | c)) is None:
+            if not state:
+                return 0
+            state = self.fails[state]
+        return found
 
     def merged(self, text: str) -> list[str]:
         """Plain byte-pair merging of a short text: the best-scored neighbours first, the leftmost of equals."""
@@ -67,13 +99,11 @@ class PrefixCounter:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _is_stable(self, a: str, b: str) -> bool:
-        key = (a, b)
-        found = self.stable.get(key)
-        if found is None:
-            if len(self.stable) >= 1_000_000:
-                self.stable.clear()
-            found = self.stable[key] = self.merged(a + b) == [a, b]
+    def _is_stable(self, before: int, token: int) -> bool:
+        if len(self.stable) >= 1_000_000:
+            self.stable.clear()
+        pair = [self.names[k] for k in (before, token) if k >= 0]
+        found = self.stable[before * len(self.names) + token] = self.merged("".join(pair)) == pair
         return found
 
     def table(self, chunk: str) -> list[int]:
@@ -83,64 +113,57 @@ class PrefixCounter:
         if state is None:
             if len(self.heads) >= self.MOST_HEADS:
                 self.heads.clear()
-            state = self.heads[head] = self._extend(head, 0, [0], [None])
+            state = self.heads[head] = self._extend(head, [0], [-1], 0)
         if len(chunk) == len(head):
             return state[0][1:]
-        return self._extend(chunk, len(head), state[0][:], state[1][:])[0][1:]
-
-    def _extend(self, chunk: str, done: int, counts: list[int], last: list[str | None]) -> tuple[list[int], list[str | None]]:
-        """Carries counts and last tokens of the first ``done`` characters on to the end."""
-        pieces, stable = self.pieces, self.stable
-        for i in range(done + 1, len(chunk) + 1):
-            c = chunk[i - 1]
-            for n in self.lengths.get(c, ()):
-                if n > i:
-                    continue
-                token = chunk[i - n : i]
-                if token not in pieces:
-                    continue
+        return self._extend(chunk, state[0][:], state[1][:], state[2])[0][1:]
+
+    def _extend(self, chunk: str, counts: list[int], last: list[int], state: int) -> tuple[list[int], list[int], int]:
+        """Carries counts, numbers of last tokens and the automaton's state on to the end of the chunk."""
+        step, ends, stable, size = self.step, self.ends, self.stable, len(self.names)
+        i = len(last)
+        for c in chunk[i - 1 :]:
+            key = state << 21 | ord(c)
+            found = step.get(key)
+            if found is None:
+                found = self._follow(state, ord(c))
+                if len(step) < self.MOST_STEPS:
+                    step[key] = found
+            state = found
+            for n, token in ends[state]:
                 before = last[i - n]
-                if before is None:
-                    ok = self._is_single(token)
-                else:
-                    ok = stable.get((before, token))
-                    if ok is None:
-                        ok = self._is_stable(before, token)
+                ok = stable.get(before * size + token)
+                if ok is None:
+                    ok = self._is_stable(before, token)
                 if ok:
                     counts.append(counts[i - n] + 1)
                     last.append(token)
                     break
             else:
                 counts.append(counts[i - 1] + len(c.encode()))
-                last.append(None)
-        return counts, last
-
-    def _is_single(self, token: str) -> bool:
-        if len(token) == 1:
-            return True
-        found = self.stable.get((token, ""))
-        if found is None:
-            found = self.stable[(token, "")] = len(self.merged(token)) == 1
-        return found
+                last.append(-1)
+            i += 1
+        return counts, last, state
+
+    def _chunk(self, chunk: str) -> bytes:
+        """The table of a chunk not among the known ones, which it joins."""
+        data = self.older.get(chunk) or array("i", self.table(chunk)).tobytes()
+        if len(chunk) <= self.LONGEST:
+            if len(self.known) >= self.MOST_KNOWN:
+                self.older, self.known = self.known, {}
+            self.known[chunk] = data
+        return data
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """counts[i]: tokens of the first i characters; counts[-1]: of the whole text."""
         if not text:
             return np.zeros(1, np.int64)
-        found, totals, sizes = [], [], []
-        known = self.known
-        for chunk in _CHUNKS.findall(MARK + text.replace(" ", MARK)):
-            data = known.get(chunk)
-            if data is None:
-                data = self.older.get(chunk) or array("i", self.table(chunk)).tobytes()
-                if len(chunk) <= self.LONGEST:
-                    if len(known) >= self.MOST_KNOWN:
-                        self.older, self.known = known, {}
-                        known = self.known
-                    known[chunk] = data
-            found.append(data)
+        chunks = _CHUNKS.findall(MARK + text.replace(" ", MARK))
+        found = list(map(self.known.get, chunks))
+        if not all(found):
+            found = [self.known.get(c) or self._chunk(c) if d is None else d for c, d in zip(chunks, found, strict=True)]
         inside = np.frombuffer(b"".join(found), np.int32)
-        sizes = np.array([len(d) for d in found]) >> 2
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         ends = np.cumsum(sizes)
         totals = inside[ends - 1].astype(np.int64)
         counts = inside + np.repeat(np.cumsum(totals) - totals, sizes)
