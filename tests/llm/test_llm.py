@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -296,6 +297,21 @@ def test_prefix_counts_equal_library(docs, empty):
     assert token_counts.prefix_tables(docs.where("doc_id = 5"), path).first()["prefix_counts"][-1] == len(model.encode("few words here"))
 
 
+def test_prefix_counts_equal_library_with_little_memory():
+    import sentencepiece
+
+    path = tokenizer_path(PIECE_TOKENIZER)
+    model, own = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.PrefixCounter(path)
+    own.MOST_KNOWN = own.MOST_HEADS = 3
+    own.MOST_STEPS = 0
+    rng = random.Random(11)
+    words = "the of ing unbelievable 中文字 Привет über 12345 😀 é́ http://x.y/z?a=b <s> ▁ \x00 \u200b \u00a0 xxxxxxxxxxxx".split(" ")
+    for _ in range(300):
+        t = "".join(rng.choice(words) + rng.choice(["", " ", "  ", "\n", "...", "!!!"]) for _ in range(rng.randrange(12)))
+        counts, cut = own.prefix_counts(t), rng.randrange(len(t) + 1)
+        assert (counts[-1], counts[cut]) == (len(model.encode(t)), len(model.encode(t[:cut])))
+
+
 def rendering(turns):
     return "".join(f"<|{r}|>\n{t}\n<|end|>\n" for r, t in turns)
 
