@@ -80,6 +80,24 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread, most_rows: int = 500_000, hot: int = 10_000) -> DataFrame:
+    """Left join of rows with a written table of groups (one per key, never null; ``size`` counts its rows),
+    without a task for a hot key. Up to ``most_rows`` groups are broadcast. Beyond, those with at least a
+    ``hot``-th of all grouped rows, of which there are ``hot`` at most, are broadcast, and a shuffle joins
+    the rest, where the rows already served are dealt by ``spread`` instead of their key."""
+    if groups.limit(most_rows + 1).count() <= most_rows:
+        return rows.join(F.broadcast(groups), key, "left")
+    total = groups.agg(F.sum(size)).first()[0]
+    values = [c for c in groups.columns if c != key]
+    large = groups.where(F.col(size) * hot >= total).select(key, *(F.col(c).alias(f"__large_{c}") for c in values))
+    small = groups.where(F.col(size) * hot < total).select(F.col(key).alias("__key"), F.lit(0).alias("__at"), *values)
+    served = F.col(f"__large_{size}").isNotNull()
+    dealt = rows.join(F.broadcast(large), key, "left").withColumn("__spread", F.when(served, 1 + F.pmod(F.xxhash64(spread), F.lit(100_000))).otherwise(F.lit(0)))
+    # the spread comes with the key into the shuffle, so that a served key's rows lie in many tasks
+    joined = dealt.join(small, (F.col(key) == F.col("__key")) & (F.col("__spread") == F.col("__at")), "left")
+    return joined.select(*rows.columns, *(F.coalesce(F.col(f"__large_{c}"), F.col(c)).alias(c) for c in values))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with underscores behind it as long as a column has it."""
     taken = {c.lower() for c in df.columns}
