@@ -25,6 +25,8 @@ PLACES = (
     "contact_groups:array<struct<contacts:array<struct<type:string,value:string,text:string>>>>>>>"
 )
 WEB_RESULTS = "web struct<results:array<struct<url:string,title:string,description:string>>>"
+#: A row of a landing: the request that brought it, its number and date, the payload as it came.
+LANDED = "region string, category string, number string, signed timestamp, payload string"
 HISTORY = {
     "search_runs": "run_id string, started_at timestamp, finished_at timestamp, status string, request string, stats string, warnings string, suppliers_found int, candidates_found int",
     "suppliers": "run_id string, supplier_id string, name string, score double, excluded boolean, verification_status string, payload string",

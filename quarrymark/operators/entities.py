@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..scratch import Scratch
 
 SCALARS = ("legal_name", "inn", "address", "minimum_order", "minimum_order_kg", "price", "delivery", "phone", "phone_raw", "email", "website", "domain")
 LISTS = ("product_categories", "matched_products", "contract_products", "regions", "certificates", "discovery_queries", "source_urls")
@@ -108,13 +107,8 @@ def fuzzy_edges(suppliers: DataFrame) -> DataFrame:
 
 
 def materialise(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Cuts plan and lineage: a table in the shared folder if one is named, which survives lost executors; else (local sessions) a cached plan."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        path = f"{named.rstrip('/')}/entities-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    return df.persist()
+    """Cuts plan and lineage by a table in the shared folder, which survives lost executors."""
+    return Scratch(spark, "entities").write(df, "table")
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

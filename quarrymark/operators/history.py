@@ -1,14 +1,25 @@
-"""Run history and the page cache as Parquet tables partitioned by run, with the cache's upsert and expiry rules."""
+"""Run history as Parquet tables, saved whole or not at all, with the page cache's upsert and expiry rules.
+
+A save writes each table below an attempt of its own and commits all of them with one manifest, which
+names the attempt of every (table, run). Readers take the attempt named last, so a save that died between its
+tables, or is still writing, shows the former run. Saving a run again replaces the given tables' rows.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.schemas import HISTORY
+from ..manifest import Manifests
+from ..scratch import delete, file_system
 from .pages import first_wins
 
+_COMMIT = "entries array<struct<table:string,run_id:string,attempt:string>>, seq long"
+
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """The columns of a history table in order; missing ones are added as null, so older files stay readable."""
@@ -18,15 +29,63 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 
 def save_run(root: str, tables: dict[str, DataFrame]) -> None:
-    """Replaces the run's partition of every given table, so saving a run again leaves no old evidence."""
+    """Replaces the rows of the runs in every given table, all of them at once; saving a run again leaves no old evidence."""
+    if "page_cache" in tables:
+        raise ValueError("the page cache is not part of a run")
+    attempt, runs, spark = uuid.uuid4().hex, {}, None
     for name, df in tables.items():
-        if name == "page_cache":
-            raise ValueError("the page cache is not part of a run")
-        conform(df, name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{root}/{name}")
+        spark = df.sparkSession
+        conform(df, name).write.partitionBy("run_id").parquet(f"{root}/saved/{name}/attempt={attempt}")
+        runs[name] = _runs_of(spark, f"{root}/saved/{name}/attempt={attempt}", name)
+    everyone = sorted(set().union(*runs.values()))
+    # a table without rows of a run loses its former ones too
+    entries = [{"table": name, "run_id": run, "attempt": attempt} for name in tables for run in everyone]
+    if entries:
+        log = Manifests(spark, f"{root}/_commits")
+        log.change(lambda last: {"entries": entries, "seq": last.get("seq", 0) + 1})
+
+
+def _runs_of(spark: SparkSession, path: str, table: str) -> set[str]:
+    """The runs that a save wrote, from its folders' names: one per run, never per row."""
+    rows = spark.read.schema(HISTORY[table]).parquet(path).select("run_id").distinct()
+    return {r[0] for r in rows.collect() if r[0] is not None}
+
+
+def _commits(spark: SparkSession, root: str) -> DataFrame:
+    """(table, run_id, attempt) as committed last."""
+    path, files = file_system(spark, f"{root}/_commits")
+    if not files.exists(path):
+        return spark.createDataFrame([], "table string, run_id string, attempt string")
+    rows = spark.read.schema(_COMMIT).json(f"{root}/_commits").select("seq", F.inline("entries"))
+    return rows.groupBy("table", "run_id").agg(F.max_by("attempt", "seq").alias("attempt"))
 
 
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.schema(HISTORY[table]).parquet(f"{root}/{table}")
+    """The rows of the committed runs, and those of runs never committed that tables of the former layout hold."""
+    found = spark.createDataFrame([], HISTORY[table])
+    columns, live = found.columns, _commits(spark, root).where(F.col("table") == table).select("run_id", "attempt")
+    for folder in (f"{root}/saved/{table}", f"{root}/{table}"):
+        path, files = file_system(spark, folder)
+        if not files.exists(path):
+            continue
+        saved = folder.startswith(f"{root}/saved/")
+        rows = spark.read.schema(HISTORY[table] + (", attempt string" if saved else "")).parquet(folder)
+        shown = rows.join(live, ["run_id", "attempt"], "left_semi") if saved else rows.join(live, "run_id", "left_anti")
+        found = found.unionByName(shown.select(*columns))
+    return found
+
+
+def vacuum(spark: SparkSession, root: str) -> int:
+    """Removes attempts that no run shows any more; returns their number. Not beside running saves."""
+    live = {(r["table"], r["attempt"]) for r in _commits(spark, root).select("table", "attempt").distinct().collect()}
+    gone = 0
+    for table in (t for t in HISTORY if t != "page_cache"):
+        path, files = file_system(spark, f"{root}/saved/{table}")
+        for name in [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []:
+            if name.startswith("attempt=") and (table, name.partition("=")[2]) not in live:
+                delete(spark, f"{root}/saved/{table}/{name}")
+                gone += 1
+    return gone
 
 
 def latest_runs(runs: DataFrame, limit: int = 20) -> DataFrame:

@@ -11,7 +11,8 @@ from ..functions.schemas import CONTRACTS, SUPPLIER
 from ..operators.entities import normalize_suppliers
 from ..operators.pages import first_wins
 from ..operators.scoring import Request
-from .provider import Result, conform
+from .landed import read_landed
+from .provider import Provider, Result, conform, contract_queries
 
 CARD = "https://zakupki.gov.ru/epz/contract/contractCard/common-info.html?reestrNumber="
 NONE = "cast(array() as array<string>)"
@@ -22,6 +23,20 @@ def read_contracts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CONTRACTS).option("multiLine", True).json(path).select("contracts", F.col("_metadata.file_path").alias("api_url")).withColumn("ord", F.col("api_url"))
 
 
+def landed_contracts(path: str, checked_at: Column, most: int = 50) -> Provider:
+    """A provider over a landing: reads the request's region and queries alone, the newest contracts of each."""
+
+    def provide(spark: SparkSession, request: Request) -> Result:
+        rows = read_landed(spark, path, most).where(F.col("category").isin(contract_queries(request)))
+        if request.region:
+            code = next((c for name, c in K.REGION_CODES.items() if name in request.region.lower()), None)
+            rows = rows.where(F.col("region") == code) if code else rows
+        parsed = rows.select(F.from_json("payload", CONTRACTS)["contracts"].alias("contracts"), F.lit(path).alias("api_url"), F.concat_ws("|", "category", "region", "number").alias("ord"))
+        return contract_suppliers(parsed, request, checked_at)
+
+    return provide
+
+
 def contract_url(raw: Column, number: Column) -> Column:
     upgraded = F.regexp_replace(raw, "^http://", "https://")
     return F.when(F.startswith(upgraded, F.lit("https://")), upgraded).otherwise(F.concat(F.lit(CARD), number))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import columns as C
-from ..operators import history
+from ..operators import history, page_log
 
 
 def fresh_pages(stream: DataFrame, ttl: str = "168 hours") -> DataFrame:
@@ -16,24 +16,11 @@ def fresh_pages(stream: DataFrame, ttl: str = "168 hours") -> DataFrame:
     return keyed.withWatermark("fetched_at", ttl).dropDuplicatesWithinWatermark(["url"])
 
 
-def upsert_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Feeds the page cache: every micro-batch is merged into a new generation of the table, swapped by name.
-
-    A repeated batch writes the same generation again. Of the earlier ones the last stays, for readers
-    that still hold it. A batch costs a pass over the cache: batches are to be as long as freshness allows.
-    """
+def upsert_stream(stream: DataFrame, path: str, checkpoint: str, buckets: int = page_log.BUCKETS) -> StreamingQuery:
+    """Feeds the page cache's log: a micro-batch costs its own rows in the buckets they touch. A repeated batch adds nothing."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = history.cache_entries(batch)
-        if epoch:
-            rows = history.upsert_cache(spark.read.schema(rows.schema).parquet(f"{path}/generation={epoch - 1}"), rows)
-        else:
-            rows = history.upsert_cache(rows.limit(0), rows)
-        rows.write.mode("overwrite").parquet(f"{path}/generation={epoch}")
-        if epoch > 1:
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation={epoch - 2}")
-            old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)
+        page_log.upsert(path, history.cache_entries(batch), buckets, source=checkpoint, epoch=epoch)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -50,3 +37,11 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     w = timed.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return w.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+
+
+def hits_with_pages(hits: DataFrame, pages: DataFrame, wait: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+    """Each hit (url, hit_at) of a stream with the pages (page_url, fetched_at) fetched within the wait; a hit without any
+    comes alone once the watermarks of both sides have passed its wait. State is kept as long as a match can come."""
+    left, right = hits.withWatermark("hit_at", late), pages.withWatermark("fetched_at", late)
+    soon = (F.col("fetched_at") >= F.col("hit_at")) & (F.col("fetched_at") <= F.col("hit_at") + F.expr(f"interval {wait}"))
+    return left.join(right, (F.col("url") == F.col("page_url")) & soon, "leftOuter")

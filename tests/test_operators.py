@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrymark.functions import constants as K
 from quarrymark.functions.schemas import HIT, SUPPLIER
-from quarrymark.operators import entities, extraction, history, links, pages, results, scoring
+from quarrymark.operators import entities, extraction, history, links, page_log, pages, results, scoring
 from quarrymark.plans import search
 from quarrymark.sources import contracts, places, provider, web
 
@@ -302,6 +302,10 @@ def test_whole_search(spark, tmp_path):
     assert history.read(spark, str(tmp_path), "evidence").count() == results.evidence_long(out.companies).count() > 0
     assert history.list_sources(spark, str(tmp_path), "run-1").count() == out.sources.count()
     assert {r["url"] for r in search.first_pages(frame(spark, supplier(website="https://b.ru")), hits(spark, ("https://a.ru/x", "A", None))).collect()} == {"https://a.ru/x", "https://b.ru"}
+    (tmp_path / "file").write_text("no folder")
+    assert not search.persist(out, REQUEST, str(tmp_path / "file"), "run-2", checked(), checked(), ("no folder",)) and out.warnings[0].startswith("history: ")
+    assert search.persist(out, REQUEST, str(tmp_path), "run-2", checked(), checked())
+    assert {(r["run_id"], r["status"]) for r in history.list_runs(spark, str(tmp_path)).collect()} == {("run-1", "partial"), ("run-2", "partial")}
     linked = page.withColumn("html", F.lit('<a href="/catalog">Каталог</a><a href="/p">опт</a><a href="/contact">Контакты</a><a href="/opt">Опт</a>'))
     assert {r["url"] for r in search.next_pages(linked).collect()} == {"https://romashka.ru/catalog", "https://romashka.ru/opt"}
     assert out.counters.first()["suppliers_found"] == 1
@@ -434,10 +438,7 @@ def test_page_streams(spark, tmp_path):
     for k, rows in enumerate([[row("https://a.ru/?utm_source=x", 1, "old"), row("https://b.ru", 1, "b")], [row("https://a.ru", 2, "new")], [row("https://c.ru", 3, "c")]]):
         spark.createDataFrame(rows, kind).withColumn("url", entities.C.normalize_url("url")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         streams.upsert_stream(read("in"), str(tmp_path / "cache"), str(tmp_path / "ck")).awaitTermination()
-        if k == 2:
-            kept = sorted(p.name for p in (tmp_path / "cache").iterdir() if p.is_dir())
-            assert kept == ["generation=1", "generation=2"]
-    cache = spark.read.parquet(str(tmp_path / "cache" / "generation=2"))
+    cache = page_log.read(spark, str(tmp_path / "cache"))
     assert {r["url"]: r["cleaned_text"] for r in cache.collect()} == {"https://a.ru": "new", "https://b.ru": "b", "https://c.ru": "c"}
     q = streams.fresh_pages(read("in")).writeStream.format("memory").queryName("fresh").trigger(availableNow=True).start()
     q.awaitTermination()
