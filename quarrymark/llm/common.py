@@ -1,80 +1,22 @@
-"""Shared parts of the training-data operators: scratch tables and byte-level hashing.
-
-Scratch tables are Parquet files below ``spark.checkpoint.dir``, the folder that the
-driver and all executors share, so a lost executor never takes a stage's result with it.
-"""
+"""Shared parts of the training-data operators: joins with groups, words and byte-level hashing."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, clean_scratch, shared_folder
+
+__all__ = ["Scratch", "clean_scratch", "shared_folder"]
+
 #: The word separators of every contract: space and the ASCII controls 09 to 0D.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 SEPARATOR_CHARS = " \t\n\x0b\x0c\r"
 
-_own_folder: str | None = None
-_bases: set[str] = set()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where none is set and the master is local."""
-    global _own_folder
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if _own_folder is None:
-        holder = tempfile.TemporaryDirectory(prefix="quarrymark-")
-        atexit.register(holder.cleanup)
-        _own_folder = holder.name
-    return f"file://{_own_folder}"
-
-
-def _delete(spark: SparkSession, name: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def clean_scratch(spark: SparkSession) -> None:
-    """Removes all scratch tables of this driver's operators; for when their results have been read."""
-    while _bases:
-        _delete(spark, _bases.pop())
-
-
-class Scratch:
-    """Tables written for one run of one operator; ``drop`` removes those no longer needed.
-
-    What a lazy result still reads stays until ``clean_scratch``.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        _bases.add(self.base)
-
-    def write(self, df: DataFrame, name: str, share: int = 1, **options: str) -> DataFrame:
-        """Writes and rereads a table. One whose rows are small beside the operator's input (ids, links)
-        is written by a ``share``-th of the shuffle's tasks, so that it isn't thousands of tiny files."""
-        path = f"{self.base}/{name}"
-        if share > 1:
-            df = df.coalesce(max(4, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // share))
-        df.write.mode("overwrite").options(**options).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            _delete(self.spark, f"{self.base}/{name}")
-
-
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     """Hint a broadcast only after counting: beyond ``most_rows`` the join shuffles instead."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
