@@ -3,8 +3,9 @@
 ``encode_wav`` stores a payload losslessly as 8-bit mono PCM in a RIFF/WAVE file (a binary
 column); ``fingerprints`` reads the stored bytes back with the ``wave`` module, takes a
 short-time Fourier transform, keeps the strongest peaks of each frame and pairs each anchor peak
-with the next ones in a target zone. The pairs are returned as time-coded arrays: frame times and
-packed (frequency, frequency, gap) codes. Frames overlap by half, so that no sample stands only
+with one in each of three frames of the target zone behind it, the one nearest in frequency (of two
+as near the lower). The pairs are returned as time-coded arrays: frame times and packed (frequency,
+frequency, gap) codes. Frames overlap by half, so that no sample stands only
 where windows are near zero, and an excerpt shares codes with the whole.
 
 Defined results: a null text counts as empty; the payload of an empty text is 64 zero bytes;
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import slices
 
 RATE, UNIT = 8000, 64
-FRAME, HOP, PEAKS, FAN_OUT, ZONE = 256, 128, 3, 3, 8
+FRAME, HOP, PEAKS = 256, 128, 3
+#: Frames of the target zone in which an anchor finds a partner.
+GAPS = (1, 3, 8)
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 _FRAMES_AT_ONCE = 2048
 
@@ -77,17 +80,20 @@ def peaks(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pair_codes(times: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor times and codes of each peak paired with the following ones within the zone."""
-    found_t, found_c = [], []
-    for step in range(1, FAN_OUT + 1):
-        if len(times) <= step:
-            break
-        gap = times[step:] - times[:-step]
-        near = gap <= ZONE
-        found_t.append(times[:-step][near])
-        found_c.append((bins[:-step][near] << 16) | (bins[step:][near] << 8) | gap[near])
-    if not found_t:
+    """Anchor times and codes of each peak paired with the nearest one in the zone's frames; peaks come by time and bin."""
+    if not len(times):
         return np.empty(0, np.int32), np.empty(0, np.int32)
+    frames = int(times[-1]) + 1
+    place = np.arange(len(times)) - np.searchsorted(times, times)
+    held = np.full((frames + GAPS[-1], PEAKS), 1 << 20, np.int64)  # by frame: its peaks, then bins out of reach
+    held[times, place] = bins
+    found_t, found_c = [], []
+    for gap in GAPS:
+        others = held[times + gap]
+        nearest = np.take_along_axis(others, np.abs(others - bins[:, None]).argmin(axis=1)[:, None], axis=1)[:, 0]
+        there = nearest < 1 << 20
+        found_t.append(times[there])
+        found_c.append((bins[there] << 16) | (nearest[there] << 8) | gap)
     t, c = np.concatenate(found_t), np.concatenate(found_c)
     order = np.lexsort((c, t))
     return t[order].astype(np.int32), c[order].astype(np.int32)

@@ -42,8 +42,8 @@ HASHES = TREES * DEPTH
 AGREE_SHARE, DEVIATIONS = 0.5, 4.3
 #: Shingle sets of a cell or block, in bytes; a longer set is a block of its own.
 CELL_BYTES = 2 << 20
-#: Tables of ids or links, and of signatures, beside whole texts.
-NARROW, WIDE = 16, 4
+#: Tables of ids or links are dealt to this share of the shuffle's tasks.
+NARROW = 16
 
 _rng = np.random.Generator(np.random.PCG64(77001))
 _XOR = _rng.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32)
@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, small_ro
     least = _least_agree(percent / 100)
     signed = scratch.write(signatures(docs, width), "signed")
     classes = signed.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles"), F.min("labels").alias("labels"), F.min("sketch").alias("sketch"))
-    reps = scratch.write(classes, "reps", WIDE)
+    reps = scratch.write(classes, "reps")
     order = forest(reps).repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id")
     # what is read only while this function runs is kept on the executors' disks and computed again where one is lost
     near = order.mapInArrow(_neighbours(least), "a long, b long, agree int, tree int, prefix binary").persist(StorageLevel.DISK_ONLY)
@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, small_ro
     def need(ids: DataFrame, name: str) -> DataFrame:
         ids = scratch.write(ids.distinct(), f"{name}-ids", NARROW)
         found = sets_of(docs.select(F.col("doc_id").cast("long"), "text").join(broadcast_if_small(ids, small_rows), "doc_id", "left_semi"), width)
-        return scratch.write(found, name, WIDE)
+        return scratch.write(found, name)
 
     def link(found: DataFrame, name: str) -> DataFrame:
         # dealt anew, so that the comparing tasks don't each write a file of a few links

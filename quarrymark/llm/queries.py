@@ -13,8 +13,6 @@ from .common import Scratch
 
 WORD_TOKENIZER, PIECE_TOKENIZER = "word_bpe_49k.json", "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
-#: Media tables are written in fewer, larger files than the shuffle has partitions.
-MEDIA_SHARE = 2
 
 
 def tokenizer_path(name: str) -> str:
@@ -34,7 +32,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "media")
-    stored = scratch.write(media.encode_wav(_table(spark, sf_dir, "documents")), "wav", MEDIA_SHARE)
+    stored = scratch.write(media.encode_wav(_table(spark, sf_dir, "documents")), "wav")
     return media.digest(media.fingerprints(stored))
 
 
@@ -170,9 +168,11 @@ ORACLES: dict[str, str] = {
  c AS (SELECT a, min(b) AS low FROM r GROUP BY a)
  SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, least(doc_id, coalesce(low, doc_id)) = doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = doc_id""",
     "op6_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS} FROM documents), b AS (SELECT item_id, {_WORDS} FROM benchmark),
- ds AS (SELECT DISTINCT doc_id, {_SHINGLES} AS g FROM d WHERE len(w) >= 5), bs AS (SELECT DISTINCT item_id, {_SHINGLES} AS g FROM b WHERE len(w) >= 5),
+ i AS (SELECT item_id, least(len(w), 5) AS width, w FROM b WHERE len(w) > 0), k AS (SELECT DISTINCT width FROM i),
+ ds AS (SELECT DISTINCT doc_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda x: array_to_string(w[x:x + width - 1], ' '))) AS g FROM d, k WHERE len(w) >= width),
+ bs AS (SELECT DISTINCT item_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda x: array_to_string(w[x:x + width - 1], ' '))) AS g FROM i),
  n AS (SELECT item_id, count(*) AS item_shingles FROM bs GROUP BY item_id)
- SELECT doc_id, item_id, item_shingles, count(*) AS shared_shingles FROM ds JOIN bs USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, item_shingles HAVING count(*) >= 0.8 * item_shingles""",
+ SELECT doc_id, item_id, item_shingles, count(*) AS shared_shingles FROM ds JOIN bs USING (width, g) JOIN n USING (item_id) GROUP BY doc_id, item_id, item_shingles HAVING count(*) >= 0.8 * item_shingles""",
     "op11_warc": """WITH h AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS x FROM pages),
  t AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top, count(*) OVER (PARTITION BY html) AS n FROM h)
  SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
