@@ -1,9 +1,12 @@
 """Toxicity behind disguised spelling: restore the text, then score it.
 
 Restoring is noisy-channel decoding. Words that mix letters with look-alike signs or separators,
-double letters, or are spelled out one letter at a time (from three on) span a lattice of possible
-characters (itself, letters it may stand for, nothing); Viterbi finds the likeliest path under a
-character trigram model counted over the whole corpus. The score is a logistic function of which
+double letters, or are spelled out one letter at a time (from three on, signs behind them or not) span a
+lattice of possible characters (itself, letters it may stand for, nothing); Viterbi finds the likeliest
+path under a character trigram model counted over the whole corpus. Letters with marks, of full width or of
+scripts that look like Latin are also read as the Latin ones, characters without width as none. White
+space inside a word is a character that may stand for nothing, too: of all joins of neighbouring
+words, one of three letters or fewer among them, those are read that spell a word the model weighs. The score is a logistic function of which
 word and word-beginning features the restored text has, the raw text and its parts between inner
 punctuation included. Runs of more than ``LONGEST`` characters are read in overlapping pieces, and
 scripts without spaces at every position, so that each character of a text can change its score;
@@ -22,10 +25,13 @@ the name ``into`` is replaced, other columns pass unchanged.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -37,7 +43,9 @@ from .quality import Remembered
 
 #: Signs and the letters they may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
-SEPARATORS = ".-_*~^'`,"
+SEPARATORS = ".-_*~^'`,/"
+#: Cyrillic and Greek letters and the Latin ones they look like.
+SCRIPTS = str.maketrans("авекмнорстухіјѕԁһԛԝαβεικνορτυχ", "abekmhopctyxijsdhqwabeikvoptux")
 SWAP_COST, REPEAT_COST, DROP_COST, KEEP_COST, CUT_COST = 1.0, 0.7, 0.7, 4.0, 1.5
 LONGEST = 40
 CLASSES = 32
@@ -46,13 +54,17 @@ _CODE[[9, 10, 11, 12, 13, 32]] = 0
 _CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
 _CODE[128:] = 27
 _CODE[48:58] = 28
-_MIXED = re.compile(r"[^\W\d_][0-9@$!|+(€.\-_*~^'`,]+[^\W\d_]|^[0-9@$!|+(€]+[^\W\d_]|[^\W\d_][0-9@$|+(€]+$|([^\W\d_])\1", re.I)
+_MIXED = re.compile(r"[^\W\d_][0-9@$!|+(€.\-_*~^'`,/]+[^\W\d_]|^[0-9@$!|+(€]+[^\W\d_]|[^\W\d_][0-9@$|+(€]+$|([^\W\d_])\1", re.I)
 _BEFORE, _BEHIND = "\"'[{<", ".,;:?!\"')]}>"
 _CORE = re.compile(r"[^\W\d_](?:.*[^\W\d_])?", re.S)
 _INNER = re.compile(r"[!-/:-@\[-`{-~\u2010-\u205e\u3000-\u3003\u3008-\u3011\uff01-\uff0f\uff1a-\uff20]+")
 _UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 _DOUBLED = re.compile(r"([^\W\d_])\1+", re.I)
-_STRETCHED, _PARTED = re.compile(r"(.)\1{2,}", re.I | re.S), re.compile(r"[.\-_*~^'`,]{2,}")
+_STRETCHED, _PARTED = re.compile(r"(.)\1{2,}", re.I | re.S), re.compile(r"[.\-_*~^'`,/]{2,}")
+_UNSEEN = re.compile("[\u00ad\u034f\u200b-\u200f\u2060-\u2064\ufe00-\ufe0f\ufeff]")
+#: Three single letters with signs behind them.
+_DOTTED = re.compile(r"(?<!\S)[^\W_][.,*_/;:~-]\s+[^\W_][.,*_/;:~-]\s+[^\W_](?:[.,*_/;:~!?-]|(?!\S))")
+SHORT_PART, SHORTEST_WORD = 3, 4
 
 
 def char_code(c: str) -> int:
@@ -167,13 +179,54 @@ def pieces(run: str) -> list[str]:
     return [run[at : at + LONGEST] for at in range(0, max(1, len(run) - half), half)]
 
 
+def folded(word: str) -> str:
+    """The word in Latin letters without marks, as far as its characters look like some; without unseen characters."""
+    parts = unicodedata.normalize("NFKD", _UNSEEN.sub("", word)).lower().translate(SCRIPTS)
+    return "".join(c for c in parts if not unicodedata.combining(c))
+
+
 class Reader:
-    """The features of whole texts, raw and restored."""
+    """The features of whole texts, raw and restored; ``known`` are the words looked for across white space."""
 
-    def __init__(self, chars: CharModel):
+    def __init__(self, chars: CharModel, known: tuple[str, ...] = ()):
         self.chars = chars
+        self.known = None
+        if known:
+            self.known = ahocorasick.Automaton()
+            for word in known:
+                self.known.add_word(word, len(word))
+            self.known.make_automaton()
+
+    def text(self, text: str | None, word_features) -> set[int]:
+        """The features of a whole text; ``word_features`` gives a word's (``word``, or what is remembered of it)."""
+        words = (text or "").split()
+        found = set(self.spelled(words, text or "")).union(self.spaced(words))
+        return found.union(*filter(None, map(word_features, set(words))))
+
+    def spaced(self, words: list[str]) -> list[int]:
+        """Features of the known words that neighbouring words spell together, one of them short."""
+        if self.known is None or len(words) < 2:
+            return []
+        joined = "".join(words).lower()
+        ends: dict[int, int] | None = None
+        found: list[int] = []
+        for last, size in self.known.iter(joined):
+            if ends is None:  # matches are rare: places of words only where there is one
+                lengths = list(map(len, words)) if len(joined) == sum(map(len, words)) else [len(w.lower()) for w in words]
+                ends = {at: k for k, at in enumerate(accumulate(lengths, initial=0))}
+            first, behind = ends.get(last + 1 - size), ends.get(last + 1)
+            if first is not None and behind is not None and behind > first + 1 and min(map(len, words[first:behind])) <= SHORT_PART:
+                found += word_features(joined[last + 1 - size : last + 1])
+        return found
 
     def word(self, word: str) -> list[int]:
+        if not word.isascii():
+            plain = folded(word)
+            found = self._word(word)
+            return found + self._word(plain) if plain != word and plain.isascii() else found
+        return self._word(word)
+
+    def _word(self, word: str) -> list[int]:
         if word.isalpha() and word.isascii() and len(word) <= LONGEST and not _DOUBLED.search(word):
             return word_features(word)  # nothing to restore
         found = self.run(word)
@@ -206,9 +259,12 @@ class Reader:
             found += word_features(single)
         return found
 
-    def spelled(self, words: list[str]) -> list[int]:
-        """Features of runs of at least three single characters."""
+    def spelled(self, words: list[str], text: str = "") -> list[int]:
+        """Features of runs of at least three single characters, signs behind them or not."""
         sizes = list(map(len, words))
+        if _DOTTED.search(text):
+            words = [w[0] if len(w) == 2 and w[0].isalnum() and not w[1].isalnum() else w for w in words]
+            sizes = list(map(len, words))
         if sizes.count(1) < 3:
             return []
         singles = [n == 1 for n in sizes]
@@ -232,6 +288,8 @@ class ToxicityModel:
     chars: CharModel
     bias: float
     weights: dict[int, float] = field(default_factory=dict)
+    #: The plain words of the labelled documents whose whole-word feature is weighed, for joins across white space.
+    known: tuple[str, ...] = ()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = 10_000, most_features: int = 4096, usable: Column | None = None) -> ToxicityModel:
@@ -249,9 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int
         for batch in slices(batches):
             found = []
             for t in batch.column(0).to_pylist():
-                words = (t or "").split()
-                own = set(reader.spelled(words)).union(*map(features.__getitem__, words))
-                found.append(np.array(sorted(own), np.uint32).tobytes())
+                found.append(np.array(sorted(reader.text(t, features.__getitem__)), np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], names=["features", "label"])
 
     rows = texts.mapInArrow(run, "features binary, label int").toPandas()
@@ -274,7 +330,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int
     place[top] = np.arange(len(top))
     keep = place[inverse] >= 0
     weights, bias = _logistic(row_of[keep], place[inverse[keep]], y, len(top), bias)
-    return ToxicityModel(chars, bias, {int(ids[f]): float(w) for f, w in zip(top, weights, strict=True)})
+    learned = {int(ids[f]): float(w) for f, w in zip(top, weights, strict=True)}
+    return ToxicityModel(chars, bias, learned, known_words(texts, learned))
+
+
+def known_words(texts: DataFrame, weights: dict[int, float]) -> tuple[str, ...]:
+    """The lower-case words of the learned texts whose own feature, not one of their beginnings', adds to the score."""
+    good = frozenset(f for f, w in weights.items() if w > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in slices(batches):
+            words = {w.lower() for t in batch.column(0).to_pylist() for w in (t or "").split() if w.isascii() and w.isalpha() and len(w) >= SHORTEST_WORD} - seen
+            seen |= words
+            fit = sorted(w for w in words if word_features(w)[0] in good)
+            yield pa.RecordBatch.from_arrays([pa.array(fit, pa.string())], names=["word"])
+
+    return tuple(sorted(r["word"] for r in texts.select("text").mapInArrow(run, "word string").distinct().collect()))  # one or few per weight
 
 
 def _logistic(row_of: np.ndarray, columns: np.ndarray, y: np.ndarray, k: int, bias: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -295,17 +367,13 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", into: str =
 
     @F.pandas_udf("double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        reader, weights = Reader(model.chars), model.weights
+        reader, weights = Reader(model.chars, model.known), model.weights
         hits = Remembered(lambda w: frozenset(f for f in reader.word(w) if f in weights) or None, 500_000)
         for part in parts:
             out = np.zeros(len(part))
             for i, t in enumerate(part):
-                words = (t or "").split()
-                own = {f for f in reader.spelled(words) if f in weights}
-                for found in set(map(hits.__getitem__, words)):
-                    if found:
-                        own |= found
-                out[i] = model.bias + sum(weights[f] for f in sorted(own))
+                own = reader.text(t, hits.__getitem__)
+                out[i] = model.bias + sum(weights[f] for f in sorted(own) if f in weights)
             yield pd.Series(1 / (1 + np.exp(-np.clip(out, -40, 40))))
 
     return docs.withColumn(into, run(F.col(text)))
