@@ -30,7 +30,8 @@ def folder(spark, tmp_path_factory):
     labels = spark.createDataFrame([*((100 + k, k % 2, int(k % 4 == 0)) for k in range(80)), (11, 0, 0), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, " ".join(f"word{k}" for k in range(30, 36))), (2, " ".join(f"tail{k}" for k in range(400)))], "item_id long, text string")
     talks = spark.createDataFrame([(1, 0, "user", "Hi?"), (1, 1, "assistant", "Hello\nthere"), (1, 1, "assistant", "Hello\nthere"), (2, 0, None, None)], "conv_id long, turn long, role string, text string")
-    for name, df in (("documents", docs), ("labels", labels), ("benchmark", bench), ("conversations", talks)):
+    sites = spark.createDataFrame([(1, "http://a", "<p>a</p>"), (2, None, None)], "page_id long, url string, html string")
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", bench), ("conversations", talks), ("pages", sites)):
         df.write.parquet(f"{root}/{name}.parquet")
         df.limit(0).write.parquet(f"{root}/empty/{name}.parquet")
     return str(root)
