@@ -62,6 +62,9 @@ _UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u
 _DOUBLED = re.compile(r"([^\W\d_])\1+", re.I)
 _STRETCHED, _PARTED = re.compile(r"(.)\1{2,}", re.I | re.S), re.compile(r"[.\-_*~^'`,/]{2,}")
 _UNSEEN = re.compile("[\u00ad\u034f\u200b-\u200f\u2060-\u2064\ufe00-\ufe0f\ufeff]")
+#: Beyond ASCII and the marked letters of Latin scripts, and what those are without their marks.
+_OTHER = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
+_UNMARKED = {c: "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)) for c in range(0xC0, 0x250)}
 #: Three single letters with signs behind them.
 _DOTTED = re.compile(r"(?<!\S)[^\W_][.,*_/;:~-]\s+[^\W_][.,*_/;:~-]\s+[^\W_](?:[.,*_/;:~!?-]|(?!\S))")
 SHORT_PART, SHORTEST_WORD = 3, 4
@@ -220,14 +223,17 @@ class Reader:
         return found
 
     def word(self, word: str) -> list[int]:
-        if not word.isascii():
-            plain = folded(word)
-            found = self._word(word)
-            return found + self._word(plain) if plain != word and plain.isascii() else found
-        return self._word(word)
+        found = self._word(word)
+        if word.isascii():
+            return found
+        if not _OTHER.search(word):  # the letters of Latin scripts: marks are dropped, and there is nothing else to restore
+            return found + word_features(word.lower().translate(_UNMARKED))
+        plain = folded(word)
+        return found + self._word(plain) if plain != word and plain.isascii() else found
 
     def _word(self, word: str) -> list[int]:
-        if word.isalpha() and word.isascii() and len(word) <= LONGEST and not _DOUBLED.search(word):
+        bare = word.lstrip(_BEFORE).rstrip(_BEHIND)
+        if bare.isalpha() and len(word) <= LONGEST and not _DOUBLED.search(bare) and (bare.isascii() or not _UNSPACED.search(bare)):
             return word_features(word)  # nothing to restore
         found = self.run(word)
         parts = [p for p in _INNER.split(word) if p]
