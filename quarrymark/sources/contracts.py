@@ -65,8 +65,8 @@ def _evidence(field: str, value: Column, url: Column, confidence: float, quote:
     return F.when(C.blank_to_null(value).isNotNull(), F.struct(F.lit(field).alias("field_name"), value.alias("value"), url.alias("source_url"), q.alias("quote"), F.lit(confidence).alias("confidence")))
 
 
-def contract_suppliers(payloads: DataFrame, request: Request, checked_at: Column, max_suppliers: int = 12) -> Result:
-    """Contract parties with the products they delivered: first contract per number, first record per company, then the cut."""
+def contract_suppliers(payloads: DataFrame, request: Request, checked_at: Column, max_suppliers: int | None = 12) -> Result:
+    """Contract parties with the products they delivered: first contract per number, first record per company, then the cut; None keeps all."""
     contracts = payloads.select("api_url", "ord", F.posexplode("contracts.data").alias("pos", "c"))
     number = F.coalesce(C.blank_to_null(F.col("c.regNum")), C.blank_to_null(F.col("c.number")))
     contracts = first_wins(contracts.withColumn("number", number).where("number is not null"), ["number"], ["ord", "pos"])
@@ -74,7 +74,8 @@ def contract_suppliers(payloads: DataFrame, request: Request, checked_at: Column
     rows = contracts.select("*", F.posexplode("c.suppliers").alias("spos", "s")).withColumn("name", C.blank_to_null(C.strip("s.organizationName"))).where("name is not null")
     inn = C.blank_to_null(C.strip("s.inn"))
     rows = first_wins(rows.withColumns({"inn": inn, "_key": F.concat_ws("|", F.coalesce(inn, F.lit("")), F.lower("name"))}), ["_key"], ["ord", "pos", "spos"])
-    rows = rows.orderBy("ord", "pos", "spos").limit(max_suppliers)
+    if max_suppliers is not None:
+        rows = rows.orderBy("ord", "pos", "spos").limit(max_suppliers)
     phone = F.coalesce(C.blank_to_null(C.strip("s.contactInfo.phone")), C.blank_to_null(C.strip("s.contactInfo.phoneNumber")))
     email = C.normalize_email("s.contactInfo.email")
     address = F.coalesce(C.blank_to_null(C.strip("s.factualAddress")), C.blank_to_null(C.strip("s.postalAddress")))

@@ -58,10 +58,12 @@ def unpivot_evidence(url: Column, single: dict[str, Column], lists: dict[str, Co
     return F.concat(ones[0], *many, *ones[1:])
 
 
-def place_suppliers(payloads: DataFrame, query: str, checked_at: Column, most: int = 30) -> Result:
-    """Suppliers and lineage from answers (meta, result, ord): the first card per id, cards without a name skipped; failed answers are lineage alone."""
+def place_suppliers(payloads: DataFrame, query: str, checked_at: Column, most: int | None = 30) -> Result:
+    """Suppliers and lineage from answers (meta, result, ord): the first card per id, cards without a name skipped, ``most`` at most (None keeps all); failed answers are lineage alone."""
     items = payloads.select("ord", F.posexplode("result.items").alias("pos", "i")).where("i.id is not null")
-    rows = first_wins(items.withColumn("_id", F.col("i.id")), ["_id"], ["ord", "pos"]).orderBy("ord", "pos").limit(most)
+    rows = first_wins(items.withColumn("_id", F.col("i.id")), ["_id"], ["ord", "pos"])
+    if most is not None:
+        rows = rows.orderBy("ord", "pos").limit(most)
     found = contacts(F.col("i.contact_groups"))
     rows = rows.withColumns({"name": F.coalesce(C.blank_to_null(C.strip("i.name")), C.blank_to_null(C.strip("i.full_name"))), "url": C.absolute_place_url("i.link", "i.id"), "website": first_contact(found, "website"), "phone": first_contact(found, "phone"), "email": first_contact(found, "email"), "categories": names(F.col("i.rubrics")), "regions": names(F.col("i.adm_div")), "address": C.blank_to_null(C.strip("i.address_name"))}).where("name is not null")
     evidence = unpivot_evidence(F.col("url"), {"name": F.col("name"), "address": F.col("address"), "phone": F.col("phone"), "email": F.col("email"), "website": F.col("website")}, {"product_categories": F.col("categories"), "regions": F.col("regions")})
