@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrymark.functions import constants as K
-from quarrymark.functions.schemas import HIT, SUPPLIER
+from quarrymark.functions.schemas import CONTRACTS, HIT, PLACES, SUPPLIER
 from quarrymark.operators import entities, extraction, history, links, page_log, pages, results, scoring
 from quarrymark.plans import search
 from quarrymark.sources import contracts, places, provider, web
@@ -206,6 +206,16 @@ def test_contracts(spark, tmp_path):
     assert got.sources.first()["url"] == "https://z.ru/1" and contracts.contract_stats(contracts.read_contracts(spark, str(tmp_path))).first()["newest"] == "2026-01-02"
 
 
+def test_limits_of_contracts_and_places_can_be_lifted(spark):
+    data = [{"regNum": str(n), "products": [{"name": "Сырники"}], "suppliers": [{"organizationName": f"ООО {n}"}]} for n in range(20)]
+    landed = spark.createDataFrame([(json.dumps({"contracts": {"data": data}}),)], "payload string").select(F.from_json("payload", CONTRACTS)["contracts"].alias("contracts"), F.lit("u").alias("api_url"), F.lit(0).alias("ord"))
+    many = lambda *most: contracts.contract_suppliers(landed, scoring.Request("сырники", ""), checked(), *most).suppliers.count()
+    assert (many(), many(None), many(3)) == (12, 20, 3)
+    cards = spark.createDataFrame([(json.dumps({"result": {"items": [{"id": str(n), "name": "A"} for n in range(40)]}}),)], "payload string").select(F.from_json("payload", PLACES).alias("x")).select("x.*", F.lit(0).alias("ord"))
+    of = lambda *most: places.place_suppliers(cards, "q", checked(), *most).suppliers.count()
+    assert (of(), of(None)) == (30, 40)
+
+
 def test_registry(spark):
     xml = "<rss><channel><item><title>t</title><link>/epz/card?reestrNumber=123456789012345678</link><description>d</description></item><item><link>/x</link><description>№ 123456789012345678</description></item></channel></rss>"
     items = contracts.parse_rss(spark.createDataFrame([("сырники", xml, 0)], "query string, xml string, ord long")).collect()
