@@ -10,6 +10,8 @@ from ..functions.constants import CATALOG_DOMAINS
 from .pages import first_wins
 
 NONE = "cast(array() as array<string>)"
+#: Tasks that a domain's pages are dealt to at least.
+PARTS = 8
 
 
 def attach_hits(suppliers: DataFrame, hits: DataFrame) -> DataFrame:
@@ -46,14 +48,48 @@ def fetch_urls(suppliers: DataFrame, hits: DataFrame) -> DataFrame:
     return rows.where(~C.domain_in(C.normalize_domain("url"), ("2gis.ru",))).groupBy("url").agg(F.min("o").alias("ord"))
 
 
-def page_owners(pages: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """(supplier_id, url): pages that belong to a supplier by requested or final URL, or by a domain that is no catalogue."""
+def _keys(suppliers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(supplier_id, key) of a supplier's URLs, and of its domain if that is no catalogue."""
     urls = suppliers.select(F.col("id").alias("supplier_id"), F.explode("source_urls").alias("key"))
     domains = suppliers.select(F.col("id").alias("supplier_id"), F.coalesce("domain", C.normalize_domain("website")).alias("key")).where("key is not null").where(~C.domain_in("key", CATALOG_DOMAINS))
+    return urls.distinct(), domains.distinct()
+
+
+def _addresses(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(url, key) of a page's requested and final URL, and of its final domain."""
     page = pages.select("url", C.normalize_url("url").alias("u"), C.normalize_url("final_url").alias("f"), C.normalize_domain("final_url").alias("d"))
-    by_url = page.select("url", F.explode(F.array_distinct(F.array("u", "f"))).alias("key")).join(urls, "key")
-    by_domain = page.select("url", F.col("d").alias("key")).join(domains, "key")
-    return by_url.select("supplier_id", "url").unionByName(by_domain.select("supplier_id", "url")).distinct()
+    return page.select("url", F.explode(F.array_distinct(F.array("u", "f"))).alias("key")).distinct(), page.select("url", F.col("d").alias("key")).where("key is not null").distinct()
+
+
+def page_owners(pages: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """(supplier_id, url): pages that belong to a supplier by requested or final URL, or by a domain that is no catalogue.
+
+    A domain's pages times its suppliers may be many more rows than there are pages and suppliers.
+    Those pairs are distinct as they are joined, so they are neither shuffled nor sorted; of the other ones
+    only those are added that they don't hold.
+    """
+    urls, domains = _keys(suppliers)
+    by_url, by_domain = _addresses(pages)
+    # an id that stands for several domains may meet a page by more than one
+    single = domains.groupBy("supplier_id").agg(F.min("key").alias("key"), F.max("key").alias("_last"))
+    several = domains.join(single.where("key <> _last").select("supplier_id"), "supplier_id", "left_semi")
+    single = single.where("key = _last").drop("_last")
+    # a hot domain is dealt to several tasks, by its pages
+    dealt = by_domain.withColumn("_part", F.pmod(F.xxhash64("url"), F.lit(PARTS)))
+    direct = dealt.join(single.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<long>"))), ["key", "_part"])
+    others = by_url.join(urls, "key").select("supplier_id", "url").unionByName(by_domain.join(several, "key").select("supplier_id", "url")).distinct()
+    others = others.join(single, "supplier_id", "left").join(by_domain, ["url", "key"], "left_anti")
+    return direct.select("supplier_id", "url").unionByName(others.select("supplier_id", "url"))
+
+
+def first_page_owners(pages: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """(url, supplier_id): the first supplier in order that a page belongs to, from the first supplier of each URL and domain."""
+    order = suppliers.select(F.col("id").alias("supplier_id"), "ord")
+    found = []
+    for keys, addresses in zip(_keys(suppliers), _addresses(pages), strict=True):
+        first = keys.join(order, "supplier_id").groupBy("key").agg(F.min(F.struct("ord", "supplier_id")).alias("_first"))
+        found.append(addresses.join(first, "key").select("url", "_first"))
+    return found[0].unionByName(found[1]).groupBy("url").agg(F.min("_first").alias("_first")).select("url", "_first.supplier_id")
 
 
 def first_owner(owners: DataFrame, suppliers: DataFrame) -> DataFrame:
@@ -69,3 +105,12 @@ def model_pages(suppliers: DataFrame, owners: DataFrame, pages: DataFrame, most_
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("supplier_id").orderBy("ord", "url"))).where(F.col("_n") <= per_supplier)
     first = rows.groupBy("supplier_id").agg(F.min("supplier_ord").alias("o")).orderBy("o").limit(most_suppliers).select("supplier_id")
     return rows.join(F.broadcast(first), "supplier_id").drop("_n")  # at most most_suppliers rows
+
+
+def first_pages(suppliers: DataFrame, pages: DataFrame, most_suppliers: int = 6, per_supplier: int = 2) -> DataFrame:
+    """``model_pages`` of all that ``page_owners`` gives, where only the chosen suppliers are joined with their pages."""
+    met = [keys.join(addresses.select("key").distinct(), "key", "left_semi").select("supplier_id") for keys, addresses in zip(_keys(suppliers), _addresses(pages), strict=True)]
+    order = suppliers.select(F.col("id").alias("supplier_id"), "ord")
+    first = order.join(met[0].unionByName(met[1]).distinct(), "supplier_id", "left_semi").groupBy("supplier_id").agg(F.min("ord").alias("o")).orderBy("o", "supplier_id").limit(most_suppliers)
+    chosen = suppliers.join(F.broadcast(first.select(F.col("supplier_id").alias("id"))), "id", "left_semi")  # at most most_suppliers rows
+    return model_pages(chosen, page_owners(pages, chosen), pages, most_suppliers, per_supplier)

@@ -15,6 +15,7 @@ from ..functions import constants as K
 from ..functions.schemas import HIT, PLACES
 from ..operators import links, pages
 from ..operators.scoring import Request
+from ..scratch import Scratch
 from ..sources import contracts, places, web
 from ..sources.provider import conform
 from .catalogue import query, table
@@ -293,28 +294,30 @@ _OWNERS = f"""{_LINKS}, u AS (SELECT sid AS id, url AS u FROM h UNION SELECT sid
  o AS (SELECT s.id AS supplier_id, url FROM p JOIN u ON u.u IN (p.url, p.final) JOIN s USING (id) UNION SELECT id, url FROM p JOIN d ON d.domain = split_part(p.final, '/', 3))"""
 
 
-def _owned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Suppliers with their hits, a page for every hit (every sixth redirected to another site), and who owns which page."""
-    known, found = _suppliers(spark, sf_dir), _hits(spark, sf_dir)
-    attached = links.attach_hits(known, found)
+def _owned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers with their hits, and a page for every hit (every sixth redirected to another site); written once, as owners are sought by several keys."""
+    scratch = Scratch(spark, "owned")
+    found = scratch.write(_hits(spark, sf_dir), "hits")
+    attached = scratch.write(links.attach_hits(_suppliers(spark, sf_dir), found).select("id", "website", "domain", "source_urls", "ord"), "suppliers")
     landed = found.select("url", F.when(F.col("ord") % 6 == 0, _text("https://www.site", F.col("ord") % 300, ".ru/")).otherwise(F.col("url")).alias("final_url"), "ord")
-    return attached, landed, links.page_owners(landed, attached)
+    return attached, landed
 
 
 @query(f"WITH {_OWNERS} SELECT supplier_id, url FROM o")
 def pages_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that belong to a supplier by URL, or by a domain that is no catalogue."""
-    return _owned(spark, sf_dir)[2]
+    attached, landed = _owned(spark, sf_dir)
+    return links.page_owners(landed, attached)
 
 
 @query(f"WITH {_OWNERS} SELECT url, arg_min(supplier_id, k) AS supplier_id FROM o JOIN s ON id = supplier_id GROUP BY url")
 def first_page_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known, _, owners = _owned(spark, sf_dir)
-    return links.first_owner(owners, known)
+    attached, landed = _owned(spark, sf_dir)
+    return links.first_page_owners(landed, attached)
 
 
 @query(f"""WITH {_OWNERS}, r AS (SELECT supplier_id, url, row_number() OVER (PARTITION BY supplier_id ORDER BY ord, url) AS n FROM o JOIN p USING (url)), b AS (SELECT id FROM s WHERE id IN (SELECT supplier_id FROM o) ORDER BY k LIMIT 6) SELECT supplier_id, url FROM r JOIN b ON id = supplier_id WHERE n <= 2""")
 def pages_for_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two pages of the first six suppliers that have any (the operator's limits)."""
-    known, landed, owners = _owned(spark, sf_dir)
-    return links.model_pages(known, owners, landed).select("supplier_id", "url")
+    attached, landed = _owned(spark, sf_dir)
+    return links.first_pages(attached, landed).select("supplier_id", "url")
