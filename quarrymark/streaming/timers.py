@@ -1,12 +1,13 @@
 """Keyed state with event-time timers: page entries that expire one by one, runs that end at their deadline.
 
-Each key holds a few numbers, never a page; a timer frees them. Rows of a key that come in one
+Each entry or run holds a few numbers, never a page; a timer frees them. Rows of a key that come in one
 micro-batch are taken in the order of their time; rows behind the watermark don't count. Timers fire once
 the watermark has passed them, so what a run returns follows from the rows and the last watermark alone.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 EXPIRED = "url string, fetched_at timestamp, expires_at timestamp"
 ENDED = "run_id string, processed long, failed long, deadline_reached boolean"
+#: Buckets that runs are dealt to; a bucket's open runs are held at once.
+BUCKETS = 512
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -70,43 +73,65 @@ def _expired(url: str, entries: list[tuple[int, int]]) -> pd.DataFrame:
 
 
 class RunDeadline(StatefulProcessor):
-    """One run per key: ends whole with its last expected page, else with what it has at its deadline."""
+    """Runs by buckets: each ends whole with its last expected page, else with what it has at its deadline.
+
+    State and timers are asked for once per bucket and micro-batch, as a call to the state store costs far more
+    than a page does. A bucket holds its open runs and one timer, for the next deadline among them.
+    """
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", "expected long, deadline long, processed long, failed long, done boolean")
+        self.open = handle.getValueState("open", "timer long, runs string")
+
+    def _held(self) -> tuple[int | None, dict[str, list]]:
+        """The timer set and the bucket's runs: expected, deadline, processed, failed, done."""
+        timer, runs = self.open.get() if self.open.exists() else (None, "{}")
+        return timer, json.loads(runs)
+
+    def _keep(self, timer: int | None, runs: dict[str, list]) -> None:
+        following = min((_fire_at(run[1]) for run in runs.values()), default=None)
+        if following != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if following is not None:
+                self.handle.registerTimer(following)
+        if runs:
+            self.open.update((following, json.dumps(runs)))
+        else:
+            self.open.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = sorted(row for part in rows for row in zip(part["finished"].tolist(), part["url"].tolist(), part["failed"].tolist(), part["expected"].tolist(), part["deadline"].tolist(), strict=True))
-        fresh = not self.run.exists()
-        expected, deadline, processed, failed, done = (arrived[0][3], arrived[0][4], 0, 0, False) if fresh else self.run.get()
+        names = ("run_id", "finished", "url", "failed", "expected", "deadline")
+        timer, runs = self._held()
         ended = []
-        for finished, _, bad, *_ in arrived:
-            if done or finished > deadline:
+        for run_id, finished, _, bad, *plan in sorted(row for part in rows for row in zip(*(part[n].tolist() for n in names), strict=True)):
+            run = runs.setdefault(run_id, [*plan, 0, 0, False])
+            if run[4] or finished > run[1]:
                 continue
-            processed, failed = processed + 1, failed + int(bad)
-            if processed >= expected:
-                done = True
-                ended.append((processed, failed, False))
-        self.run.update((expected, deadline, processed, failed, done))
-        if fresh:
-            self.handle.registerTimer(_fire_at(deadline))
+            run[2], run[3] = run[2] + 1, run[3] + int(bad)
+            if run[2] >= run[0]:
+                run[4] = True
+                ended.append((run_id, run[2], run[3], False))
+        self._keep(timer, runs)
         if ended:
-            yield _ended(key[0], ended)
+            yield _ended(ended)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, _, processed, failed, done = self.run.get()
-        self.run.clear()
-        if not done:
-            yield _ended(key[0], [(processed, failed, True)])
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        _, runs = self._held()
+        over = {run_id: run for run_id, run in runs.items() if _fire_at(run[1]) <= now}
+        self._keep(None, {run_id: run for run_id, run in runs.items() if run_id not in over})  # this timer is gone as it fired
+        partial = [(run_id, run[2], run[3], True) for run_id, run in over.items() if not run[4]]
+        if partial:
+            yield _ended(partial)
 
     def close(self) -> None:
         pass
 
 
-def _ended(run: str, rows: list[tuple[int, int, bool]]) -> pd.DataFrame:
+def _ended(rows: list[tuple[str, int, int, bool]]) -> pd.DataFrame:
     kinds = {"run_id": "object", "processed": "int64", "failed": "int64", "deadline_reached": "bool"}
-    return pd.DataFrame([(run, *r) for r in rows], columns=list(kinds)).astype(kinds)
+    return pd.DataFrame(rows, columns=list(kinds)).astype(kinds)
 
 
 def expired_entries(entries: DataFrame, late: str) -> DataFrame:
@@ -124,7 +149,7 @@ def ended_runs(pages: DataFrame, late: str) -> DataFrame:
     micros = lambda c: F.unix_micros(F.col(c))
     keyed = pages.where("run_id is not null and finished_at is not null and deadline is not null").withWatermark("finished_at", late)
     rows = keyed.select("run_id", "finished_at", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("failed", F.lit(False)).alias("failed"), F.col("expected").cast("long").alias("expected"), micros("finished_at").alias("finished"), micros("deadline").alias("deadline"))
-    return rows.groupBy("run_id").transformWithStateInPandas(RunDeadline(), ENDED, "Append", "EventTime")
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("run_id"), F.lit(BUCKETS))).groupBy("bucket").transformWithStateInPandas(RunDeadline(), ENDED, "Append", "EventTime")
 
 
 def start(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
