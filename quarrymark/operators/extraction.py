@@ -195,22 +195,22 @@ def enrich(suppliers: DataFrame, pages: DataFrame, category: str) -> DataFrame:
     return _apply(suppliers, first_facts(taken.select(*facts.columns)), seen, LIST_FIELDS, "quote")
 
 
-def _quoted(facts: DataFrame, pages: DataFrame) -> DataFrame:
+def _quoted(facts: DataFrame, pages: DataFrame, literal: bool = False) -> DataFrame:
     """Adds _ok: the fact's page, by normalised URL, holds the trimmed quote literally, the value isn't blank, nor an access fee as a price; _page is that page's address."""
     ranked = F.struct(*[c for c in ("ord",) if c in pages.columns], "final_url")
     texts = pages.select(C.normalize_url("final_url").alias("_url"), F.struct(ranked.alias("r"), F.col("final_url").alias("url"), "text").alias("p")).groupBy("_url").agg(F.max_by("p", "p.r").alias("_p"))
     joined = facts.withColumn("_url", C.normalize_url("source_url")).join(texts, "_url", "left")
-    value, quote = C.blank_to_null(C.strip("value")), C.blank_to_null(C.strip("quote"))
+    value, quote = (C.blank_to_null(F.col(c) if literal else C.strip(c)) for c in ("value", "quote"))
     named = F.col("field_name") if "field_name" in facts.columns else F.lit("")
     fee = (named == "price") & C.contains_any(F.concat_ws(" ", value, quote), K.ACCESS_PRICE_MARKERS)
     ok = value.isNotNull() & quote.isNotNull() & F.contains(F.col("_p.text"), quote) & ~F.coalesce(fee, F.lit(False))
     return joined.withColumns({"_ok": F.coalesce(ok, F.lit(False)), "_page": F.col("_p.url"), "_value": value, "_quote": quote}).drop("_p")
 
 
-def verify_facts(facts: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) facts; each needs a value and a quote that its page holds."""
+def verify_facts(facts: DataFrame, pages: DataFrame, literal: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) facts; each needs a value and a quote that its page holds, trimmed, or with its white space if ``literal``."""
     rows = facts if "value" in facts.columns else facts.withColumn("value", F.col("quote"))
-    checked = _quoted(rows, pages)
+    checked = _quoted(rows, pages, literal)
     return checked.where("_ok").select(*facts.columns), checked.where("not _ok").select(*facts.columns)
 
 
