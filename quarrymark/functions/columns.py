@@ -298,7 +298,9 @@ def same_word(a: Column, b: Column) -> Column:
 
 def all_stems_found(wanted: Column, actual: Column) -> Column:
     """Whether every wanted word has a like-stemmed actual one; false if none is wanted."""
-    return (F.size(wanted) > 0) & F.forall(wanted, lambda w: F.exists(actual, lambda x: same_stem(w, x)))
+    # both once, however often they are used: an expression in a lambda is computed for every element
+    fit = lambda v: (F.size(v["wanted"]) > 0) & F.forall(v["wanted"], lambda w: F.exists(v["actual"], lambda x: same_stem(w, x)))
+    return bind(F.struct(wanted.alias("wanted"), actual.alias("actual")), fit)
 
 
 def conflicts(product: Text, query: Text, markers: Sequence[str]) -> Column:
@@ -330,16 +332,23 @@ def keyword_line(lines: Column, words: Sequence[str], most: int = 240) -> Column
 
 def product_quote(lines: Column, category: Text, stop: Sequence[str] = K.EXTRACTION_STOP_WORDS, most: int = 240) -> Column:
     """The shortest line, the first of equals, in which every word of the category appears."""
-    wanted = plain_tokens(category, stop)
-    fit = F.filter(lines, lambda s: all_stems_found(wanted, plain_tokens(s)))
-    keyed = F.transform(fit, lambda s, i: F.struct(F.length(s).alias("n"), i.alias("i"), s.alias("line")))
-    return F.substring(F.array_min(keyed)["line"], 1, most)
+
+    def shortest(v: Column) -> Column:
+        fit = F.filter(v["lines"], lambda s: all_stems_found(v["wanted"], plain_tokens(s)))
+        keyed = F.transform(fit, lambda s, i: F.struct(F.length(s).alias("n"), i.alias("i"), s.alias("line")))
+        return F.substring(F.array_min(keyed)["line"], 1, most)
+
+    return bind(F.struct(plain_tokens(category, stop).alias("wanted"), col(lines).alias("lines")), shortest)
 
 
 def value_after(lines: Column, label: str) -> Column:
     """The line after the first line that is the label."""
-    at = F.array_position(lines, label)
-    return F.when(at > 0, F.get(lines, at.cast("int")))
+
+    def following(x: Column) -> Column:
+        at = F.array_position(x, label)
+        return F.when(at > 0, F.get(x, at.cast("int")))
+
+    return bind(lines, following)
 
 
 def typed_by(text: Text, types: Sequence[tuple[str, Sequence[str]]]) -> Column:

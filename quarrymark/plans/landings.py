@@ -52,25 +52,40 @@ f AS (SELECT c.*, s, 'ООО Компания ' || s AS name, CASE WHEN s % 5 <>
 
 def contract_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(contracts, api_url, ord): orders as contracts, 50 a payload; every thirteenth is landed again in a later payload, altered."""
-    k, s, p = F.col("o_orderkey"), F.col("l_suppkey") * 20 + F.col("l_partkey") % 20, F.col("l_partkey")
-    text, none = F.col, F.lit(None).cast("string")
-    product = F.when(p % 10 == 6, _text("СЫРНИК ", text("p_name"))).when(p % 10 == 4, _text("Сырники-снек ", text("p_name"))).when(p % 2 == 0, _text(" Сырники ", text("p_name"))).otherwise(_text("Творог ", text("p_name")))
-    digits = F.lpad((s % 10000000).cast("string"), 7, "0")
-    contact = F.struct(F.when(s % 3 == 0, _text("8 912 ", digits)).alias("phone"), F.when(s % 3 == 1, _text("+7 (343) ", digits)).alias("phoneNumber"), F.when(s % 4 == 0, _text(" INFO", s, "@Firm.RU ")).when(s % 4 == 1, "no address").alias("email"))
-    party = F.struct(F.when(s % 50 != 7, _text(" ООО Компания ", s, " ")).alias("organizationName"), F.when(s % 5 != 0, (s + 7700000000).cast("string")).alias("inn"), F.when(F.col("l_orderkey") % 2 == 0, _text("ул. Мира, ", F.col("l_orderkey"))).otherwise("").alias("factualAddress"), _text("а/я ", F.col("l_orderkey")).alias("postalAddress"), contact.alias("contactInfo"))
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == p)
-    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.struct(product.alias("name")).alias("product"), party.alias("party"))
+    none = F.lit(None).cast("string")
+
+    def product(x: Column) -> Column:
+        p, name = x["l_partkey"], x["p_name"]
+        return F.struct(F.when(p % 10 == 6, _text("СЫРНИК ", name)).when(p % 10 == 4, _text("Сырники-снек ", name)).when(p % 2 == 0, _text(" Сырники ", name)).otherwise(_text("Творог ", name)).alias("name"))
+
+    def party(k: Column, x: Column) -> Column:
+        return C.bind(x["l_suppkey"] * 20 + x["l_partkey"] % 20, lambda s: supplier(k, s))
+
+    def supplier(k: Column, s: Column) -> Column:
+        digits = F.lpad((s % 10000000).cast("string"), 7, "0")
+        contact = F.struct(F.when(s % 3 == 0, _text("8 912 ", digits)).alias("phone"), F.when(s % 3 == 1, _text("+7 (343) ", digits)).alias("phoneNumber"), F.when(s % 4 == 0, _text(" INFO", s, "@Firm.RU ")).when(s % 4 == 1, "no address").alias("email"))
+        return F.struct(F.when(s % 50 != 7, _text(" ООО Компания ", s, " ")).alias("organizationName"), F.when(s % 5 != 0, (s + 7700000000).cast("string")).alias("inn"), F.when(k % 2 == 0, _text("ул. Мира, ", k)).otherwise("").alias("factualAddress"), _text("а/я ", k).alias("postalAddress"), contact.alias("contactInfo"))
+
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    # keys and names alone are shuffled; the payload's texts are made of them page by page
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_name")
     listed = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    rows = table(spark, sf_dir, "orders").join(listed, k == F.col("l_orderkey")).withColumn("again", F.explode(F.when(k % 13 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    c = F.col("o_custkey") % 4
-    contract = F.struct(
-        F.when(k % 11 == 0, none).when(k % 11 == 1, "").otherwise(F.lpad(k.cast("string"), 10, "0")).alias("regNum"), F.when(k % 22 != 0, _text("N", k)).alias("number"),
-        F.when(k % 17 != 0, F.date_format(F.date_add("o_orderdate", F.col("again")), "yyyy-MM-dd'T'HH:mm:ss")).alias("signDate"), F.when(F.col("again") == 1, "66").when(c == 0, "66").when(c == 1, "77").alias("regionCode"),
-        F.when(k % 3 == 0, _text("http://z.example/c/", k)).when(k % 3 == 1, "").otherwise("ftp://z.example/").alias("contractUrl"),
-        F.struct(F.when(c == 2, "").when(c == 3, "Москва").alias("postalAddress"), F.when(c == 2, "г. Екатеринбург, 620066").alias("legalAddress")).alias("customer"),
-        F.transform("lines", lambda x: x["product"]).alias("products"), F.transform("lines", lambda x: x["party"]).alias("suppliers"))
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    rows = orders.join(listed, k == F.col("l_orderkey")).drop("l_orderkey").withColumn("again", F.explode(F.when(k % 13 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     page = F.floor(k / PAGE) + F.col("again") * 1000000000
-    packed = _payload(rows, page, "o_orderkey", contract, "data").select("page", F.to_json(F.struct(F.struct(F.size("data").alias("total"), "data").alias("contracts"))).alias("payload"))
+    packed = _payload(rows, page, "o_orderkey", F.struct("o_custkey", "o_orderdate", "again", "o_orderkey", "lines"), "data")
+
+    def contract(x: Column) -> Column:
+        k, c, again = x["o_orderkey"], x["o_custkey"] % 4, x["again"]
+        return F.struct(
+            F.when(k % 11 == 0, none).when(k % 11 == 1, "").otherwise(F.lpad(k.cast("string"), 10, "0")).alias("regNum"), F.when(k % 22 != 0, _text("N", k)).alias("number"),
+            F.when(k % 17 != 0, F.date_format(F.date_add(x["o_orderdate"], again), "yyyy-MM-dd'T'HH:mm:ss")).alias("signDate"), F.when(again == 1, "66").when(c == 0, "66").when(c == 1, "77").alias("regionCode"),
+            F.when(k % 3 == 0, _text("http://z.example/c/", k)).when(k % 3 == 1, "").otherwise("ftp://z.example/").alias("contractUrl"),
+            F.struct(F.when(c == 2, "").when(c == 3, "Москва").alias("postalAddress"), F.when(c == 2, "г. Екатеринбург, 620066").alias("legalAddress")).alias("customer"),
+            F.transform(x["lines"], product).alias("products"), F.transform(x["lines"], lambda line: party(k, line)).alias("suppliers"))
+
+    packed = packed.withColumn("data", F.transform("data", contract)).select("page", F.to_json(F.struct(F.struct(F.size("data").alias("total"), "data").alias("contracts"))).alias("payload"))
     return packed.select(F.from_json("payload", contracts.CONTRACTS)["contracts"].alias("contracts"), _text("https://api.example/", F.col("page")).alias("api_url"), F.col("page").alias("ord"))
 
 

@@ -69,9 +69,13 @@ def contract_suppliers(payloads: DataFrame, request: Request, checked_at: Column
     """Contract parties with the products they delivered: first contract per number, first record per company, then the cut; None keeps all."""
     contracts = payloads.select("api_url", "ord", F.posexplode("contracts.data").alias("pos", "c"))
     number = F.coalesce(C.blank_to_null(F.col("c.regNum")), C.blank_to_null(F.col("c.number")))
-    contracts = first_wins(contracts.withColumn("number", number).where("number is not null"), ["number"], ["ord", "pos"])
-    contracts = contracts.withColumn("products", matching_products(F.col("c.products"), request.category)).where(F.size("products") > 0)
-    rows = contracts.select("*", F.posexplode("c.suppliers").alias("spos", "s")).withColumn("name", C.blank_to_null(C.strip("s.organizationName"))).where("name is not null")
+    local = in_region(F.col("c"), request.region) if request.region else F.lit(False)
+    # what a contract gives its suppliers is taken out of it before any shuffle; a supplier's row never holds the whole contract
+    contracts = contracts.select(
+        "api_url", "ord", "pos", number.alias("number"), matching_products(F.col("c.products"), request.category).alias("products"), "c.suppliers", F.col("c.contractUrl").alias("raw_url"),
+        F.substring("c.signDate", 1, 10).alias("signed"), local.alias("local"), F.when(local, customer_address(F.col("c"))).alias("customer")).where("number is not null")
+    contracts = first_wins(contracts.withColumn("suppliers", F.when(F.size("products") > 0, F.col("suppliers"))), ["number"], ["ord", "pos"])
+    rows = contracts.select("*", F.posexplode("suppliers").alias("spos", "s")).drop("suppliers").withColumn("name", C.blank_to_null(C.strip("s.organizationName"))).where("name is not null")
     inn = C.blank_to_null(C.strip("s.inn"))
     rows = first_wins(rows.withColumns({"inn": inn, "_key": F.concat_ws("|", F.coalesce(inn, F.lit("")), F.lower("name"))}), ["_key"], ["ord", "pos", "spos"])
     if max_suppliers is not None:
@@ -79,16 +83,16 @@ def contract_suppliers(payloads: DataFrame, request: Request, checked_at: Column
     phone = F.coalesce(C.blank_to_null(C.strip("s.contactInfo.phone")), C.blank_to_null(C.strip("s.contactInfo.phoneNumber")))
     email = C.normalize_email("s.contactInfo.email")
     address = F.coalesce(C.blank_to_null(C.strip("s.factualAddress")), C.blank_to_null(C.strip("s.postalAddress")))
-    local = in_region(F.col("c"), request.region) if request.region else F.lit(False)
+    local = F.col("local")
     regions = F.when(local, F.array(F.lit(request.region))).otherwise(F.expr(NONE))
-    official, api = contract_url(F.coalesce(F.col("c.contractUrl"), F.lit("")), F.col("number")), F.col("api_url")
+    official, api = contract_url(F.coalesce(F.col("raw_url"), F.lit("")), F.col("number")), F.col("api_url")
     single = [_evidence(f, v, api, 0.78) for f, v in (("legal_name", F.col("name")), ("inn", F.col("inn")), ("address", address), ("phone", phone), ("email", email))]
-    place = F.when(local, _evidence("regions", F.lit(request.region), api, 0.75, F.coalesce(C.blank_to_null(customer_address(F.col("c"))), F.lit(request.region))))
+    place = F.when(local, _evidence("regions", F.lit(request.region), api, 0.75, F.coalesce(C.blank_to_null("customer"), F.lit(request.region))))
     evidence = F.concat(F.transform("products", lambda p: _evidence("contract_products", p, api, 0.78)), F.array_compact(F.array(*single, place)))
     suppliers = rows.select(
         C.url_id("contracts-", F.coalesce("inn", "name")).alias("id"), "name", F.col("name").alias("legal_name"), "inn", F.lit("unknown").alias("company_type"), F.col("products").alias("contract_products"), address.alias("address"), regions.alias("regions"),
         C.normalize_phone(phone).alias("phone"), phone.alias("phone_raw"), email.alias("email"), F.array(api, official).alias("source_urls"), F.array(F.lit(request.category)).alias("discovery_queries"), evidence.alias("evidence"), checked_at.alias("checked_at"))
-    note = F.concat(F.lit("контракт № "), F.col("number"), F.lit(", дата "), F.coalesce(C.blank_to_null(F.substring("c.signDate", 1, 10)), F.lit("не указана")))
+    note = F.concat(F.lit("контракт № "), F.col("number"), F.lit(", дата "), F.coalesce(C.blank_to_null("signed"), F.lit("не указана")))
     lineage = rows.select(official.alias("url"), F.lit("zakupki.gov.ru").alias("domain"), F.lit("skipped").alias("status"), note.alias("note"), F.col("name").alias("supplier_name"), F.lit(request.category).alias("discovery_query"), F.lit("contracts").alias("provider"), F.lit("government_contract").alias("source_kind"))
     return Result(normalize_suppliers(conform(suppliers, SUPPLIER)), lineage)
 
@@ -120,6 +124,10 @@ def parse_rss(feeds: DataFrame, base_url: str = "https://zakupki.gov.ru") -> Dat
 
 def supplier_section(lines: Column) -> Column:
     """The lines between the supplier header and the next section, 40 at most."""
+    return C.bind(lines, _section_of)
+
+
+def _section_of(lines: Column) -> Column:
     header, *ends = K.SUPPLIER_SECTION
     start = F.array_position(lines, header).cast("int")
     rest = F.slice(lines, start + 1, F.greatest(F.size(lines) - start, F.lit(0)))
@@ -130,6 +138,10 @@ def supplier_section(lines: Column) -> Column:
 
 def supplier_identity(section: Column) -> Column:
     """(name, inn): the first line before the tax number's label that is no header; the number within three lines after it."""
+    return C.bind(section, _identity_in)
+
+
+def _identity_in(section: Column) -> Column:
     label = F.array_min(F.array_compact(F.transform(section, lambda s, i: F.when(F.rtrim(s, F.lit(":")) == "ИНН", i))))
     before = F.slice(section, F.lit(1), F.coalesce(label, F.size(section)))
     name = F.get(F.filter(before, lambda s: ~F.array_contains(C.strings(K.SUPPLIER_HEADERS), s)), F.lit(0))
@@ -146,7 +158,7 @@ def registry_suppliers(cards: DataFrame, request: Request, checked_at: Column) -
     quote = lambda lines, what: C.product_quote(F.col(lines), what, K.REGISTRY_STOP_WORDS, 300)
     coded = F.replace("query", F.lit("."), F.lit("")).rlike("^[0-9]+$")
     tries = [(quote("_goods", category), "product_url"), (quote("_common", category), "common_url"), (F.when(~coded, quote("_goods", query)), "product_url"), (F.when(~coded, quote("_common", query)), "common_url")]
-    found = F.coalesce(*[F.when(q.isNotNull(), F.struct(q.alias("quote"), F.col(u).alias("url"))) for q, u in tries])
+    found = F.coalesce(*[C.bind(F.struct(q.alias("quote"), F.col(u).alias("url")), lambda x: F.when(x["quote"].isNotNull(), x)) for q, u in tries])
     place = C.value_after(F.col("_common"), K.DELIVERY_PLACE)
     local = F.coalesce(F.contains(F.lower(place), F.lower(F.lit(request.region))), F.lit(False)) if request.region else F.lit(False)
     contact = F.array_join("_section", " ")
