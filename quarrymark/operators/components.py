@@ -3,6 +3,7 @@
 A run's edges are contracted to the components they touch; only that small graph is solved. What it
 merges goes into a table of renamed components (former name to present one), so the labels that
 earlier runs wrote stay as they are. Components keep the smallest node's name, as in a single full run.
+Tables of nodes and components are merged, never broadcast, so that none passes through the driver.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def _tables(spark: SparkSession, root: str, content: dict) -> tuple[DataFrame, D
 
 
 def _present(labels: DataFrame, renamed: DataFrame) -> DataFrame:
-    return labels.join(renamed, "component", "left").select("ord", F.coalesce("now", "component").alias("component"))
+    return labels.join(renamed.hint("merge"), "component", "left").select("ord", F.coalesce("now", "component").alias("component"))
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:
@@ -48,17 +49,17 @@ def attach(root: str, nodes: DataFrame, edges: DataFrame) -> int:
     links = scratch.write(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b").distinct(), "links")
     named = nodes.select(F.col("ord").cast("long").alias("ord")).unionByName(links.select(F.col("a").alias("ord"))).unionByName(links.select(F.col("b").alias("ord")))
     # of the stored labels only those that this run's nodes touch are joined on
-    touched = scratch.write(named.where("ord is not null").distinct().join(_present(labels, renamed), "ord", "left").withColumn("known", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "ord")), "touched")
+    touched = scratch.write(named.where("ord is not null").distinct().join(_present(labels, renamed).hint("merge"), "ord", "left").withColumn("known", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "ord")), "touched")
     at = lambda c: touched.select(F.col("ord").alias(c), F.col("component").alias(f"{c}_component"))
-    contracted = links.join(at("a"), "a").join(at("b"), "b").select(F.col("a_component").alias("a"), F.col("b_component").alias("b")).where("a <> b").distinct()
+    contracted = links.join(at("a").hint("merge"), "a").join(at("b").hint("merge"), "b").select(F.col("a_component").alias("a"), F.col("b_component").alias("b")).where("a <> b").distinct()
     ends = contracted.select(F.col("a").alias("ord")).unionByName(contracted.select(F.col("b").alias("ord"))).distinct()
     merged = scratch.write(connected_components(ends, contracted).where("ord <> component").select(F.col("ord").alias("component"), F.col("component").alias("now")), "merged")
     name = uuid.uuid4().hex
     fresh = touched.where("not known").select("ord", "component")
     _present(fresh, merged).write.parquet(f"{root}/labels-{name}")
     # former names follow what their present one became; merged components of this run's new nodes need no entry
-    old = merged.join(touched.where("known").select("component").distinct(), "component", "left_semi")
-    follow = renamed.join(merged.select(F.col("component").alias("now"), F.col("now").alias("later")), "now", "left").select("component", F.coalesce("later", "now").alias("now"))
+    old = merged.join(touched.where("known").select("component").distinct().hint("merge"), "component", "left_semi")
+    follow = renamed.join(merged.select(F.col("component").alias("now"), F.col("now").alias("later")).hint("merge"), "now", "left").select("component", F.coalesce("later", "now").alias("now"))
     follow.unionByName(old).write.parquet(f"{root}/renamed-{name}")
     log.commit(version + 1, {"labels": [*content.get("labels", []), f"labels-{name}"], "renamed": f"renamed-{name}"})
     return version + 1

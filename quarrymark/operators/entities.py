@@ -112,14 +112,17 @@ def materialise(df: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(ord, component) of each distinct node: the smallest ord reachable, by minima over neighbours and pointer jumping."""
+    """(ord, component) of each distinct node: the smallest ord reachable, by minima over neighbours and pointer jumping.
+
+    The joins are merged, never broadcast: a round's tables would pass through the driver, round after round.
+    """
     spark = nodes.sparkSession
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), spark)
     labels = materialise(nodes.select("ord").distinct().withColumn("component", F.col("ord")), spark)
     while True:
-        near = both.join(labels.select(F.col("ord").alias("b"), "component"), "b").groupBy(F.col("a").alias("ord")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "ord", "left").select("ord", "component", F.least("component", F.coalesce("near", "component")).alias("next"))
-        jump = lower.alias("x").join(lower.select(F.col("ord").alias("o"), F.col("next").alias("far")).alias("y"), F.col("x.next") == F.col("y.o"), "left")
+        near = both.join(labels.select(F.col("ord").alias("b"), "component").hint("merge"), "b").groupBy(F.col("a").alias("ord")).agg(F.min("component").alias("near"))
+        lower = labels.join(near.hint("merge"), "ord", "left").select("ord", "component", F.least("component", F.coalesce("near", "component")).alias("next"))
+        jump = lower.alias("x").join(lower.select(F.col("ord").alias("o"), F.col("next").alias("far")).hint("merge").alias("y"), F.col("x.next") == F.col("y.o"), "left")
         moved = materialise(jump.select("ord", "component", F.least("next", F.coalesce("far", "next")).alias("next")), spark)
         changed = not moved.where("next <> component").isEmpty()
         labels = moved.select("ord", F.col("next").alias("component"))
