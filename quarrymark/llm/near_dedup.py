@@ -338,11 +338,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, small_ro
         # dealt anew, so that the comparing tasks don't each write a file of a few links
         return scratch.write(found.groupBy("b", "a").agg(F.count("*").alias("n")).select("a", "b"), name, NARROW)
 
-    either = F.array("a", "b")
-    sets = need(pairs.select(F.explode(either).alias("doc_id")), "sets")
-    # the likeliest partner of each document first: most groups merge on these alone
-    nodes = pairs.select(F.explode(either).alias("node"), F.struct("agree", "a", "b").alias("pair"))
-    first = scratch.write(nodes.groupBy("node").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct(), "first", NARROW)
+    # the likeliest partner of each document first: most groups merge on these alone; each end is reduced
+    # to a row per document before both are put together, so that no pair is doubled
+    best = lambda end: pairs.groupBy(F.col(end).alias("node")).agg(F.max(F.struct("agree", "a", "b")).alias("pair"))
+    first = scratch.write(best("a").unionByName(best("b")).groupBy("node").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct(), "first", NARROW)
+    # every document of a pair is in one of these too
+    sets = need(first.select(F.col("a").alias("doc_id")).unionByName(first.select(F.col("b").alias("doc_id"))), "sets")
     links = link(confirm(first, sets, percent), "links-1")
     comps = components(links, scratch, "comp1")
     second = scratch.write(_with_components(pairs.join(first, ["a", "b"], "left_anti"), comps), "second", NARROW)
