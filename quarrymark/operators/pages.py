@@ -65,7 +65,7 @@ def useful_links(pages: DataFrame) -> DataFrame:
     score = F.aggregate(C.strings(K.USEFUL_LINK_WORDS), F.lit(0), lambda n, w: n + F.contains(hay, w).cast("int"))
     scored = rows.withColumn("score", score).where("score > 0")
     best = first_wins(scored, ["url", "target"], [F.desc("score"), F.length("target"), "pos"])
-    place = F.row_number().over(Window.partitionBy("url").orderBy(F.desc("score"), F.length("target"), "pos"))
+    place = F.row_number().over(Window.partitionBy("url").orderBy(F.desc("score"), F.length("target"), "pos", "target"))
     return best.select("url", "target", "score", place.alias("place"))
 
 
