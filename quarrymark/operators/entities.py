@@ -11,6 +11,8 @@ from ..scratch import Scratch
 SCALARS = ("legal_name", "inn", "address", "minimum_order", "minimum_order_kg", "price", "delivery", "phone", "phone_raw", "email", "website", "domain")
 LISTS = ("product_categories", "matched_products", "contract_products", "regions", "certificates", "discovery_queries", "source_urls")
 SIMILAR = 90
+#: Blocks of at most as many names are compared pair by pair; larger ones by what is left of names, where a name has at most as many forms with characters left out.
+SMALL_BLOCK, MOST_LEFT_OUT = 32, 1024
 
 
 def normalize_suppliers(suppliers: DataFrame) -> DataFrame:
@@ -75,35 +77,155 @@ def _prefix(grams, text):
     return F.slice(F.sort_array(numbered), F.lit(1), (2 * F.floor(F.length(text) * 2 / 9 + 1e-9) + 1).cast("int"))
 
 
-def fuzzy_edges(suppliers: DataFrame) -> DataFrame:
-    """(a, b) of alike names backed by the same e-mail domain or alike addresses.
+def alike(a, b):
+    """Whether the indel ratio of two texts is at least 90, by the subsequence only where the edit distance leaves it open.
+
+    Inserted and deleted characters are at least the edit distance and at most twice that.
+    """
+    total, edits = F.length(a) + F.length(b), F.levenshtein(a, b)
+    return F.when(10 * edits > total, False).when(20 * edits <= total, True).otherwise(C.indel_ratio(a, b) >= SIMILAR)
+
+
+def alike_addresses(a, b):
+    """Whether ``token_set_ratio`` of two texts of words is at least 90; shared words begin both sides, so lengths tell their ratio."""
+    words = lambda x: F.split(x, " ")
+    text = lambda arr: F.array_join(F.sort_array(arr), " ")
+
+    def compare(v):
+        left, right = F.trim(F.concat_ws(" ", v["shared"], v["a"])), F.trim(F.concat_ws(" ", v["shared"], v["b"]))
+        shared, shorter = F.length(v["shared"]), F.least(F.length(left), F.length(right))
+        return F.when(shared == 0, alike(left, right)).when((v["a"] == "") | (v["b"] == "") | (11 * shared >= 9 * shorter), True).otherwise(alike(left, right))
+
+    def parts(v):
+        return C.bind(F.struct(text(F.array_intersect(v["a"], v["b"])).alias("shared"), text(F.array_except(v["a"], v["b"])).alias("a"), text(F.array_except(v["b"], v["a"])).alias("b")), compare)
+
+    return C.bind(F.struct(words(a).alias("a"), words(b).alias("b")), parts)
+
+
+def _members(suppliers: DataFrame) -> DataFrame:
+    """(ord, form, name, address, mail) of records that a name and something beside it can link; ``form`` is the first record with the same three.
 
-    Blocks: the e-mail domain, or a word of the address, with a class of the name's length. Lengths
-    of names 90 alike differ by less than a factor 9/11, so neighbouring classes of a logarithmic
-    scale hold every such pair. Addresses 90 alike share a word or are 90 alike as strings of sorted
-    words; for those that share short words or none, pairs of characters of the name go with the
-    short words and with pairs of characters of the address, so no pair is missed.
+    Words of names are sorted, those of addresses sorted and distinct, as their ratios take them.
     """
-    rows = suppliers.select("ord", C.normalize_company_name("name").alias("name"), F.lower(C.clean_text("address")).alias("address"), C.blank_to_null(F.regexp_extract(F.coalesce("email", F.lit("")), "@(.+)$", 1)).alias("mail")).where("name is not null")
-    size = F.floor(F.log(F.length("name").cast("double")) / 0.2006).cast("int")
-    blocks = F.concat(F.array_compact(F.array(F.concat(F.lit("m:"), F.col("mail")))), F.transform(F.filter(F.split(F.coalesce("address", F.lit("")), r"(?U)[\s,.]+"), lambda w: F.length(w) > 2), lambda w: F.concat(F.lit("a:"), w)))
     ordered = lambda x: F.array_join(F.sort_array(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")), " ")
-    # a projection for each step: arrays inside lambdas would be computed again for every element
-    texts = rows.withColumn("block", F.array_distinct(blocks)).withColumns({"n_text": ordered(F.col("name")), "words": _sorted_words(F.col("address"))}).withColumn("a_text", F.array_join("words", " "))
-    paired = texts.withColumns({"n_grams": _grams(F.col("n_text")), "a_grams": _grams(F.col("a_text"))}).withColumns({"n_keys": _prefix(F.col("n_grams"), F.col("n_text")), "a_keys": _prefix(F.col("a_grams"), F.col("a_text"))})
-    short = F.filter("words", lambda w: ~F.exists(F.split(w, r"[\s,.]+"), lambda v: F.length(v) > 2))
-    second = F.concat(F.transform(short, lambda w: F.concat(F.lit("s:"), w)), F.transform("a_keys", lambda k: F.concat(F.lit("g:"), k.cast("string"))))
-    paired = paired.withColumn("second", F.coalesce(second, F.array().cast("array<string>")))
-    both = F.flatten(F.transform("second", lambda w: F.transform("n_keys", lambda k: F.concat_ws(":", w, k.cast("string")))))
-    sized = paired.withColumn("block", F.array_distinct(F.concat("block", both))).select(*rows.columns, F.explode("block").alias("block")).withColumn("size", F.explode(F.array(size - 1, size, size + 1)))
-    left = sized.where(F.col("size") == size)
-    a, b = left.alias("a"), sized.alias("b")
-    pairs = a.join(b, ["block", "size"]).where("a.ord <> b.ord").select(F.least("a.ord", "b.ord").alias("x"), F.greatest("a.ord", "b.ord").alias("y")).distinct()
-    l, r = rows.alias("l"), rows.alias("r")
-    full = pairs.join(l, F.col("x") == F.col("l.ord")).join(r, F.col("y") == F.col("r.ord"))
-    alike = C.token_sort_ratio(F.col("l.name"), F.col("r.name")) >= SIMILAR
-    backed = F.coalesce(F.col("l.mail") == F.col("r.mail"), F.lit(False)) | F.coalesce(token_set_ratio(F.col("l.address"), F.col("r.address")) >= SIMILAR, F.lit(False))
-    return full.where(alike & backed).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    rows = suppliers.select("ord", C.normalize_company_name("name").alias("name"), F.lower(C.clean_text("address")).alias("address"), C.blank_to_null(F.regexp_extract(F.coalesce("email", F.lit("")), "@(.+)$", 1)).alias("mail"))
+    rows = rows.where("name is not null and (address is not null or mail is not null)")
+    rows = rows.select("ord", ordered(F.col("name")).alias("name"), F.array_join(_sorted_words(F.col("address")), " ").alias("address"), "mail")
+    rows = materialise(rows, suppliers.sparkSession)
+    first = rows.groupBy(F.col("name").alias("n"), F.col("address").alias("a"), F.col("mail").alias("m")).agg(F.min("ord").alias("form"))
+    same = (F.col("name") == F.col("n")) & F.col("address").eqNullSafe(F.col("a")) & F.col("mail").eqNullSafe(F.col("m"))
+    return materialise(rows.join(first, same).select("ord", "form", "name", "address", "mail"), suppliers.sparkSession)
+
+
+def _blocks(forms: DataFrame) -> DataFrame:
+    """(form, name, address, block, same): where ``same``, alike names of a block are linked, else if their addresses are alike too.
+
+    Same are the e-mail domain and the address. Other addresses 90 alike share a word or are 90 alike
+    as strings of sorted words, so they share a longer part of a word, a short word or one of the
+    first pairs of characters.
+    """
+    words, parts = F.split("address", " "), F.split("address", r"(?U)[\s,.]+")
+    short = F.filter(words, lambda w: ~F.exists(F.split(w, r"[\s,.]+"), lambda v: F.length(v) > 2))
+    rows = forms.select("form", "name", "address", "mail", _grams(F.col("address")).alias("pairs"))
+    others = F.concat(F.transform(F.filter(parts, lambda w: F.length(w) > 2), lambda w: F.concat(F.lit("a:"), w)), F.transform(short, lambda w: F.concat(F.lit("s:"), w)), F.transform(_prefix(F.col("pairs"), F.col("address")), lambda k: F.concat(F.lit("g:"), k.cast("string"))))
+    block = lambda b, same: F.struct(b.alias("block"), F.lit(same).alias("same"))
+    own = F.array(block(F.concat(F.lit("m:"), F.col("mail")), True), block(F.concat(F.lit("e:"), F.col("address")), True))
+    every = F.concat(own, F.coalesce(F.transform(F.array_distinct(others), lambda b: block(b, False)), F.array().cast("array<struct<block:string,same:boolean>>")))
+    return rows.select("form", "name", "address", F.explode(every).alias("b")).select("form", "name", "address", "b.block", "b.same").where("block is not null")
+
+
+def _choices(n, k):
+    """Ways to leave out k of n characters; beyond three too many to list."""
+    return F.when(k == 0, F.lit(1)).when(k == 1, n).when(k == 2, n * (n - 1) / 2).when(k == 3, n * (n - 1) * (n - 2) / 6).otherwise(F.lit(1 << 30))
+
+
+def _shorter(texts):
+    """Of (text, at) all texts with one more character left out, from place ``at`` on, so that each choice comes once."""
+    places = lambda v: F.when(v["at"] <= F.length(v["text"]), F.sequence(v["at"], F.length(v["text"]))).otherwise(F.array().cast("array<int>"))
+    cut = lambda v, i: F.struct(F.concat(F.substring(v["text"], F.lit(1), i - 1), F.substring(v["text"], i + 1, F.length(v["text"]))).alias("text"), i.alias("at"))
+    return F.flatten(F.transform(texts, lambda v: F.transform(places(v), lambda i: cut(v, i))))
+
+
+def _keyed(blocks: DataFrame) -> DataFrame:
+    """Rows of blocks with a ``key`` that every two alike names of a block share.
+
+    A block of few rows has one key, which is all its pairs. In a larger one, names of a and b
+    characters are alike if they have ceil(0.45 (a + b)) characters in common in order: the names
+    left when the others are taken out ("v" and the rest) are keys, for the lengths that the block has
+    and where they are few. Where they are not, keys are pairs of characters ("p").
+    """
+    long, none = F.length("name"), F.array().cast("array<string>")
+    stats = blocks.groupBy("block").agg(F.count("*").alias("n"), F.collect_set(long).alias("lengths"), F.coalesce(F.min("address") != F.max("address"), F.lit(False)).alias("several"))
+    rows = blocks.join(stats.where("n > 1"), "block").where("same or several").withColumn("a", long)
+    most = F.when(F.col("same"), MOST_LEFT_OUT).otherwise(MOST_LEFT_OUT // 16)
+    common = lambda b: F.floor((9 * (F.col("a") + b) + 19) / 20).cast("int")
+    few = lambda b: F.greatest(_choices(F.col("a"), F.col("a") - common(b)), _choices(b, b - common(b))) <= most
+    near = F.filter("lengths", lambda b: (9 * b <= 11 * F.col("a")) & (9 * F.col("a") <= 11 * b))
+    rows = rows.withColumn("near", F.when(F.col("n") > SMALL_BLOCK, near).otherwise(F.array().cast("array<int>")))
+    rows = rows.withColumns({"left_out": F.array_distinct(F.transform(F.filter("near", few), lambda b: F.col("a") - common(b))), "paired": F.exists("near", lambda b: ~few(b)), "t0": F.array(F.struct(F.col("name").alias("text"), F.lit(1).alias("at")))})
+    for k in (1, 2, 3):  # a projection for each step: each array is made once
+        rows = rows.withColumn(f"t{k}", F.when(F.array_max("left_out") >= k, _shorter(F.col(f"t{k - 1}"))))
+    taken = lambda k: F.when(F.array_contains("left_out", k), F.array_distinct(F.transform(f"t{k}", lambda v: F.concat(F.lit("v"), v["text"])))).otherwise(none)
+    rows = rows.withColumn("grams", F.when(F.col("paired"), _grams(F.col("name"))))
+    pairs = F.when(F.col("paired"), F.transform(_prefix(F.col("grams"), F.col("name")), lambda k: F.concat(F.lit("p"), k.cast("string")))).otherwise(none)
+    keys = F.when(F.col("n") <= SMALL_BLOCK, F.array(F.lit(""))).otherwise(F.concat(*[taken(k) for k in range(4)], pairs))
+    return rows.select("form", "name", "address", "block", "same", F.explode(keys).alias("key"))
+
+
+def _alike_pairs(keyed: DataFrame, differ=None) -> DataFrame:
+    """Distinct (x, y) of forms that share a key and are alike; ``differ`` names a column that must differ."""
+    fields = ["form", "name", "address", *([differ] if differ else [])]
+    one = lambda at: keyed.select("block", "key", "same", F.struct(*fields).alias(at))
+    pairs = one("l").join(one("r").drop("same"), ["block", "key"]).where("l.form < r.form")
+    if differ:
+        pairs = pairs.where(f"l.{differ} <> r.{differ}")
+    total = F.length("l.name") + F.length("r.name")
+    pairs = pairs.where((F.col("same") | (F.col("l.address") != F.col("r.address"))) & (10 * F.abs(F.length("l.name") - F.length("r.name")) <= total) & (10 * F.levenshtein("l.name", "r.name") <= total))
+    pairs = pairs.select("same", F.col("l.form").alias("x"), F.col("r.form").alias("y"), F.col("l.name").alias("n"), F.col("r.name").alias("m"), F.col("l.address").alias("a"), F.col("r.address").alias("b"))
+    # dealt by a number of its own, as a few MB of pairs are work for more than one task
+    dealt = pairs.repartition(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x", "y").distinct()
+    return dealt.where(alike(F.col("n"), F.col("m")) & (F.col("same") | alike_addresses(F.col("a"), F.col("b")))).select("x", "y").distinct()
+
+
+def fuzzy_edges(suppliers: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of alike names backed by the same e-mail domain or alike addresses.
+
+    Records with the same name, address and domain are compared once and their pairs put in after that.
+    """
+    members = _members(suppliers)
+    forms = _alike_pairs(_keyed(_blocks(members.where("ord = form"))))
+    own = lambda at: members.select(F.col("form").alias(at), F.col("ord").alias(f"{at}_ord"))
+    across = forms.join(own("x"), "x").join(own("y"), "y")
+    within = own("x").join(own("y"), F.col("x") == F.col("y")).where("x_ord < y_ord")
+    pairs = across.select("x_ord", "y_ord").unionByName(within.select("x_ord", "y_ord"))
+    return pairs.select(F.least("x_ord", "y_ord").alias("a"), F.greatest("x_ord", "y_ord").alias("b"))
+
+
+def company_components(suppliers: DataFrame) -> DataFrame:
+    """(ord, component) under strong keys and ``fuzzy_edges``, whose pairs are not all listed.
+
+    Names that share what is left of them are alike among themselves if they are short enough, so under the same
+    backing a link to the shortest stands for all their pairs. What is left is compared between
+    records that these links and the strong keys leave apart.
+    """
+    spark = suppliers.sparkSession
+    members = _members(suppliers)
+    every = _blocks(members.where("ord = form"))
+    # of forms with the same name in a block one stands for all
+    units = every.where("not same").unionByName(every.where("same").groupBy("block", "same", "name").agg(F.min("form").alias("form"), F.first("address").alias("address")))
+    named = every.where("same").join(units.where("same").select("block", "name", F.col("form").alias("first")), ["block", "name"]).select(F.col("form").alias("a"), F.col("first").alias("b"))
+    keyed = materialise(_keyed(units), spark)
+    left = keyed.where("same and key like 'v%'").select("form", "block", "key", F.length("name").alias("long"))
+    head = left.groupBy("block", "key").agg(F.min(F.struct("long", "form")).alias("head"))
+    stars = left.join(head, ["block", "key"]).where(20 * (F.length("key") - 1) >= 9 * (F.col("long") + F.col("head.long"))).select(F.col("form").alias("a"), F.col("head.form").alias("b"))
+    own = members.select(F.col("ord").alias("a"), F.col("form").alias("b"))
+    links = strong_edges(suppliers).unionByName(own).unionByName(named).unionByName(stars).where("a <> b")
+    found = connected_components(suppliers.select("ord"), links)
+    rest = keyed.where("not (same and key like 'v%')").join(found.select(F.col("ord").alias("form"), "component"), "form")
+    apart = materialise(_alike_pairs(rest, "component").select(F.col("x").alias("a"), F.col("y").alias("b")), spark)
+    if apart.isEmpty():
+        return found
+    return connected_components(found, found.select(F.col("ord").alias("a"), F.col("component").alias("b")).unionByName(apart))
 
 
 def materialise(df: DataFrame, spark: SparkSession) -> DataFrame:
@@ -159,5 +281,5 @@ def merge_groups(suppliers: DataFrame, components: DataFrame) -> DataFrame:
 
 def deduplicate(suppliers: DataFrame) -> DataFrame:
     """Companies from supplier records with an ordinal ``ord`` of their own each; ``records`` counts the merged ones."""
-    edges = strong_edges(suppliers).unionByName(fuzzy_edges(suppliers)).distinct()
-    return merge_groups(suppliers, connected_components(suppliers.select("ord"), edges))
+    known = materialise(suppliers.select("ord", "id", "domain", "website", "inn", "phone", "name", "address", "email"), suppliers.sparkSession)
+    return merge_groups(suppliers, company_components(known))
