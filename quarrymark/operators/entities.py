@@ -172,16 +172,20 @@ def _keyed(blocks: DataFrame) -> DataFrame:
     return rows.select("form", "name", "address", "block", "same", F.explode(keys).alias("key"))
 
 
-def _alike_pairs(keyed: DataFrame, differ=None) -> DataFrame:
-    """Distinct (x, y) of forms that share a key and are alike; ``differ`` names a column that must differ."""
-    fields = ["form", "name", "address", *([differ] if differ else [])]
-    one = lambda at: keyed.select("block", "key", "same", F.struct(*fields).alias(at))
-    pairs = one("l").join(one("r").drop("same"), ["block", "key"]).where("l.form < r.form")
-    if differ:
-        pairs = pairs.where(f"l.{differ} <> r.{differ}")
+def _alike_pairs(keyed: DataFrame, apart: bool = False) -> DataFrame:
+    """Distinct (x, y) of forms that share a key and are alike; with ``apart`` only those of different ``component``.
+
+    Of two such at least one is outside of the smallest component under the key, so a key whose rows
+    are mostly of that one makes few pairs.
+    """
+    fields = ["form", "name", "address", *(["component", "head"] if apart else [])]
+    rows = keyed.withColumn("head", F.min("component").over(Window.partitionBy("block", "key"))) if apart else keyed
+    one = lambda at, df: df.select("block", "key", "same", F.struct(*fields).alias(at))
+    pairs = one("l", rows.where("component <> head") if apart else rows).join(one("r", rows).drop("same"), ["block", "key"])
+    pairs = pairs.where("l.component <> r.component and (r.component = r.head or l.form < r.form)" if apart else "l.form < r.form")
     total = F.length("l.name") + F.length("r.name")
     pairs = pairs.where((F.col("same") | (F.col("l.address") != F.col("r.address"))) & (10 * F.abs(F.length("l.name") - F.length("r.name")) <= total) & (10 * F.levenshtein("l.name", "r.name") <= total))
-    pairs = pairs.select("same", F.col("l.form").alias("x"), F.col("r.form").alias("y"), F.col("l.name").alias("n"), F.col("r.name").alias("m"), F.col("l.address").alias("a"), F.col("r.address").alias("b"))
+    pairs = pairs.select("same", F.least("l.form", "r.form").alias("x"), F.greatest("l.form", "r.form").alias("y"), F.col("l.name").alias("n"), F.col("r.name").alias("m"), F.col("l.address").alias("a"), F.col("r.address").alias("b"))
     # dealt by a number of its own, as a few MB of pairs are work for more than one task
     dealt = pairs.repartition(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x", "y").distinct()
     return dealt.where(alike(F.col("n"), F.col("m")) & (F.col("same") | alike_addresses(F.col("a"), F.col("b")))).select("x", "y").distinct()
@@ -219,10 +223,15 @@ def company_components(suppliers: DataFrame) -> DataFrame:
     head = left.groupBy("block", "key").agg(F.min(F.struct("long", "form")).alias("head"))
     stars = left.join(head, ["block", "key"]).where(20 * (F.length("key") - 1) >= 9 * (F.col("long") + F.col("head.long"))).select(F.col("form").alias("a"), F.col("head.form").alias("b"))
     own = members.select(F.col("ord").alias("a"), F.col("form").alias("b"))
+    # what only pairs tell is first asked of neighbours in the order of names, so that the like of one template are together by then
+    others = keyed.where("not (same and key like 'v%') and key <> ''")
+    before = others.withColumn("l", F.lag(F.struct("form", "name", "address")).over(Window.partitionBy("block", "key").orderBy("name", "form")))
+    surely = before.where(20 * F.levenshtein("l.name", "name") <= F.length("l.name") + F.length("name")).select("same", F.col("l.form").alias("a"), F.col("form").alias("b"), F.col("l.address").alias("c"), F.col("address").alias("d"))
+    stars = stars.unionByName(surely.distinct().where(F.col("same") | alike_addresses(F.col("c"), F.col("d"))).select("a", "b"))
     links = strong_edges(suppliers).unionByName(own).unionByName(named).unionByName(stars).where("a <> b")
     found = connected_components(suppliers.select("ord"), links)
     rest = keyed.where("not (same and key like 'v%')").join(found.select(F.col("ord").alias("form"), "component"), "form")
-    apart = materialise(_alike_pairs(rest, "component").select(F.col("x").alias("a"), F.col("y").alias("b")), spark)
+    apart = materialise(_alike_pairs(rest, True).select(F.col("x").alias("a"), F.col("y").alias("b")), spark)
     if apart.isEmpty():
         return found
     return connected_components(found, found.select(F.col("ord").alias("a"), F.col("component").alias("b")).unionByName(apart))
