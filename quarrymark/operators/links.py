@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.constants import CATALOG_DOMAINS
+from ..scratch import Scratch
 from .pages import first_wins
 
 NONE = "cast(array() as array<string>)"
@@ -17,9 +18,9 @@ PARTS = 8
 def attach_hits(suppliers: DataFrame, hits: DataFrame) -> DataFrame:
     """Suppliers with the queries and URLs of their hits appended, and a website from the first hit outside catalogues."""
     linked = hits.where("supplier_id is not null")
-    site = F.concat(F.regexp_extract("url", "^([a-z]+://)", 1), C.normalize_domain("url"))
+    site = F.concat(F.regexp_extract("_own", "^([a-z]+://)", 1), C.normalize_domain("_own"))
     entry = F.struct("ord", "query", "url", F.coalesce("related_urls", F.expr(NONE)).alias("related"))
-    found = linked.groupBy("supplier_id").agg(F.sort_array(F.collect_list(entry)).alias("_h"), F.min_by(site, F.when(~C.is_catalog("url"), F.col("ord"))).alias("_site"))
+    found = linked.groupBy("supplier_id").agg(F.sort_array(F.collect_list(entry)).alias("_h"), F.min_by("url", F.when(~C.is_catalog("url"), F.col("ord"))).alias("_own")).withColumn("_site", site)
     out = suppliers.join(found, suppliers["id"] == found["supplier_id"], "left").drop("supplier_id")
     urls = F.flatten(F.transform("_h", lambda h: F.concat(F.array(h["url"]), h["related"])))
     add = lambda name, more: F.array_distinct(F.concat(F.coalesce(name, F.expr(NONE)), F.coalesce(more, F.expr(NONE))))
@@ -66,19 +67,23 @@ def page_owners(pages: DataFrame, suppliers: DataFrame) -> DataFrame:
 
     A domain's pages times its suppliers may be many more rows than there are pages and suppliers.
     Those pairs are distinct as they are joined, so they are neither shuffled nor sorted; of the other ones
-    only those are added that they don't hold.
+    only those are added that they don't hold. Addresses are normalised once and written.
     """
+    spark = pages.sparkSession
     urls, domains = _keys(suppliers)
-    by_url, by_domain = _addresses(pages)
+    page = pages.select("url", F.array(C.normalize_url("url"), C.normalize_url("final_url")).alias("keys"), C.normalize_domain("final_url").alias("domain"))
+    known = page.groupBy("url").agg(F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys"), F.collect_set("domain").alias("domains"))
+    known = Scratch(spark, "addresses").write(known, "pages")
+    by_url, by_domain = (known.select("url", "domains", F.explode(c).alias("key")) for c in ("keys", "domains"))
     # an id that stands for several domains may meet a page by more than one
     single = domains.groupBy("supplier_id").agg(F.min("key").alias("key"), F.max("key").alias("_last"))
     several = domains.join(single.where("key <> _last").select("supplier_id"), "supplier_id", "left_semi")
     single = single.where("key = _last").drop("_last")
-    # a hot domain is dealt to several tasks, by its pages
-    dealt = by_domain.withColumn("_part", F.pmod(F.xxhash64("url"), F.lit(PARTS)))
+    # a hot domain is dealt to several tasks, by its pages; the work is in the pairs, so tasks are not put together by the little that they read
+    dealt = by_domain.select("url", "key", F.pmod(F.xxhash64("url"), F.lit(PARTS)).alias("_part")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "_part")
     direct = dealt.join(single.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<long>"))), ["key", "_part"])
-    others = by_url.join(urls, "key").select("supplier_id", "url").unionByName(by_domain.join(several, "key").select("supplier_id", "url")).distinct()
-    others = others.join(single, "supplier_id", "left").join(by_domain, ["url", "key"], "left_anti")
+    others = by_url.join(urls, "key").select("supplier_id", "url", "domains").unionByName(by_domain.join(several, "key").select("supplier_id", "url", "domains")).dropDuplicates(["supplier_id", "url"])
+    others = others.join(single, "supplier_id", "left").where(~F.coalesce(F.array_contains("domains", F.col("key")), F.lit(False)))
     return direct.select("supplier_id", "url").unionByName(others.select("supplier_id", "url"))
 
 

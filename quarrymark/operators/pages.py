@@ -15,19 +15,20 @@ def first_wins(df: DataFrame, keys: list[str], order: list[Column | str]) -> Dat
     return df.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
 
 
-def normalize_hits(hits: DataFrame) -> DataFrame:
-    """URLs and related URLs normalised; hits without a URL or on blocked sites go."""
-    related = F.filter(F.transform(F.coalesce("related_urls", F.array().cast("array<string>")), C.normalize_url), lambda u: u.isNotNull() & ~C.is_blocked(u))
-    out = hits.withColumn("url", C.normalize_url("url")).where(F.col("url").isNotNull()).where(~C.is_blocked("url"))
-    return out.withColumn("related_urls", related).withColumn("related_urls", F.filter("related_urls", lambda u: u != F.col("url")))
-
-
 def deduplicate_hits(hits: DataFrame) -> DataFrame:
-    """One hit per URL: the first that names a supplier, else the first; at the place of the first."""
-    per_url = Window.partitionBy("url")
+    """One hit per normalised URL: the first that names a supplier, else the first; at the place of the first. Hits on blocked sites go.
+
+    Hits are reduced by their URL as it is written first, so that each way of writing is normalised once, as a
+    result of that reduction: filters on it can't be moved below and normalise again.
+    """
     known = F.coalesce(F.col("supplier_id"), F.lit("")) == ""
-    placed = normalize_hits(hits).withColumn("_first", F.min("ord").over(per_url))
-    return first_wins(placed, ["url"], [known.cast("int"), "ord"]).withColumn("ord", F.col("_first")).drop("_first")
+    best = F.min_by(F.struct(*hits.columns), F.struct(known.cast("int"), "ord"))
+    written = hits.groupBy(F.col("url").alias("_written")).agg(best.alias("_hit"), F.min("ord").alias("_seen"), C.normalize_url(F.min("url")).alias("_url"))
+    fit = written.where(F.col("_url").isNotNull() & ~C.is_blocked("_url")).select("_hit.*", "_seen", "_url").withColumn("url", F.col("_url"))
+    placed = fit.drop("_url").withColumn("_first", F.min("_seen").over(Window.partitionBy("url")))
+    first = first_wins(placed, ["url"], [known.cast("int"), "ord"]).withColumn("ord", F.col("_first")).drop("_first", "_seen")
+    related = F.transform(F.coalesce("related_urls", F.array().cast("array<string>")), C.normalize_url)
+    return first.withColumn("related_urls", F.filter(related, lambda u: u.isNotNull() & ~C.is_blocked(u) & (u != F.col("url"))))
 
 
 def select_initial_urls(urls: DataFrame, max_domains: int = 12, max_per_domain: int = 3) -> DataFrame:
