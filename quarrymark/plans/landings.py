@@ -66,15 +66,15 @@ def contract_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         contact = F.struct(F.when(s % 3 == 0, _text("8 912 ", digits)).alias("phone"), F.when(s % 3 == 1, _text("+7 (343) ", digits)).alias("phoneNumber"), F.when(s % 4 == 0, _text(" INFO", s, "@Firm.RU ")).when(s % 4 == 1, "no address").alias("email"))
         return F.struct(F.when(s % 50 != 7, _text(" ООО Компания ", s, " ")).alias("organizationName"), F.when(s % 5 != 0, (s + 7700000000).cast("string")).alias("inn"), F.when(k % 2 == 0, _text("ул. Мира, ", k)).otherwise("").alias("factualAddress"), _text("а/я ", k).alias("postalAddress"), contact.alias("contactInfo"))
 
+    again = lambda key: F.explode(F.when(F.col(key) % 13 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again")
+    page = lambda key: (F.floor(F.col(key) / PAGE) + F.col("again") * 1000000000).alias("page")
+    # lines and orders are dealt by page once, and need no further shuffle up to the payload; its texts are made page by page
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    # keys and names alone are shuffled; the payload's texts are made of them page by page
-    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_name")
-    listed = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    k = F.col("o_orderkey")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    rows = orders.join(listed, k == F.col("l_orderkey")).drop("l_orderkey").withColumn("again", F.explode(F.when(k % 13 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    page = F.floor(k / PAGE) + F.col("again") * 1000000000
-    packed = _payload(rows, page, "o_orderkey", F.struct("o_custkey", "o_orderdate", "again", "o_orderkey", "lines"), "data")
+    lines = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_name", again("l_orderkey")).select("*", page("l_orderkey")).drop("again").repartition("page")
+    listed = lines.groupBy("page", "l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_name"))).alias("lines"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", again("o_orderkey")).select("*", page("o_orderkey")).repartition("page")
+    rows = orders.join(listed.withColumnRenamed("l_orderkey", "o_orderkey"), ["page", "o_orderkey"])
+    packed = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_custkey", "o_orderdate", "again", "lines"))).alias("data"))
 
     def contract(x: Column) -> Column:
         k, c, again = x["o_orderkey"], x["o_custkey"] % 4, x["again"]

@@ -31,7 +31,7 @@ def landed_contracts(path: str, checked_at: Column, most: int = 50) -> Provider:
         if request.region:
             code = next((c for name, c in K.REGION_CODES.items() if name in request.region.lower()), None)
             rows = rows.where(F.col("region") == code) if code else rows
-        parsed = rows.select(F.from_json("payload", CONTRACTS)["contracts"].alias("contracts"), F.lit(path).alias("api_url"), F.concat_ws("|", "category", "region", "number").alias("ord"))
+        parsed = rows.select(F.from_json("payload", CONTRACTS)["contracts"].alias("contracts"), F.lit(path).alias("api_url"), F.struct(F.concat_ws("|", "category", "region", "number").alias("name"), F.sha2("payload", 256).alias("payload")).alias("ord")).dropDuplicates(["ord"])
         return contract_suppliers(parsed, request, checked_at)
 
     return provide
@@ -66,20 +66,35 @@ def _evidence(field: str, value: Column, url: Column, confidence: float, quote:
 
 
 def contract_suppliers(payloads: DataFrame, request: Request, checked_at: Column, max_suppliers: int | None = 12) -> Result:
-    """Contract parties with the products they delivered: first contract per number, first record per company, then the cut; None keeps all."""
-    contracts = payloads.select("api_url", "ord", F.posexplode("contracts.data").alias("pos", "c"))
-    number = F.coalesce(C.blank_to_null(F.col("c.regNum")), C.blank_to_null(F.col("c.number")))
-    local = in_region(F.col("c"), request.region) if request.region else F.lit(False)
-    # what a contract gives its suppliers is taken out of it before any shuffle; a supplier's row never holds the whole contract
-    contracts = contracts.select(
-        "api_url", "ord", "pos", number.alias("number"), matching_products(F.col("c.products"), request.category).alias("products"), "c.suppliers", F.col("c.contractUrl").alias("raw_url"),
-        F.substring("c.signDate", 1, 10).alias("signed"), local.alias("local"), F.when(local, customer_address(F.col("c"))).alias("customer")).where("number is not null")
-    contracts = first_wins(contracts.withColumn("suppliers", F.when(F.size("products") > 0, F.col("suppliers"))), ["number"], ["ord", "pos"])
-    rows = contracts.select("*", F.posexplode("suppliers").alias("spos", "s")).drop("suppliers").withColumn("name", C.blank_to_null(C.strip("s.organizationName"))).where("name is not null")
-    inn = C.blank_to_null(C.strip("s.inn"))
-    rows = first_wins(rows.withColumns({"inn": inn, "_key": F.concat_ws("|", F.coalesce(inn, F.lit("")), F.lower("name"))}), ["_key"], ["ord", "pos", "spos"])
+    """Contract parties with the products they delivered: first contract per number, first record per company, then the cut; None keeps all.
+
+    Numbers, keys and places alone are shuffled to find those records; then each payload gives the few that are its own.
+    ``ord`` names a payload.
+    """
+    inn_of = lambda s: C.blank_to_null(C.strip(s["inn"]))
+    name_of = lambda s: C.blank_to_null(C.strip(s["organizationName"]))
+    number_of = lambda c: F.coalesce(C.blank_to_null(c["regNum"]), C.blank_to_null(c["number"]))
+    products_of = lambda c: matching_products(c["products"], request.category)
+    key_of = lambda s: F.concat(F.coalesce(inn_of(s), F.lit("")), F.lit("|"), F.lower(name_of(s)))  # noqa: E731  null without a name
+    # outer: else a filter on the size is put before it, which parses every payload again; empty ones have no number
+    contracts = payloads.select("ord", F.posexplode_outer("contracts.data").alias("pos", "c"))
+    keys = F.when(F.size(products_of(F.col("c"))) > 0, F.transform("c.suppliers", key_of))
+    contracts = contracts.select("ord", "pos", number_of(F.col("c")).alias("number"), keys.alias("keys")).where("number is not null")
+    parties = first_wins(contracts, ["number"], ["ord", "pos"]).select("ord", "pos", F.posexplode("keys").alias("spos", "_key")).where("_key is not null")
+    parties = first_wins(parties, ["_key"], ["ord", "pos", "spos"]).drop("_key")
     if max_suppliers is not None:
-        rows = rows.orderBy("ord", "pos", "spos").limit(max_suppliers)
+        parties = parties.orderBy("ord", "pos", "spos").limit(max_suppliers)
+    places = parties.groupBy("ord").agg(F.collect_list(F.struct("pos", "spos")).alias("_places"))
+
+    def party(c: Column, s: Column) -> Column:
+        local = in_region(c, request.region) if request.region else F.lit(False)
+        return F.struct(
+            number_of(c).alias("number"), products_of(c).alias("products"), c["contractUrl"].alias("raw_url"), F.substring(c["signDate"], 1, 10).alias("signed"),
+            local.alias("local"), F.when(local, customer_address(c)).alias("customer"), s.alias("s"))
+
+    own = F.transform("_places", lambda p: C.bind(F.get(F.col("contracts.data"), p["pos"]), lambda c: party(c, F.get(c["suppliers"], p["spos"]))))
+    rows = payloads.join(places.hint("shuffle_hash"), "ord").select("api_url", F.explode(own).alias("_party")).select("api_url", "_party.*")
+    rows = rows.withColumns({"name": name_of(F.col("s")), "inn": inn_of(F.col("s"))})
     phone = F.coalesce(C.blank_to_null(C.strip("s.contactInfo.phone")), C.blank_to_null(C.strip("s.contactInfo.phoneNumber")))
     email = C.normalize_email("s.contactInfo.email")
     address = F.coalesce(C.blank_to_null(C.strip("s.factualAddress")), C.blank_to_null(C.strip("s.postalAddress")))
@@ -99,7 +114,7 @@ def contract_suppliers(payloads: DataFrame, request: Request, checked_at: Column
 
 def contract_stats(payloads: DataFrame) -> DataFrame:
     """Contracts seen and the newest signing date."""
-    rows = payloads.select(F.explode("contracts.data").alias("c")).select(F.coalesce(C.blank_to_null(F.col("c.regNum")), C.blank_to_null(F.col("c.number"))).alias("number"), F.substring("c.signDate", 1, 10).alias("signed"))
+    rows = payloads.select(F.explode_outer("contracts.data").alias("c")).select(F.coalesce(C.blank_to_null(F.col("c.regNum")), C.blank_to_null(F.col("c.number"))).alias("number"), F.substring("c.signDate", 1, 10).alias("signed"))
     return rows.where("number is not null").agg(F.countDistinct("number").alias("contracts"), F.max("signed").alias("newest"))
 
 
